@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.importance import ImportanceResampler
 from corpusloom.llm.ngram_jaccard import NgramJaccard
 from corpusloom.llm.piece_fst import load, token_count, tokenise
+from corpusloom.llm.prefix_forest import PrefixForest
+from corpusloom.llm.reply_trees import ReplyTrees, from_turns, loss_text, turns_of
 from corpusloom.llm.string_kernel import StringKernelLanguageId
 from corpusloom.llm.winnowing import Winnowing
 
@@ -39,6 +41,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "log_weight", (F.col("draw") >= at).alias("kept"))
 
 
+def op4_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return PrefixForest().fit(rows).search(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
@@ -54,6 +61,22 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_
     return out.select("doc_id", token_count("tokens", fst).alias("n_tokens"), F.sha2("tokens", 256).alias("ids_sha256"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
+def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    out = ReplyTrees().format(from_turns(turns.union(more)))
+    back = out.select("conv_id", "formatted", turns_of(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("mask")).alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op10_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Winnowing().report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -63,9 +86,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_ngram_jaccard_join,
         op2_quality_classifier,
+        op4_prefix_forest,
         op5_language_id,
         op8_sentencepiece,
+        op9_reply_trees,
         op10_winnowing_decontamination,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_reply_trees": """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)
+), e AS (
+  SELECT *, replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;') AS er,
+         replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;') AS et FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(24 + length(replace(er, chr(10), '&#10;')) + length(et)) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""",
+}
