@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.hidden_markov import HiddenMarkovModel
+from corpusloom.llm.html_tree import extract
 from corpusloom.llm.importance import ImportanceResampler
 from corpusloom.llm.ngram_jaccard import NgramJaccard
 from corpusloom.llm.piece_fst import load, token_count, tokenise
@@ -41,6 +43,13 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "log_weight", (F.col("draw") >= at).alias("kept"))
 
 
+def op3_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(remainder("doc_id", 10) == 0, F.lit(False))
+    out = HiddenMarkovModel().run(docs, ~held)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return PrefixForest().fit(rows).search(rows, rows.where("vec_id % 100 = 0"))
@@ -53,6 +62,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(docs.select("doc_id", "text")).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op7_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids joined by commas), round_trip (decoding gives the text back)."""
     fst = load(model_path)
@@ -86,8 +100,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_ngram_jaccard_join,
         op2_quality_classifier,
+        op3_hidden_markov_lm,
         op4_prefix_forest,
         op5_language_id,
+        op7_html_tree,
         op8_sentencepiece,
         op9_reply_trees,
         op10_winnowing_decontamination,
