@@ -15,6 +15,7 @@ from corpusloom.llm.piece_fst import load, token_count, tokenise
 from corpusloom.llm.prefix_forest import PrefixForest
 from corpusloom.llm.reply_trees import ReplyTrees, from_turns, loss_text, turns_of
 from corpusloom.llm.string_kernel import StringKernelLanguageId
+from corpusloom.llm.web_archive import LegacyArchive
 from corpusloom.llm.winnowing import Winnowing
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -62,6 +63,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(docs.select("doc_id", "text")).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return LegacyArchive().run(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_hidden_markov_lm,
         op4_prefix_forest,
         op5_language_id,
+        op6_warc,
         op7_html_tree,
         op8_sentencepiece,
         op9_reply_trees,
@@ -110,6 +116,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(l[i:i+4], ' ') AS g FROM (SELECT doc_id, l, unnest(range(1, greatest(2, len(l) - 2))) AS i FROM w WHERE len(l) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM both_ JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE c >= 0.8 * (p.n + q.n - c)),
+l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS x, doc_id AS root FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.x)
+SELECT r.x AS doc_id, min(root) AS class_id, coalesce(any_value(k), 0) AS n_links FROM r LEFT JOIN (SELECT x, count(*) AS k FROM l GROUP BY 1) d USING (x) GROUP BY r.x
+""",
+    "op6_warc": """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages
+), g AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n) END AS last FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last <> page_id THEN last END AS refers_to,
+       CASE WHEN last <> page_id THEN NULL ELSE true END AS payload_ok
+FROM g
+""",
+    "op10_winnowing_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM benchmark
+), k AS (SELECT DISTINCT item, least(13, len(l)) AS n, array_to_string(l[i:i + least(13, len(l)) - 1], ' ') AS g FROM (SELECT item, l, unnest(range(1, greatest(2, len(l) - 11))) AS i FROM b WHERE len(l) > 0)),
+z AS (SELECT DISTINCT n FROM k),
+g AS (SELECT doc_id, n, i, array_to_string(l[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, l, n, unnest(range(1, len(l) - n + 2)) AS i FROM d, z WHERE len(l) >= n)),
+h AS (SELECT doc_id, item, g.n, i FROM g JOIN k USING (n, g)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(l) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
     "op9_reply_trees": """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
