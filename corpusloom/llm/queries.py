@@ -120,7 +120,7 @@ ORACLE_SQL: dict[str, str] = {
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents
 ), s AS (
-  SELECT DISTINCT doc_id, array_to_string(l[i:i+4], ' ') AS g FROM (SELECT doc_id, l, unnest(range(1, greatest(2, len(l) - 2))) AS i FROM w WHERE len(l) > 0)
+  SELECT DISTINCT doc_id, array_to_string(l[i:i+4], ' ') AS g FROM (SELECT doc_id, l, unnest(range(1, greatest(2, len(l) - 3))) AS i FROM w WHERE len(l) > 0)
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT x, y FROM both_ JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE c >= 0.8 * (p.n + q.n - c)),
