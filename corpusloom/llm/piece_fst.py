@@ -100,7 +100,7 @@ class PieceFst:
     squeeze: bool = False
     escape: bool = True
     byte_fallback: bool = True
-    cache_size: int = 250_000
+    cache_size: int = 400_000
 
     @classmethod
     def compile(cls, raw: bytes) -> PieceFst:
@@ -129,11 +129,21 @@ class PieceFst:
         #: No piece goes on after these characters, or begins before them: paths can be cut there.
         self.cut_space = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.cut_line = not any("\n" in p and len(p) > 1 for p in self.ids)
+        #: Neighbouring characters that some piece holds. No piece spans any others, so paths can be cut between them.
+        self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.width = np.dtype(np.uint16 if len(self.pieces) <= 1 << 16 else np.uint32)
         self.out = [b"" if p[2] == CONTROL else bytes([int(p[0][3:5], 16)]) if p[2] == BYTE else b" \xe2\x81\x87 " if p[2] == UNKNOWN else p[0].replace(SPACE, " ").encode() for p in self.pieces]
+        self.code = {p: np.array([k], self.width).tobytes() for p, k in self.ids.items()}
+        #: Of the pieces that begin with two given characters, the length of the longest.
+        self.reach: dict[str, int] = {}
+        for p in self.ids:
+            if len(p) > 1:
+                self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
         self.rule_length = max(map(len, self.rules), default=0)
         self._pairs: dict[tuple[str, str], bool] = {}
+        self._alone: dict[str, bool] = {}
         self._cache: dict[str, bytes] = {}
+        self._units: dict[str, bytes] = {}
 
     # -- normaliser -----------------------------------------------------------------------------
 
@@ -186,32 +196,47 @@ class PieceFst:
         return ok
 
     def _path_bpe(self, text: str) -> list[str]:
-        n, dead = len(text), set()
+        ids, reach, pairs, follows = self.ids, self.reach.get, self._pairs.get, self._follows
+        n = len(text)
+        dead: set[tuple[int, str]] = set()
         path: list[str] = []
-        at, size = 0, min(self.longest, n)
+        at, size, before = 0, n, None
         while at < n:
-            before = path[-1] if path else None
-            size = min(size, n - at)
-            while size > 0:
+            most = reach(text[at : at + 2], 1)
+            if most > n - at:
+                most = n - at
+            if size > most:
+                size = most
+            while size:
                 p = text[at : at + size]
-                if (size == 1 or p in self.ids) and (at + size, p) not in dead and (self._follows(before, p) if before is not None else size == 1 or self._whole(p)):
-                    break
+                if size == 1 or p in ids:
+                    if before is None:
+                        ok = size == 1 or self._whole(p)
+                    else:
+                        ok = pairs((before, p))
+                        if ok is None:
+                            ok = follows(before, p)
+                    if ok and (not dead or (at, p) not in dead):
+                        break
                 size -= 1
             if size:
                 path.append(p)
                 at += size
-                size = self.longest
+                before, size = p, n
             else:
                 if not path:
                     raise AssertionError("a BPE encoding exists for every text")
                 last = path.pop()
-                dead.add((at, last))
                 at -= len(last)
-                size = len(last) - 1
+                dead.add((at, last))
+                before, size = path[-1] if path else None, len(last) - 1
         return path
 
     def _whole(self, p: str) -> bool:
-        return self._merged(p) == [p]
+        ok = self._alone.get(p)
+        if ok is None:
+            ok = self._alone[p] = self._merged(p) == [p]
+        return ok
 
     def _path_unigram(self, text: str) -> list[str]:
         n = len(text)
@@ -250,12 +275,42 @@ class PieceFst:
         if got is None:
             if len(self._cache) >= self.cache_size:
                 self._cache.clear()
-            path = self._path_bpe(chunk) if self.bpe else self._path_unigram(chunk)
-            got = np.array(self._ids(path), self.width).tobytes()
+            if self.bpe and len(chunk) > 2 and chunk[-1] in ".,;:!?" and (stem := self._cache.get(chunk[:-1])) and self._follows(self._last(stem), chunk[-1]):
+                # Two encodings whose border pieces may follow each other are the encoding of both texts together.
+                got = stem + self._chunk(chunk[-1])
+            elif self.bpe or self.byte_fallback:
+                joined, units, at = self.joined, [], 0
+                for i in range(1, len(chunk)):
+                    if chunk[i - 1 : i + 1] not in joined:
+                        units.append(chunk[at:i])
+                        at = i
+                units.append(chunk[at:])
+                unit, known = self._unit, self._units.get
+                got = b"".join([known(u) or unit(u) for u in units])
+            else:
+                got = self._unit(chunk)
             if len(chunk) <= 64:
                 self._cache[chunk] = got
         return got
 
+    def _last(self, ids: bytes) -> str:
+        """The last piece of an encoding; a byte piece, which no other piece may join, counts as a character of its own."""
+        p = self.pieces[int.from_bytes(ids[-self.width.itemsize :], "little")]
+        return p[0] if p[2] in (NORMAL, USER) else "\0"
+
+    def _unit(self, text: str) -> bytes:
+        path = self._path_bpe(text) if self.bpe else self._path_unigram(text)
+        if self.byte_fallback:
+            code = self.code.get
+            got = b"".join([code(p) or np.array(self._ids([p]), self.width).tobytes() for p in path])
+        else:
+            got = np.array(self._ids(path), self.width).tobytes()
+        if len(text) <= 32:
+            if len(self._units) >= self.cache_size:
+                self._units.clear()
+            self._units[text] = got
+        return got
+
     def encode_bytes(self, text: str | None) -> bytes:
         """The ids of the encoding as little-endian integers of ``width``."""
         s = self.normalise(text or "")
