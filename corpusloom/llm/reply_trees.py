@@ -75,7 +75,10 @@ class ReplyTrees:
         found = known.join(inner, ["c", "node_id"], "left_anti").select("c", F.col("node_id").alias("leaf"), F.col("node_id").alias("node"), F.lit(0).cast("long").alias("up"))
         for k in range(len(jumps) - 1, -1, -1):
             j = jumps[k].select("c", F.col("node_id").alias("node"), F.col("to"))
-            found = found.union(found.join(j, ["c", "node"]).select("c", "leaf", F.col("to").alias("node"), (F.col("up") + 2**k).alias("up")))
+            # Written each time: the plan would double with every join.
+            was, found = found, scratch.save(found.union(found.join(j, ["c", "node"]).select("c", "leaf", F.col("to").alias("node"), (F.col("up") + 2**k).alias("up"))), "found")
+            if hasattr(was, "_scratch_path"):
+                scratch.drop(was)
         return found
 
     def format(self, nodes: DataFrame) -> DataFrame:
