@@ -27,11 +27,13 @@ SPACE = WORDS + PAIRS + STEMS + 64  # the last part is for patterns
 CHUNK = 1024
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of the distinct hashed n-grams of each row. Buckets: words and symbols, pairs, stems, patterns."""
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket) of every hashed n-gram, repeats included, and a key of each row's words.
+
+    Buckets: words and symbols, pairs, stems, patterns."""
     buf, off = text_buffer(texts)
     w, s = split_words(buf, off, "alnum"), split_words(buf, off, "symbol")
-    rw, rs = np.repeat(np.arange(len(w.counts)), w.counts), np.repeat(np.arange(len(s.counts)), s.counts)
+    rw, rs = np.repeat(np.arange(len(w.counts), dtype=np.uint32), w.counts), np.repeat(np.arange(len(s.counts), dtype=np.uint32), s.counts)
     parts = [(rw, w.hashes >> U64(44)), (rs, mix(s.hashes) >> U64(44))]
     if len(rw) > 1:
         same = rw[1:] == rw[:-1]
@@ -48,9 +50,21 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             for j in range(n):
                 x = (x << U64(8)) | LOWER[buf[w.starts[at] + j]]
             parts.append((rw[at], (mix(x) >> U64(46)) + U64(WORDS + PAIRS)))
-    key = np.concatenate([r.astype(np.int64) * SPACE + b.astype(np.int64) for r, b in parts])
-    key = np.unique(key)
-    return key // SPACE, key % SPACE
+    key = np.zeros(len(w.counts), U64)
+    full = w.counts > 0
+    if full.any():
+        with np.errstate(over="ignore"):
+            key[full] = np.add.reduceat(w.hashes, w.rows[:-1][full])
+    return np.concatenate([r for r, _ in parts]), np.concatenate([b.astype(np.uint32) for _, b in parts]), key
+
+
+def distinct(row: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each (row, bucket) once."""
+    wide = np.uint64 if len(row) and int(row.max()) >= (1 << 32) // SPACE else np.uint32
+    key = np.sort(row.astype(wide) * wide(SPACE) + bucket)
+    if len(key):
+        key = key[np.r_[True, key[1:] != key[:-1]]]
+    return (key // wide(SPACE)).astype(np.int64), (key % wide(SPACE)).astype(np.int64)
 
 
 SIZE = -(-(SPACE + 1) // CHUNK) * CHUNK
@@ -105,7 +119,7 @@ class ImportanceResampler:
             for b in batches:
                 good = b.column(1).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
                 for s, e in slices(b.column(0)):
-                    row, bucket = features(b.column(0).slice(s, e - s))
+                    row, bucket = distinct(*grams(b.column(0).slice(s, e - s))[:2])
                     n[0, :SPACE] += np.bincount(bucket, minlength=SPACE)
                     n[1, :SPACE] += np.bincount(bucket[good[s:e][row]], minlength=SPACE)
                 n[0, SPACE] += b.num_rows
@@ -150,12 +164,11 @@ class ImportanceResampler:
             for b in batches:
                 for s, e in slices(b.column(i_text)):
                     texts = b.column(i_text).slice(s, e - s)
-                    row, bucket = features(texts)
-                    weight = np.bincount(row, lam[bucket], minlength=e - s)
+                    row, bucket, key = grams(texts)
+                    tells = lam[bucket] != 0
+                    row, bucket = distinct(row[tells], bucket[tells])
+                    weight = np.bincount(row, lam[bucket], minlength=e - s).astype(float)
                     ids = b.column(i_id).slice(s, e - s).cast(pa.int64()).fill_null(-1).to_numpy()
-                    with np.errstate(over="ignore"):
-                        key = np.zeros(e - s, U64)
-                        np.add.at(key, row, mix(bucket.astype(U64)))
                     draw = weight / temperature + gumbel(ids, key, seed)
                     yield pa.RecordBatch.from_arrays([c.slice(s, e - s) for c in b.columns] + [pa.array(weight), pa.array(draw)], [*b.schema.names, "_w", "_d"])
 
@@ -184,14 +197,19 @@ class ImportanceResampler:
 
     def threshold(self, scored: DataFrame) -> float:
         """Draws from here on are the sample: k is the number of texts whose log weight reaches ``cut``."""
-        scratch = Scratch(scored.sparkSession, "importance")
-        small = scratch.save(scored.select("log_weight", "draw"), "draws")
-        at = self.kth_draw(small, small.where(F.col("log_weight") >= self.cut).count())
-        scratch.drop(small)
-        return at
+        return self.kth_draw(scored, scored.where(F.col("log_weight") >= self.cut).count())
+
+    def judged(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """id, log_weight, draw, kept for each row of docs; scored once and written, without the texts."""
+        scored = self.score(docs.select(id_col, text_col), id_col, text_col).drop(text_col)
+        scored = Scratch(docs.sparkSession, "importance").save(scored, "scores")
+        return scored.withColumn("kept", F.col("draw") >= self.threshold(scored))
 
     def sample(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """The rows of docs that are drawn, with their columns as they were."""
         scored = self.score(docs, id_col, text_col)
-        at = self.threshold(scored)
+        scratch = Scratch(docs.sparkSession, "importance")
+        draws = scratch.save(scored.select("log_weight", "draw"), "draws")
+        at = self.threshold(draws)
+        scratch.drop(draws)
         return scored.where(F.col("draw") >= at).drop("log_weight", "draw")

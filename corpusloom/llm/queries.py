@@ -39,9 +39,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, log_weight, kept: whether the document is drawn."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = ImportanceResampler().fit(docs, table(spark, sf_dir, "labels"))
-    scored = model.score(docs).drop("text")
-    at = model.threshold(scored)
-    return scored.select("doc_id", "log_weight", (F.col("draw") >= at).alias("kept"))
+    return model.judged(docs).select("doc_id", "log_weight", "kept")
 
 
 def op3_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
