@@ -12,10 +12,11 @@ def _both(e: DataFrame) -> DataFrame:
     return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _star(e: DataFrame, large: bool) -> DataFrame:
+def _star(e: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
     """Large star links each larger neighbour of a node to the least of its neighbourhood; small star the others."""
     side = _both(e) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = side.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # Written, so that the join below deals out both sides itself and can split a node that has most edges.
+    least = scratch.save(side.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     j = side.join(least, "a")
     if large:
         out = j.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -37,7 +38,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = mark(now)
     while seen[0]:
-        new = scratch.save(_star(_star(now, True), False), "edges")
+        new = scratch.save(_star(scratch.save(_star(now, True, scratch), "edges"), False, scratch), "edges")
         scratch.drop(now)
         now, was, seen = new, seen, mark(new)
         if was == seen:
