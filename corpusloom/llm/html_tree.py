@@ -1,8 +1,8 @@
 """Main-text extraction by a tree-structured graphical model.
 
 The nodes of a page's DOM are hidden binary variables, content or not. A node potential scores what is
-seen of the node (tag, words of class and id, text length, link share), a parent-child potential how
-labels go together along an edge. Sum-product messages, upward then downward, give exact marginals; the
+seen of the node (tag, words of class and id, text length, link share), a parent-child potential, one for
+each tag of the child, how labels go together along an edge. Sum-product messages, upward then downward, give exact marginals; the
 text of leaves whose marginal is over a half is the main text. The potentials are learned from labelled
 pages by the gradient of the exact likelihood, which the same messages give.
 
@@ -79,7 +79,7 @@ def _attribute_features(attributes: str) -> tuple[tuple[int, ...], bool]:
 
 
 def parse(page: str | None) -> Tree:
-    """Block elements and runs of text between them. Inline tags are no nodes; line breaks are white space."""
+    """Block elements and runs of text between them; a missing body is put in. Inline tags are no nodes; line breaks are white space."""
     t = Tree([TAGS["html"]], [-1], [[BIAS, TAG0 + TAGS["html"]]], [None], [False])
     if not page:
         return t
@@ -87,12 +87,23 @@ def parse(page: str | None) -> Tree:
     parts: list[str] = []
     linked = in_link = 0
 
+    def node(name, tag, words=(), marked=False):
+        up = stack[-1][1]
+        t.tag.append(tag)
+        t.parent.append(up)
+        t.features.append([BIAS, TAG0 + tag, PARENT0 + t.tag[up], PAIR0 + len(TAGS) * t.tag[up] + tag, *words])
+        t.text.append(None)
+        t.mark.append(t.mark[up] or marked)
+        stack.append((name, len(t.tag) - 1))
+
     def leaf():
         nonlocal linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
+                if len(stack) == 1:
+                    node("body", TAGS["body"])
                 up = stack[-1][1]
                 n = len(text)
                 share = min(1.0, linked / max(n, 1))
@@ -169,15 +180,12 @@ def parse(page: str | None) -> Tree:
             pop(*CLOSES[name])
         if name in VOID:
             continue
-        up = stack[-1][1]
-        tag = TAGS.get(name, OTHER)
+        if name == "html":
+            continue
+        if len(stack) == 1 and name not in ("head", "body"):
+            node("body", TAGS["body"])
         words, marked = _attribute_features(m[3])
-        t.tag.append(tag)
-        t.parent.append(up)
-        t.features.append([BIAS, TAG0 + tag, PARENT0 + t.tag[up], PAIR0 + len(TAGS) * t.tag[up] + tag, *words])
-        t.text.append(None)
-        t.mark.append(t.mark[up] or marked)
-        stack.append((name, len(t.tag) - 1))
+        node(name, TAGS.get(name, OTHER), words, marked)
     leaf()
     return t
 
@@ -185,7 +193,7 @@ def parse(page: str | None) -> Tree:
 @dataclass
 class Potentials:
     node: np.ndarray  # score of "content" by feature
-    edge: np.ndarray  # 2 x 2, parent label by child label
+    edge: np.ndarray  # tag of the child x 2 x 2, parent label by child label
 
 
 class ForestBatch:
@@ -195,6 +203,7 @@ class ForestBatch:
         base = np.cumsum([0] + [len(t.tag) for t in trees])
         self.base = base
         self.parent = np.concatenate([np.where(np.array(t.parent) < 0, -1, np.array(t.parent) + b) for t, b in zip(trees, base)])
+        self.tag = np.concatenate([np.array(t.tag) for t in trees])
         flat = [f for t in trees for f in t.features]
         sizes = np.array([len(f) for f in flat])
         self.features = np.concatenate([np.array(f) for f in flat])
@@ -218,7 +227,7 @@ class ForestBatch:
         up = np.zeros_like(u)
         inside = u.copy()
         for level in self.levels[:0:-1]:
-            x = inside[level][:, None, :] + w.edge[None]
+            x = inside[level][:, None, :] + w.edge[self.tag[level]]
             up[level] = np.logaddexp(x[:, :, 0], x[:, :, 1])
             np.add.at(inside, self.parent[level], up[level])
         roots = self.levels[0]
@@ -228,31 +237,32 @@ class ForestBatch:
         for level in self.levels[1:]:
             p = self.parent[level]
             rest = inside[p] + down[p] - up[level]
-            x = rest[:, :, None] + w.edge[None] + inside[level][:, None, :]
+            x = rest[:, :, None] + w.edge[self.tag[level]] + inside[level][:, None, :]
             top = x.max((1, 2), keepdims=True)
             e = np.exp(x - top)
             joint[level] = e / e.sum((1, 2), keepdims=True)
-            y = rest[:, :, None] + w.edge[None]
+            y = rest[:, :, None] + w.edge[self.tag[level]]
             down[level] = np.logaddexp(y[:, 0], y[:, 1])
         belief = inside + down
         return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -700, 700))), joint, log_z
 
 
-def train(trees: list[Tree], rounds: int = 200, rate: float = 0.1, decay: float = 2e-4) -> Potentials:
+def train(trees: list[Tree], rounds: int = 200, rate: float = 0.15, decay: float = 5e-5) -> Potentials:
     """Gradient ascent (with adaptive steps) on the exact log-likelihood of the labels, mean by node."""
     f = ForestBatch(trees)
     y = np.array([m for t in trees for m in t.mark], int)
     n, k = len(y), len(FEATURES)
     child = np.flatnonzero(f.parent >= 0)
     seen_node = np.bincount(f.features, y[f.owner], minlength=k)
-    seen_edge = np.zeros((2, 2))
-    np.add.at(seen_edge, (y[f.parent[child]], y[child]), 1)
-    w = Potentials(np.zeros(k), np.zeros((2, 2)))
-    m = [np.zeros(k), np.zeros((2, 2))]
-    v = [np.zeros(k), np.zeros((2, 2))]
+    shape = (len(TAGS), 2, 2)
+    seen_edge = np.zeros(shape)
+    np.add.at(seen_edge, (f.tag[child], y[f.parent[child]], y[child]), 1)
+    w = Potentials(np.zeros(k), np.zeros(shape))
+    m = [np.zeros(k), np.zeros(shape)]
+    v = [np.zeros(k), np.zeros(shape)]
     for step in range(1, rounds + 1):
         p, joint, _ = f.sum_product(w)
-        g = [(seen_node - np.bincount(f.features, p[f.owner], minlength=k)) / n - decay * w.node, (seen_edge - joint[child].sum(0)) / n - decay * w.edge]
+        g = [(seen_node - np.bincount(f.features, p[f.owner], minlength=k)) / n - decay * w.node, (seen_edge - _by_tag(f.tag[child], joint[child])) / n - decay * w.edge]
         for i, x in enumerate((w.node, w.edge)):
             m[i] = 0.9 * m[i] + 0.1 * g[i]
             v[i] = 0.99 * v[i] + 0.01 * g[i] ** 2
@@ -260,14 +270,21 @@ def train(trees: list[Tree], rounds: int = 200, rate: float = 0.1, decay: float
     return w
 
 
+def _by_tag(tag: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(TAGS), 2, 2))
+    np.add.at(out, tag, joint)
+    return out
+
+
 def labelled_pages(count: int = 400, seed: int = 3) -> list[str]:
     """Pages of many layouts, made up by rule, whose content elements carry a data-main mark."""
     rng = np.random.default_rng(seed)
     pick = lambda *x: x[rng.integers(len(x))]
-    words = lambda a, b: " ".join("".join(pick("ka", "to", "ri", "mel", "un", "sha", "po", "ent") for _ in range(rng.integers(1, 4))) for _ in range(rng.integers(a, b)))
+    made = np.array(["".join(pick("ka", "to", "ri", "mel", "un", "sha", "po", "ent") for _ in range(k % 3 + 1)) for k in range(300)])
+    words = lambda a, b: " ".join(made[rng.integers(0, len(made), rng.integers(a, b))])
     link = lambda: f'<a href="/{words(1, 2)}">{words(1, 4)}</a>'
     links = lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.integers(2, 8))) + "</ul>"
-    para = lambda: pick(f"<p>{words(1, 90)}.</p>", f"<p>{words(8, 60)} {link()} {words(4, 30)}.</p>", f"<p><b>{words(2, 9)}.<br><p>{words(20, 90)}.</p>", f"<p>{words(2, 120)}.")
+    para = lambda: pick(f"<p>{words(1, 90)}.</p>", f"<p>{words(1, 4)}.</p>", f"<p>{words(9, 20) * 20}.</p>", f"<p>{words(2, 3) * 30}</p>", f"<p>{words(1, 4)}.</p>" * 20, f"<p>{words(8, 60)} {link()} {words(4, 30)}.</p>", f"<p><b>{words(2, 9)}.<br><p>{words(20, 90)}.</p>", f"<p>{words(2, 120)}.")
     block = lambda: pick(para(), para(), para(), para(), f"<h2>{words(1, 7)}</h2>", f"<ul><li>{words(2, 20)}</li><li>{words(2, 20)}</li></ul>", f"<ol><li>{words(2, 20)}<li>{words(2, 20)}</ol>", f"<blockquote><p>{words(8, 40)}</p></blockquote>", f"<pre>{words(4, 20)}</pre>", f"<table><tr><th>{words(1, 3)}</th><td>{words(1, 8)}</td></tr></table>", f"<figure><img src=x><figcaption>{words(3, 12)}</figcaption></figure>", f"<div>{words(10, 60)}</div>", f"<section><h3>{words(1, 6)}</h3><p>{words(10, 60)}</p></section>")
 
     def boiler() -> str:
@@ -284,7 +301,7 @@ def labelled_pages(count: int = 400, seed: int = 3) -> list[str]:
 
     def page() -> str:
         title = words(2, 10)
-        inner = f"<h1>{title}</h1>" * int(rng.random() < 0.9) + "".join(block() for _ in range(pick(1, 1, 2, 3, 5, 8, 12)))
+        inner = f"<h1>{title}</h1>" * int(rng.random() < 0.8) + "".join(block() for _ in range(pick(1, 1, 2, 3, 5, 8, 12, 30)))
         within = rng.random() < 0.3
         if within:
             cut = inner.rfind("<p>")
@@ -297,8 +314,10 @@ def labelled_pages(count: int = 400, seed: int = 3) -> list[str]:
             core = f"<main>{core}{boiler() if rng.random() < 0.5 else ''}</main>"
         top = pick("", f"<header><p>{words(1, 9)}</p>{pick('', links())}</header>", f'<div class="header">{words(1, 6)}</div>', f"<header><h1>{words(1, 4)}</h1></header>")
         foot = pick("", f"<footer>&copy; {words(2, 20)}</footer>", f"<footer><p>{words(2, 20)}</p>{links()}</footer>", f'<div id="footer">{words(2, 20)} {link()}</div>')
-        before, after = "".join(boiler() for _ in range(rng.integers(0, 4))), "".join(boiler() for _ in range(rng.integers(0, 4)))
+        before, after = "".join(boiler() for _ in range(pick(0, 0, 1, 2, 3))), "".join(boiler() for _ in range(pick(0, 0, 1, 2, 3)))
         end = pick("</body></html>", "")
+        if rng.random() < 0.2:
+            top = before = after = foot = ""
         return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body>{top}{before}{core}{after}{foot}{end}"
 
     return [page() for _ in range(count)]
