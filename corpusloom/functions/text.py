@@ -28,7 +28,7 @@ def is_all_caps(c: Column, least: int = 3) -> Column:
 
 
 #: Minor words that a title may hold in lower case.
-MINOR_WORDS = ("a", "an", "the", "and", "or", "but", "in", "on", "of", "to", "for")
+MINOR_WORDS = ("a", "an", "the", "in", "on", "of", "for", "with", "and", "but", "or")
 
 
 def is_title_case(c: Column) -> Column:
@@ -133,7 +133,7 @@ def squeeze_blank_lines(c: Column) -> Column:
 
 
 #: Tokens that Markdown would take as its own, in the order they are wrapped.
-WRAPPED = (r"<[A-Za-z/][^<>`]*>", r"\{\{[^{}`]*\}\}", r"(?<![`{])\{(?![{`])", r"(?<![`}])\}(?![}`])", r"\\\|", r"\\\w+(?![«»])", r"(?U)(?<![\w`]):(?!`)")
+WRAPPED = (r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^>]*)?/?>", r"\{\{[^}]*\}\}", r"(?<!\{)\{(?!\{)", r"(?<!\})\}(?!\})", r"\\\|", r"\\[a-zA-Z]+", r"(?U)(?<!\w):")
 
 
 def wrap_markdown(c: Column) -> Column:

@@ -12,7 +12,7 @@ SAMPLE_PAGES, CANDIDATES, TOP_LEVEL = 5, 5, 3
 TOLERANCE = 0.5
 TOP, BOTTOM = 0.15, 0.85
 #: Parts of the names of symbol fonts.
-ICON_FONTS = ("fontawesome", "material", "icon", "symbol", "wingding", "webding", "dingbat", "glyph")
+ICON_FONTS = ("fontawesome", "material", "glyphicons", "icomoon", "icon", "symbol", "wingdings", "webdings")
 
 
 def position() -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as X
+
 
 def to_pixels(box: Column, width_pt: Column, height_pt: Column, width_px: Column, height_px: Column) -> Column:
     """A box in points as one in whole pixels."""
@@ -26,13 +28,13 @@ def table_markdown(answer: Column) -> Column:
 
 
 #: Words near which a table is likely to stand.
-ANCHORS = ("table", "armor class", "weapon", "cost", "damage", "level")
+ANCHORS = ("Tables", "Weapons", "Armor Class", "Damage", "Range", "|")
 
 
 def sample_window(text: Column, most: int = 3500) -> Column:
     """At most ``most`` characters around the first anchor word, else the text's head and tail."""
-    low = F.lower(text)
-    at = F.array_min(F.filter(F.array(*[F.position(F.lit(w), low) for w in ANCHORS]), lambda p: p > 0))
+    text = X.strip(text)
+    at = F.array_min(F.filter(F.array(*[F.position(F.lit(w), text) for w in ANCHORS]), lambda p: p > 0))
     half = most // 2
     around = F.substr(text, F.greatest(F.lit(1), at - half), F.lit(most))
     ends = F.concat(F.left(text, F.lit(half)), F.lit("\n...\n"), F.right(text, F.lit(half)))

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 
-#: Words that a note box begins with, and phrases of text meant to be read aloud.
-NOTE_KEYWORDS = ("note", "tip", "warning", "important", "gm note", "sidebar", "optional", "example")
-READ_ALOUD = ("read aloud", "read or paraphrase", "read the following", "boxed text")
+#: Phrases that a note for the game master holds, and phrases of text meant to be read aloud.
+NOTE_KEYWORDS = ("gm note", "gm notes", "game master note", "keeper note", "keeper notes", "dm note", "dm notes", "dungeon master note")
+READ_ALOUD = ("read aloud", "read the following", "boxed text", "sidebar")
+
+#: Words that head a printed outline, and terms that spelling repair must leave alone.
+TOC_KEYWORDS = ("contents", "table of contents", "index")
+DOMAIN_TERMS = ("AC", "HP", "DC", "STR", "DEX", "CON", "INT", "WIS", "CHA", "THAC0", "XP", "GP", "SP", "CP", "PP", "EP", "DM", "GM", "PC", "NPC", "BBEG")
 
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:
@@ -103,11 +107,11 @@ def visual_toc_page(pages: DataFrame) -> DataFrame:
     head = F.lower(F.substring("text", 1, 500))
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     numbered = F.size(F.filter(lines, lambda x: F.contains(F.lower(x), F.lit("page ")) | F.rtrim(x).rlike(r"([1-9]|[1-9]0)$")))
-    hit = F.contains(head, F.lit("table of contents")) | F.contains(head, F.lit("contents")) | ((numbered >= 5) & (F.size(lines) >= 8))
+    hit = contains_any(head, TOC_KEYWORDS) | ((numbered >= 5) & (F.size(lines) >= 8))
     return pages.where((F.col("page_no") <= 3) & hit).groupBy("doc_id").agg(F.min("page_no").alias("page_no"))
 
 
-def domain_terms(samples: DataFrame, fixed: tuple[str, ...] = ()) -> DataFrame:
+def domain_terms(samples: DataFrame, fixed: tuple[str, ...] = DOMAIN_TERMS) -> DataFrame:
     """Distinct upper-case alphabetic words of at least two letters of the samples, with the fixed terms."""
     w = samples.select(F.explode(F.split("sample", r"\s+")).alias("w"))
     w = w.select(F.upper(F.regexp_replace("w", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")).alias("term")).where(F.col("term").rlike(r"^\p{L}{2,}$"))

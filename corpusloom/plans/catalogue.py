@@ -96,7 +96,7 @@ PARAGRAPHS = f"""{LINES}, p AS (
 ), merged AS (
   SELECT doc_id, island, min(line_no) AS line_no, string_agg(CASE WHEN plain THEN s ELSE line END, ' ' ORDER BY line_no) AS line FROM i GROUP BY doc_id, island
 )"""
-TITLE = "(regexp_matches({0}, '^\\p{{Lu}}') AND len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: NOT (list_contains(['a','an','the','and','or','but','in','on','of','to','for'], lower(w)) OR regexp_matches(w, '^\\p{{Lu}}')))) = 0)"
+TITLE = "(regexp_matches({0}, '^\\p{{Lu}}') AND len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: NOT (list_contains(['a','an','the','in','on','of','for','with','and','but','or'], lower(w)) OR regexp_matches(w, '^\\p{{Lu}}')))) = 0)"
 
 
 @register(f"""
@@ -272,10 +272,10 @@ def ag13_body_size(spark, sf_dir):
 
 @register(f"""
 WITH {SIGS}, w AS (SELECT unnest(regexp_split_to_array(sample, '\\s+')) AS w FROM sigs WHERE regexp_matches(sample, '^[\\x20-\\x7e]*$'))
-SELECT DISTINCT upper(t) AS term FROM (SELECT regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') AS t FROM w) WHERE regexp_matches(t, '^[A-Za-z]{{2,}}$') UNION SELECT 'HP'""")
+SELECT DISTINCT upper(t) AS term FROM (SELECT regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') AS t FROM w) WHERE regexp_matches(t, '^[A-Za-z]{{2,}}$') UNION SELECT unnest(['AC','HP','DC','STR','DEX','CON','INT','WIS','CHA','THAC0','XP','GP','SP','CP','PP','EP','DM','GM','PC','NPC','BBEG'])""")
 def ag21_domain_terms(spark, sf_dir):
     s = fonts.signatures(spans_of(spark, sf_dir)).where(F.col("sample").rlike(r"^[\x20-\x7e]*$"))
-    return structure.domain_terms(s, ("HP",))
+    return structure.domain_terms(s)
 
 
 # -- marking -------------------------------------------------------------------------------------------
@@ -437,7 +437,7 @@ def hd05_labels(spark, sf_dir):
 
 @register(f"""
 WITH {LINES}, p AS (SELECT doc_id, line_no // 10 + 1 AS page_no, string_agg(line || CASE WHEN doc_id % 2 = 0 THEN ' 17' ELSE '' END, chr(10) ORDER BY line_no) AS text FROM lines WHERE line_no < 40 GROUP BY ALL)
-SELECT doc_id, CAST(min(page_no) AS INT) AS page_no FROM p WHERE page_no <= 3 AND (contains(lower(substring(text, 1, 500)), 'contents') OR (len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) >= 8 AND len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND (contains(lower(x), 'page ') OR regexp_matches(rtrim(x), '([1-9]|[1-9]0)$')))) >= 5)) GROUP BY doc_id""")
+SELECT doc_id, CAST(min(page_no) AS INT) AS page_no FROM p WHERE page_no <= 3 AND (contains(lower(substring(text, 1, 500)), 'contents') OR contains(lower(substring(text, 1, 500)), 'index') OR (len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) >= 8 AND len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND (contains(lower(x), 'page ') OR regexp_matches(rtrim(x), '([1-9]|[1-9]0)$')))) >= 5)) GROUP BY doc_id""")
 def wn08_visual_toc(spark, sf_dir):
     numbered = docs_of(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.replace("text", F.lit("\n"), F.lit(" 17\n")), F.lit(" 17"))).otherwise(F.col("text")))
     return structure.visual_toc_page(tables.pages_of(numbered))
