@@ -130,7 +130,7 @@ def src06_blocks(spark, sf_dir):
     return spans_of(spark, sf_dir).groupBy("doc_id", "page_no", "block_no").agg(F.count("*").alias("n_spans"), F.count_distinct("font").alias("n_fonts"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@register(f"WITH {LINES}, {TOC} SELECT doc_id, ord AS line_no, CAST(level AS INT) AS level, {STRIP.format('title')} AS title, CAST(ord + 1 AS INT) AS page FROM toc")
+@register(f"WITH {LINES}, {TOC} SELECT doc_id, CAST(ord AS INT) AS line_no, CAST(level AS INT) AS level, {STRIP.format('title')} AS title, CAST(ord + 1 AS INT) AS page FROM toc")
 def src10_toc_parse(spark, sf_dir):
     toc = toc_of(spark, sf_dir).withColumn("title", X.strip(F.col("title")))
     written = toc.select("doc_id", F.col("ord").alias("line_no"), F.concat(F.repeat(F.lit("  "), F.col("level") - 1), "title", F.lit(" (page "), (F.col("ord") + 1).cast("string"), F.lit(")")).alias("line"))
@@ -196,7 +196,7 @@ def prj10_extractable(spark, sf_dir):
     return t.select("doc_id", "extractable", F.array_join(found, ",").alias("warnings"))
 
 
-@register(f"WITH {LINES} SELECT doc_id, line_no, {NORM.format('line')} AS norm FROM lines WHERE line_no < 3")
+@register(f"WITH {LINES} SELECT doc_id, CAST(line_no AS INT) AS line_no, {NORM.format('line')} AS norm FROM lines WHERE line_no < 3")
 def prj18_norm_heading(spark, sf_dir):
     return lines_of(spark, sf_dir).where("line_no < 3").select("doc_id", "line_no", X.norm_heading(F.col("line")).alias("norm"))
 
@@ -222,14 +222,14 @@ def prj24_duration(spark, sf_dir):
 # -- signatures ----------------------------------------------------------------------------------------
 
 
-@register(f"WITH {SIGS} SELECT doc_id, sig, ord, family, size, weight, style, frequency, sample, candidate_heading, CAST(suggested_level AS INT) AS suggested_level FROM sigs")
+@register(f"WITH {SIGS} SELECT doc_id, sig, CAST(ord AS INT) AS ord, family, size, weight, style, frequency, sample, candidate_heading, CAST(suggested_level AS INT) AS suggested_level FROM sigs")
 def wn02_signatures(spark, sf_dir):
     return fonts.signatures(spans_of(spark, sf_dir))
 
 
 @register(f"""
 WITH {SIGS}, dims AS (SELECT doc_id, family, size, min(ord) AS at, arg_max(sig, ord) AS sig FROM sigs GROUP BY ALL)
-SELECT s.doc_id, s.page_no, s.line_no, s.span_no, arg_min(d.sig, d.at) AS sig FROM styled s JOIN dims d ON s.doc_id = d.doc_id AND s.family = d.family AND abs(s.size + 0.3 - d.size) < 0.5 GROUP BY ALL""")
+SELECT s.doc_id, s.page_no, CAST(s.line_no AS INT) AS line_no, CAST(s.span_no AS INT) AS span_no, arg_min(d.sig, d.at) AS sig FROM styled s JOIN dims d ON s.doc_id = d.doc_id AND s.family = d.family AND abs(s.size + 0.3 - d.size) < 0.5 GROUP BY ALL""")
 def jn02_tolerance_match(spark, sf_dir):
     spans = spans_of(spark, sf_dir)
     return fonts.tolerant(spans.withColumn("size", F.col("size") + 0.3), fonts.signatures(spans)).select("doc_id", "page_no", "line_no", "span_no", "sig")
@@ -281,7 +281,7 @@ def ag21_domain_terms(spark, sf_dir):
 # -- marking -------------------------------------------------------------------------------------------
 
 
-@register(f"WITH {SPANS}, g AS (SELECT doc_id, max(page_no) AS n FROM spans GROUP BY doc_id), s AS (SELECT doc_id, n, unnest(range(0, n, 3)) AS start FROM g) SELECT doc_id, CAST(start // 3 AS INT) AS chunk, start + 1 AS first_page, least(start + 3, n) AS last_page FROM s")
+@register(f"WITH {SPANS}, g AS (SELECT doc_id, max(page_no) AS n FROM spans GROUP BY doc_id), s AS (SELECT doc_id, n, unnest(range(0, n, 3)) AS start FROM g) SELECT doc_id, CAST(start // 3 AS INT) AS chunk, CAST(start + 1 AS INT) AS first_page, CAST(least(start + 3, n) AS INT) AS last_page FROM s")
 def txt01_chunks(spark, sf_dir):
     return marking.chunks(spans_of(spark, sf_dir).select("doc_id", "page_no"), 3)
 
@@ -298,7 +298,7 @@ def txt06_page_merge(spark, sf_dir):
     return marking.merged(marked_of(spark, sf_dir)).select("doc_id", F.md5("text").alias("text_md5"))
 
 
-@register(f"WITH {LINES} SELECT doc_id, line_no // 10 + 1 AS page_no, line_no, 'hyphen' AS type, right(regexp_replace(line || CASE WHEN line_no % 5 = 0 THEN '- ' ELSE '' END, '\\s+$', ''), 20) AS text FROM lines WHERE line_no % 5 = 0 OR regexp_matches(line, '-\\s*$')")
+@register(f"WITH {LINES} SELECT doc_id, line_no // 10 + 1 AS page_no, CAST(line_no AS INT) AS line_no, 'hyphen' AS type, right(regexp_replace(line || CASE WHEN line_no % 5 = 0 THEN '- ' ELSE '' END, '\\s+$', ''), 20) AS text FROM lines WHERE line_no % 5 = 0 OR regexp_matches(line, '-\\s*$')")
 def txt07_boundaries(spark, sf_dir):
     t = lines_of(spark, sf_dir).withColumn("line", F.concat("line", F.when(F.col("line_no") % 5 == 0, "- ").otherwise(""))).withColumn("page_no", F.floor(F.col("line_no") / 10) + 1)
     return marking.boundaries(t)
@@ -402,7 +402,7 @@ def jn03_toc_levels(spark, sf_dir):
 
 @register(f"""
 WITH {LINES}, c AS (SELECT {STRIP.format("k")} AS key, min(item_id) AS item FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS k FROM benchmark) GROUP BY 1)
-SELECT doc_id, line_no, 'b' || item AS label FROM lines JOIN c ON key = {STRIP.format("line")} WHERE key <> ''""")
+SELECT doc_id, CAST(line_no AS INT) AS line_no, 'b' || item AS label FROM lines JOIN c ON key = {STRIP.format("line")} WHERE key <> ''""")
 def jn05_callout_members(spark, sf_dir):
     m = lines_of(spark, sf_dir).select("doc_id", "line_no", F.col("line").alias("text"))
     b = tables.parquet(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("label"), "text")
@@ -614,7 +614,7 @@ def ck09_severity(spark, sf_dir):
     return runs.phase_status(steps_of(spark, sf_dir))
 
 
-@register(f"WITH {STEPS}, d AS (SELECT doc_id, list(phase) FILTER (s < 2) AS done FROM ph GROUP BY doc_id) SELECT doc_id, len(coalesce(done, [])) AS completed, list_min(list_filter(range(0, 11), lambda x: NOT list_contains(coalesce(done, []), CAST(x AS INT)))) AS next_phase, CASE WHEN len(coalesce(done, [])) = 11 THEN 'completed' ELSE 'in_progress' END AS state FROM d")
+@register(f"WITH {STEPS}, d AS (SELECT doc_id, list(phase) FILTER (s < 2) AS done FROM ph GROUP BY doc_id) SELECT doc_id, CAST(len(coalesce(done, [])) AS INT) AS completed, CAST(list_min(list_filter(range(0, 11), lambda x: NOT list_contains(coalesce(done, []), CAST(x AS INT)))) AS INT) AS next_phase, CASE WHEN len(coalesce(done, [])) = 11 THEN 'completed' ELSE 'in_progress' END AS state FROM d")
 def ck05_status(spark, sf_dir):
     return runs.status_table(runs.phase_status(steps_of(spark, sf_dir)))
 
@@ -712,7 +712,7 @@ def wn03_sequential(spark, sf_dir):
     return e.select("doc_id", X.sequential(F.sequence(F.lit(1), F.col("n"))).alias("sequential"))
 
 
-@register(f"WITH {LINES} SELECT doc_id, line_no, regexp_replace(line || ' ..... ' || line_no, '\\s*\\.{{2,}}\\s*([0-9]+)\\s*$', ' \\1') AS line FROM lines WHERE line_no < 2")
+@register(f"WITH {LINES} SELECT doc_id, CAST(line_no AS INT) AS line_no, regexp_replace(line || ' ..... ' || line_no, '\\s*\\.{{2,}}\\s*([0-9]+)\\s*$', ' \\1') AS line FROM lines WHERE line_no < 2")
 def poc03_leaders(spark, sf_dir):
     t = lines_of(spark, sf_dir).where("line_no < 2")
     return t.select("doc_id", "line_no", cleaning.clean_leaders(F.concat("line", F.lit(" ..... "), F.col("line_no").cast("string"))).alias("line"))
