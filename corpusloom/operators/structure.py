@@ -15,6 +15,8 @@ READ_ALOUD = ("read aloud", "read the following", "boxed text", "sidebar")
 TOC_KEYWORDS = ("contents", "table of contents", "index")
 DOMAIN_TERMS = ("AC", "HP", "DC", "STR", "DEX", "CON", "INT", "WIS", "CHA", "THAC0", "XP", "GP", "SP", "CP", "PP", "EP", "DM", "GM", "PC", "NPC", "BBEG")
 
+MAX_RULES = 1000
+
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:
     low = F.lower(text)
@@ -90,14 +92,14 @@ def boundary_capture(blocks: DataFrame, rules: DataFrame) -> DataFrame:
     A block that holds the start opens (even if an end comes earlier in it); the end closes; a start
     without an end captures to the document's end. ``rules`` is a small table, sent to every task.
     """
-    t = blocks.join(F.broadcast(rules.limit(1000)), F.lit(True))
-    s, e = F.locate("start_text", "text"), F.lit(0)
+    if (n := rules.count()) > MAX_RULES:
+        raise ValueError(f"{n} rules; at most {MAX_RULES} can be sent to every task")
+    t = blocks.join(F.broadcast(rules), F.lit(True))
     t = t.withColumn("s", F.expr("locate(start_text, text)")).withColumn("e", F.expr("locate(end_text, text, greatest(locate(start_text, text), 1))"))
     event = F.when(F.col("s") > 0, F.when(F.col("e") > 0, "both").otherwise("open")).when(F.col("e") > 0, "close")
     w = Window.partitionBy("label", "doc_id").orderBy("ord")
     was = F.last(F.when(event.isin("both", "close"), "close").when(event == "open", "open"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     t = t.withColumn("event", event).withColumn("inside", F.coalesce(was == "open", F.lit(False)))
-    stop = F.col("e") + F.length("end_text")
     text = F.when(F.col("event") == "both", F.expr("substring(text, s, e + length(end_text) - s)")).when(F.col("event") == "open", F.expr("substring(text, s)")).when(F.col("inside") & (F.col("event") == "close"), F.expr("substring(text, 1, e + length(end_text) - 1)")).when(F.col("inside"), F.col("text"))
     return t.withColumn("captured", text).where("captured is not null").select("label", "doc_id", "ord", F.col("captured").alias("text"))
 
