@@ -1,7 +1,7 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed n-grams, one of target texts and one of all raw texts, give each
-text a log importance weight; adding Gumbel noise to the weights and keeping the k largest draws k
+Two generative models over hashed n-grams, one of target texts and one of the other labelled texts, give
+each text a log importance weight; adding Gumbel noise to the weights and keeping the k largest draws k
 texts without replacement in proportion to their weights.
 
 The models are of presence: a text draws each hashed n-gram at most once, so length and repetition do
@@ -90,13 +90,14 @@ def gumbel(ids: np.ndarray, texts_key: np.ndarray, seed: int) -> np.ndarray:
 
 
 class ImportanceResampler:
-    """Scores and samples texts by how much likelier they are among target texts than among all.
+    """Scores and samples texts by how much likelier they are among target texts than among the other labelled ones.
 
     Target texts are those of the labelled rows with quality 1 and toxic 0 in every label row; of the
     labelled ids, at most about ``max_labels`` are used (chosen by hash; the bound of what is broadcast).
-    The raw model counts every text. Null or empty texts have no n-gram and weight 0. A null id is never
+    The other model counts the rest of them, so what tells depends on the labels and not on how many texts
+    have none. Null or empty texts have no n-gram and weight 0. A null id is never
     labelled. Repeated rows are scored alike and drawn alike, so ties beyond k only come from them.
-    Without any target label all weights are 0.
+    Without any target label, or without any other, all weights are 0.
     """
 
     def __init__(self, prior: float = 2.0, least: float = 2.0, sigmas: float = 4.0, temperature: float = 0.05, seed: int = 7, max_labels: int = 50_000):
@@ -112,7 +113,7 @@ class ImportanceResampler:
         if total > self.max_labels:
             lab = lab.where(F.pmod(F.xxhash64("lid"), F.lit(1 << 30)) < int(self.max_labels / total * (1 << 30)))
         lab = lab.groupBy("lid").agg(F.coalesce((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0), F.lit(False)).alias("good"))
-        src = docs.select(F.col(id_col).alias("lid"), F.col(text_col).alias("text")).join(F.broadcast(lab), "lid", "left").select("text", "good")
+        src = docs.select(F.col(id_col).alias("lid"), F.col(text_col).alias("text")).join(F.broadcast(lab), "lid").select("text", "good")
 
         def count(batches):
             n = np.zeros((2, SIZE), np.int64)
@@ -138,14 +139,15 @@ class ImportanceResampler:
         n = np.zeros((2, SIZE))
         for r in counts.collect():  # SIZE counts in all, whatever the input
             n[:, r.chunk * CHUNK : (r.chunk + 1) * CHUNK] += np.frombuffer(r.counts, np.int64).reshape(2, CHUNK)
-        all_raw, all_target = n[0, SPACE], n[1, SPACE]
+        labelled, target = n[0, SPACE], n[1, SPACE]
+        rest = labelled - target
         self.counts = n
         self.ratio = np.zeros(SPACE, np.float32)
-        if all_raw and all_target:
-            expected = n[0, :SPACE] * (all_target / all_raw)
-            seen = n[1, :SPACE]
-            ratio = np.log((seen + self.prior) / (expected + self.prior))
-            ratio[(np.abs(ratio) < self.least) | (np.abs(seen - expected) < self.sigmas * np.sqrt(expected + 1))] = 0
+        if target and rest:
+            share, both, seen = target / labelled, n[0, :SPACE], n[1, :SPACE]
+            ratio = np.log((seen + self.prior) / (target + 2 * self.prior)) - np.log((both - seen + self.prior) / (rest + 2 * self.prior))
+            chance = np.sqrt(both * share * (1 - share) + 1)
+            ratio[(np.abs(ratio) < self.least) | (np.abs(seen - both * share) < self.sigmas * chance)] = 0
             self.ratio = ratio.astype(np.float32)
         self.cut = -self.least / 2
         return self

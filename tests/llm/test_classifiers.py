@@ -64,6 +64,16 @@ def test_quality_drops_what_labels_reject(spark):
     assert {r.doc_id for r in judged if r.kept} == kept
 
 
+def test_quality_tells_rare_words_whatever_is_unlabelled(spark):
+    """30 of 1,000 texts hold a toxic word and 12 of them are labelled; more unlabelled texts change nothing."""
+    text = lambda i: "some %d clean words about %s and rivers" % (i, "an idiot" if i % 33 == 7 else "gardens")
+    labels = spark.createDataFrame([(i, 1, int(i % 33 == 7)) for i in range(400)], "doc_id long, quality int, toxic int")
+    for n in (1000, 3000):
+        docs = spark.createDataFrame([(i, text(i)) for i in range(n)], "doc_id long, text string")
+        kept = {r.doc_id for r in ImportanceResampler().fit(docs, labels).sample(docs).collect()}
+        assert kept == {i for i in range(n) if i % 33 != 7}
+
+
 def test_quality_odd_rows(spark):
     docs = odd_documents(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
