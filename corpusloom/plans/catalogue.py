@@ -244,7 +244,7 @@ WITH t AS (
 SELECT DISTINCT doc_id, kind AS sig, CASE kind WHEN 'w' THEN 'watermark' WHEN 'n' THEN 'page_number' ELSE 'footer' END AS category, CASE kind WHEN 'f' THEN 'medium' WHEN 's' THEN 'low' ELSE 'high' END AS confidence,
   CASE WHEN kind IN ('n', 'f') THEN 'bottom' ELSE 'mixed' END AS position, CAST(4 AS BIGINT) AS cnt FROM t""")
 def ag07_footer_classes(spark, sf_dir):
-    d = docs_of(spark, sf_dir).where("doc_id % 10 = 0").select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("page_no"))
+    d = docs_of(spark, sf_dir).select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("page_no"))
     d = d.withColumn("sig", F.explode(F.array(*[F.lit(x) for x in "wnfs"]))).withColumn("line_no", F.lit(0)).withColumn("span_no", F.lit(0))
     k = F.col("sig")
     d = d.withColumn("text", F.when(k == "w", "DRAFT").when(k == "n", F.col("page_no").cast("string")).when(k == "f", F.concat("source", (F.col("page_no") % 2).cast("string"))).otherwise(F.concat(F.lit("x"), F.col("page_no").cast("string"))))
@@ -420,7 +420,7 @@ top AS (SELECT doc_id, sig, label, row_number() OVER (PARTITION BY doc_id ORDER
 
 @register(f"WITH {LABELS} SELECT b.doc_id, b.sig, CASE WHEN t.sig IS NULL THEN b.label WHEN b.sig = t.sig THEN 'H1' WHEN b.label = t.label THEN 'H2' ELSE b.label END AS label FROM base b LEFT JOIN top t ON t.doc_id = b.doc_id AND k = 1")
 def wn09_single_top(spark, sf_dir):
-    t = fonts.signatures(spans_of(spark, sf_dir)).where("doc_id % 2 = 0")
+    t = fonts.signatures(spans_of(spark, sf_dir))
     t = t.select("doc_id", "sig", "ord", "size", F.when(F.col("ord") == 3, None).when(F.col("ord") % 2 == 0, "H2").otherwise("H3").alias("label"))
     return structure.single_top(t).select("doc_id", "sig", "label")
 
