@@ -39,3 +39,10 @@ def test_single_top_of_all_documents(spark):
     sigs = catalogue.QUERIES["wn02_signatures"](spark, SF)
     assert df.count() == sigs.count()
     assert df.where("label = 'H1'").count() == sigs.select("doc_id").distinct().count()
+
+
+def test_report_of_an_hour_and_more(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    events = spark.range(4000).select(F.col("id").alias("event_id"), F.lit(at).alias("ts"), F.when(F.col("id") < 3700, 1).otherwise(2).cast("long").alias("user_id"), F.lit("x").alias("event_type"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    assert {r.doc_id for r in catalogue.QUERIES["snk09_report"](spark, str(tmp_path)).collect()} == {1, 2}
