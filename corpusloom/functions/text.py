@@ -66,7 +66,7 @@ def file_size(n: Column) -> Column:
     out = F.format_string("%.1f TB", F.bround(n / float(1024**4), 1))
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
         out = F.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", F.bround(n / float(1024**power), 1))).otherwise(out)
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n.isNotNull(), out)
 
 
 def safe_filename(c: Column) -> Column:

@@ -165,7 +165,7 @@ def prj02_pdf_date(spark, sf_dir):
 
 @register("SELECT doc_id, source AS family, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', n_chars / 1024.0) END AS size, translate(source || ':' || lang || '?', '<>:\"|?*', '_______') AS filename, n_chars // 4 AS tokens FROM documents WHERE n_chars < 1048576")
 def prj03_scalars(spark, sf_dir):
-    d = tables.parquet(spark, sf_dir, "documents").where("n_chars < 1048576")
+    d = tables.parquet(spark, sf_dir, "documents")
     font = F.concat(F.lit("ABCDEF+"), F.initcap("source"), F.lit("-Bold Italic"))
     return d.select("doc_id", X.font_family(font).alias("family"), X.file_size(F.col("n_chars")).alias("size"), X.safe_filename(F.concat("source", F.lit(":"), "lang", F.lit("?"))).alias("filename"), F.floor(F.col("n_chars") / 4).alias("tokens"))
 

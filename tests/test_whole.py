@@ -46,3 +46,11 @@ def test_report_of_an_hour_and_more(spark, tmp_path):
     events = spark.range(4000).select(F.col("id").alias("event_id"), F.lit(at).alias("ts"), F.when(F.col("id") < 3700, 1).otherwise(2).cast("long").alias("user_id"), F.lit("x").alias("event_type"))
     events.write.parquet(str(tmp_path / "events.parquet"))
     assert {r.doc_id for r in catalogue.QUERIES["snk09_report"](spark, str(tmp_path)).collect()} == {1, 2}
+
+
+def test_scalars_of_long_documents(spark, tmp_path):
+    n = [100, 2048, 1 << 20, 5 << 29, None]
+    docs = spark.createDataFrame([(i, "a", "en", "web", x) for i, x in enumerate(n)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r["size"] for r in catalogue.QUERIES["prj03_scalars"](spark, str(tmp_path)).collect()}
+    assert got == {0: "100 B", 1: "2.0 KB", 2: "1.0 MB", 3: "2.5 GB", 4: None}
