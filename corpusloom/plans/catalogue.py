@@ -198,7 +198,7 @@ def prj10_extractable(spark, sf_dir):
 
 @register(f"WITH {LINES} SELECT doc_id, CAST(line_no AS INT) AS line_no, {NORM.format('line')} AS norm FROM lines WHERE line_no < 3")
 def prj18_norm_heading(spark, sf_dir):
-    return lines_of(spark, sf_dir).where("line_no < 3").select("doc_id", "line_no", X.norm_heading(F.col("line")).alias("norm"))
+    return lines_of(spark, sf_dir).select("doc_id", "line_no", X.norm_heading(F.col("line")).alias("norm"))
 
 
 @register("SELECT doc_id, n_chars // 4 AS tokens, CASE WHEN n_chars // 4 > 2000 THEN 'auto' ELSE 'proceed' END AS choice, n_chars // 4 // 800 AS pages FROM (SELECT doc_id, length(text) AS n_chars FROM documents)")
@@ -713,7 +713,7 @@ def wn03_sequential(spark, sf_dir):
 
 @register(f"WITH {LINES} SELECT doc_id, CAST(line_no AS INT) AS line_no, regexp_replace(line || ' ..... ' || line_no, '\\s*\\.{{2,}}\\s*([0-9]+)\\s*$', ' \\1') AS line FROM lines WHERE line_no < 2")
 def poc03_leaders(spark, sf_dir):
-    t = lines_of(spark, sf_dir).where("line_no < 2")
+    t = lines_of(spark, sf_dir)
     return t.select("doc_id", "line_no", cleaning.clean_leaders(F.concat("line", F.lit(" ..... "), F.col("line_no").cast("string"))).alias("line"))
 
 

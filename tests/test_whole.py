@@ -54,3 +54,11 @@ def test_scalars_of_long_documents(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r["size"] for r in catalogue.QUERIES["prj03_scalars"](spark, str(tmp_path)).collect()}
     assert got == {0: "100 B", 1: "2.0 KB", 2: "1.0 MB", 3: "2.5 GB", 4: None}
+
+
+@needs_data
+@pytest.mark.parametrize("name, covered", [("prj18_norm_heading", "line_no < 3"), ("poc03_leaders", "line_no < 2")])
+def test_all_lines(spark, name, covered):
+    df = agrees(spark, name, covered)
+    lines = spark.read.parquet(f"{SF}/documents.parquet").select(F.sum(F.size(F.split("text", "\n")))).first()[0]
+    assert df.count() == lines
