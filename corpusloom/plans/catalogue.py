@@ -274,8 +274,7 @@ def ag13_body_size(spark, sf_dir):
 WITH {SIGS}, w AS (SELECT unnest(regexp_split_to_array(sample, '\\s+')) AS w FROM sigs WHERE regexp_matches(sample, '^[\\x20-\\x7e]*$'))
 SELECT DISTINCT upper(t) AS term FROM (SELECT regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') AS t FROM w) WHERE regexp_matches(t, '^[A-Za-z]{{2,}}$') UNION SELECT unnest(['AC','HP','DC','STR','DEX','CON','INT','WIS','CHA','THAC0','XP','GP','SP','CP','PP','EP','DM','GM','PC','NPC','BBEG'])""")
 def ag21_domain_terms(spark, sf_dir):
-    s = fonts.signatures(spans_of(spark, sf_dir)).where(F.col("sample").rlike(r"^[\x20-\x7e]*$"))
-    return structure.domain_terms(s)
+    return structure.domain_terms(fonts.signatures(spans_of(spark, sf_dir)))
 
 
 # -- marking -------------------------------------------------------------------------------------------

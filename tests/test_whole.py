@@ -62,3 +62,10 @@ def test_all_lines(spark, name, covered):
     df = agrees(spark, name, covered)
     lines = spark.read.parquet(f"{SF}/documents.parquet").select(F.sum(F.size(F.split("text", "\n")))).first()[0]
     assert df.count() == lines
+
+
+def test_domain_terms_beside_and_with_accents(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "plain words", "en", "web"), (2, "für immer schön", "de", "web")], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.term for r in catalogue.QUERIES["ag21_domain_terms"](spark, str(tmp_path)).collect()}
+    assert {"PLAIN", "WORDS", "FÜR", "IMMER", "SCHÖN"} <= got
