@@ -190,12 +190,14 @@ class HiddenMarkovModel:
 
     Text is case-folded (A-Z) and cut at ASCII white space; the end of a text is a token. Null and empty
     texts are the end token alone. A null mark counts as false. Repeated rows count and score as often as they occur. Without any training
-    text every token is unseen. States are started on at most about ``burn_in`` tokens of training texts
-    (chosen by hash; documented bound), then every round counts all of them.
+    text every token is unseen. A first guess comes from at most about ``burn_in`` tokens of training texts
+    (chosen by hash; documented bound); then rounds that count all of them go on until one raises the
+    log-likelihood by less than ``least_gain`` of itself, or for ``rounds`` if given.
     """
 
-    def __init__(self, states: int = 8, rounds: int = 2, burn_in: int = 1_000_000, burn_rounds: int = 30, seed: int = 5):
-        self.states, self.rounds, self.burn_in, self.burn_rounds, self.seed = states, rounds, burn_in, burn_rounds, seed
+    def __init__(self, states: int = 8, rounds: int | None = None, burn_in: int = 1_000_000, burn_rounds: int = 30, seed: int = 5, least_gain: float = 1e-4):
+        self.states, self.rounds, self.burn_in, self.burn_rounds, self.seed, self.least_gain = states, rounds, burn_in, burn_rounds, seed, least_gain
+        self.history: list[float] = []  # log-likelihood of all training texts at the begin of each round
 
     def count(self, docs: DataFrame, text_col: str) -> DataFrame:
         """(h, cls, c): every distinct training token with its count."""
@@ -293,7 +295,7 @@ class HiddenMarkovModel:
             for _ in range(self.burn_rounds):
                 m = reestimate(*expect(m, ids, off)[:3], unigram)
         spark = coded.sparkSession
-        size = k + k * k + symbols * k
+        size = k + k * k + symbols * k + 1
 
         def work(shared):
             def count(batches):
@@ -305,8 +307,8 @@ class HiddenMarkovModel:
                     for x in [*raw, None]:
                         if held and (x is None or n > 1 << 20):
                             ids, off = np.frombuffer(b"".join(held), np.uint16).astype(np.int64), np.cumsum([0] + [len(y) // 2 for y in held])
-                            s, mv, em, _ = expect(m, ids, off)
-                            total += np.concatenate([s, mv.reshape(-1), em.reshape(-1)])
+                            s, mv, em, ll = expect(m, ids, off)
+                            total += np.concatenate([s, mv.reshape(-1), em.reshape(-1), [ll]])
                             held, n = [], 0
                         if x is not None:
                             held.append(x)
@@ -323,13 +325,20 @@ class HiddenMarkovModel:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
 
         schema = "chunk int, counts binary"
-        for _ in range(self.rounds):
-            rows = learnable.mapInArrow(work(spark.sparkContext.broadcast(m)), schema).repartition("chunk").mapInArrow(add, schema).collect()
+        self.history = []
+        while self.rounds is None or len(self.history) < self.rounds:
+            shared = spark.sparkContext.broadcast(m)
+            rows = learnable.mapInArrow(work(shared), schema).repartition("chunk").mapInArrow(add, schema).collect()
+            shared.unpersist()
             total = np.zeros(-(-size // CHUNK) * CHUNK)
             for r in rows:
                 total[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts)
-            if total.any():
-                m = reestimate(total[:k], total[k : k + k * k].reshape(k, k), total[k + k * k : size].reshape(symbols, k), unigram)
+            if not total.any():
+                break
+            m = reestimate(total[:k], total[k : k + k * k].reshape(k, k), total[k + k * k : size - 1].reshape(symbols, k), unigram)
+            self.history.append(float(total[size - 1]))
+            if self.rounds is None and len(self.history) > 1 and self.history[-1] - self.history[-2] < -self.least_gain * self.history[-2]:
+                break
         return m
 
     def run(self, docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -48,6 +48,16 @@ def test_training_raises_the_likelihood():
     assert seen[-1] > seen[0]
 
 
+def test_rounds_over_all_texts_go_on_to_convergence(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(["a b c d".split(), "w x y z".split()][(i + j // 6) % 2]) for j in range(40))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = H.HiddenMarkovModel(states=2, burn_rounds=0)
+    assert model.run(docs, F.lit(True)).count() == 120
+    gains = np.diff(model.history) / -np.array(model.history[:-1])
+    assert len(model.history) > 3 and all(gains[:-1] >= 1e-4) and gains[-1] < 1e-4
+
+
 def test_odd_rows_against_counts(spark):
     docs = odd_documents(spark)
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
