@@ -5,8 +5,10 @@ a sorted array of these strings. A query descends each tree to its longest match
 trees ascend together, one symbol at a time, until the vectors that share a prefix of that length with
 it in any tree are enough; these are ranked by their exact distance.
 
-The index is sharded: each block of rows is a forest of its own, every row is in one, and a query asks
-all of them, so tasks hold a block and a block of queries at a time and return their best k.
+The index is sharded: each shard of rows is a forest of its own, every row is in one, and a query asks
+all of them. Rows and queries are dealt out together by shard; a task builds a shard's forest when its rows
+have passed and then lets the queries stream by, so it holds a shard of bounded size and a batch of
+queries, and neither rows nor queries come to the driver.
 """
 
 from __future__ import annotations
@@ -50,17 +52,21 @@ class Forest:
 
     def strings(self, x: np.ndarray) -> np.ndarray:
         trees, bits, dim = self.planes.shape
-        side = (x - self.centre) @ self.planes.reshape(-1, dim).T > 0
         weight = np.uint64(1) << np.arange(bits - 1, -1, -1, dtype=np.uint64)
-        return (side.reshape(len(x), trees, bits) * weight).sum(2, dtype=np.uint64)
+        out = np.empty((len(x), trees), np.uint64)
+        for lo in range(0, len(x), 2048):
+            side = (x[lo : lo + 2048] - self.centre) @ self.planes.reshape(-1, dim).T > 0
+            out[lo : lo + 2048] = (side.reshape(-1, trees, bits) * weight).sum(2, dtype=np.uint64)
+        return out
 
     def build(self, x: np.ndarray) -> Forest:
         s = self.strings(x)
         order = np.argsort(s, axis=0, kind="stable")
         return Forest(self.centre, self.planes, np.take_along_axis(s, order, 0).T.copy(), order.T.copy())
 
-    def candidates(self, strings: np.ndarray, enough: int):
-        """For each query (its strings, a row of trees): places of the vectors found, at least ``enough`` if there are."""
+    def candidates(self, strings: np.ndarray, enough: int, suffices=None):
+        """For each query (its strings, a row of trees): places of the vectors found, at least ``enough`` if there are,
+        and more until ``suffices(query, places)`` if that is given."""
         trees, n = self.keys.shape
         bits = self.bits
         seen = np.zeros(n, bool)
@@ -80,106 +86,138 @@ class Forest:
                 for t in range(trees):
                     seen[self.order[t, lo[level, q, t] : hi[level, q, t]]] = True
                 found = np.flatnonzero(seen)
-                if level == 0 or len(found) >= enough:
+                if level == 0 or (len(found) >= enough and (suffices is None or suffices(q, found))):
                     break
                 level -= 1
             yield found
 
 
+def nearest(names: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest different names, ties to the smaller; a name that occurs more than once counts at its least distance."""
+    o = np.lexsort((names, d))
+    names, d = names[o], d[o]
+    _, first = np.unique(names, return_index=True)
+    first = np.sort(first)[:k]
+    return names[first], d[first]
+
+
 class PrefixForest:
     """The k nearest neighbours (Euclidean) of query rows among all rows.
 
     Rows whose vector is null, zero, or holds a null or non-finite component, or has another length than
-    the most frequent one, take no part. A row with the query's id is not its neighbour; rows repeated with
-    one id count once, at their least distance. Fewer candidates than k give fewer rows, no query gives none.
-
-    ``fit`` learns the centre and how far to ascend from at most about ``sample`` rows (chosen by hash of the
-    id; documented bound): the least share of a block to gather for which the recall on the sample reaches
-    ``recall``. All rows are indexed.
+    the most frequent one, take no part, nor do rows without an id. A row with the query's id is not its neighbour;
+    rows repeated with one id count once, at their least distance. Of query rows with one id the one with the
+    least vector asks. Fewer candidates than k give fewer rows, no query gives none.
+
+    ``fit`` learns the centre and how far to ascend from at most about ``sample`` different rows (chosen by hash of
+    id and vector; documented bound): the least share of a shard to gather for which the recall on the sample reaches
+    ``recall``. All rows are indexed, in shards of about ``block`` different rows each; tables that would make fewer
+    than 64 shards are dealt out in smaller ones.
     """
 
-    def __init__(self, k: int = 10, trees: int = 48, bits: int = 24, sample: int = 6000, recall: float = 0.97, block: int = 16384, query_block: int = 4096, seed: int = 11):
-        self.k, self.trees, self.bits, self.sample, self.recall, self.block, self.query_block, self.seed = k, trees, bits, sample, recall, block, query_block, seed
-        self.dim, self.share, self.forest = 0, 1.0, None
+    def __init__(self, k: int = 10, trees: int = 48, bits: int = 24, sample: int = 6000, recall: float = 0.97, block: int = 65536, seed: int = 11):
+        self.k, self.trees, self.bits, self.sample, self.recall, self.block, self.seed = k, trees, bits, sample, recall, block, seed
+        self.dim, self.share, self.forest, self.rows = 0, 1.0, None, 0
+
+    def _clean(self, rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+        """(id, v) of the rows that take part, repeats included."""
+        v = F.col("v")
+        finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        t = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+        return t.where((F.size(v) == self.dim) & F.col("id").isNotNull() & finite & F.exists(v, lambda x: x != 0))
 
     def fit(self, rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> PrefixForest:
-        dims = rows.groupBy(F.size(vec_col).alias("d")).count().where("d > 0").orderBy(F.desc("count"), "d").limit(1).collect()
+        key = F.xxhash64(F.col(id_col), F.col(vec_col))
+        dims = rows.groupBy(F.size(vec_col).alias("d")).agg(F.count("*").alias("n"), F.approx_count_distinct(key).alias("u")).where("d > 0").orderBy(F.desc("n"), "d").limit(1).collect()
         if not dims:
             return self
-        self.dim, total = dims[0].d, dims[0]["count"]
-        part = rows.where((F.size(vec_col) == self.dim) & (F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(min(1, self.sample / total) * (1 << 30)))) if total > self.sample else rows.where(F.size(vec_col) == self.dim)
-        _, x = usable(part.select(vec_col).toArrow()[vec_col], self.dim)
+        self.dim, self.rows = dims[0].d, dims[0].u
+        part = self._clean(rows, id_col, vec_col)
+        if self.rows > self.sample:
+            part = part.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < int(self.sample / self.rows * (1 << 30)))
+        got = part.dropDuplicates(["id", "v"]).select("id", "v").toArrow()
+        _, x = usable(got["v"], self.dim)
+        names = got["id"].to_numpy()
         rng = np.random.default_rng(self.seed)
         planes = rng.standard_normal((self.trees, self.bits, self.dim))
         self.forest = Forest(x.mean(0) if len(x) else np.zeros(self.dim), planes)
         if len(x) > 2 * self.k:
             built = self.forest.build(x)
             ask = rng.permutation(len(x))[:150]
-            true = [np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[1 : self.k + 1] for q in ask]
+            own = names[ask]
+            true = []
+            for q in ask:
+                other = np.flatnonzero(names != names[q])
+                true.append(nearest(names[other], ((x[other] - x[q]) ** 2).sum(1), self.k)[0])
             strings = self.forest.strings(x[ask])
+            suffices = lambda q, f: len(np.unique(names[f][names[f] != own[q]])) >= self.k
             for self.share in (0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.75, 1.0):
-                found = built.candidates(strings, int(self.share * len(x)) + self.k + 1)
-                if np.mean([np.isin(t, f).mean() for t, f in zip(true, found)]) >= self.recall:
+                found = built.candidates(strings, int(self.share * len(x)) + self.k + 1, suffices)
+                if np.mean([np.isin(t, names[f]).mean() if len(t) else 1.0 for t, f in zip(true, found)]) >= self.recall:
                     break
         return self
 
     def search(self, rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
         """query_id, rank (from 1), the neighbour's id, score (its distance)."""
         spark = rows.sparkSession
-        schema = f"query_id long, {id_col} long, score double"
-        out = None
-        asked = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("q"), F.col(vec_col).alias("v"))
-        blocks = max(1, -(-asked.count() // self.query_block)) if self.forest is not None else 0
-        for i in range(blocks):
-            part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i)
-            got = part.toArrow()
-            at, x = usable(got["v"], self.dim)
-            ids, first = np.unique(got["q"].to_numpy()[at], return_index=True)
-            found = rows.select(F.col(id_col).cast("long"), F.col(vec_col)).where(F.col(id_col).isNotNull()).mapInArrow(self._worker(spark, ids, x[first]), schema)
-            out = found if out is None else out.union(found)
-        if out is None:
-            out = spark.createDataFrame([], schema)
-        best = out.groupBy("query_id", id_col).agg(F.min("score").alias("score"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", id_col))
-        return best.withColumn("rank", rank).where(F.col("rank") <= self.k).select("query_id", "rank", id_col, "score")
-
-    def _worker(self, spark, ids: np.ndarray, queries: np.ndarray):
-        shared, k, block, share, dim = spark.sparkContext.broadcast((self.forest, ids, queries)), self.k, self.block, self.share, self.dim
-
-        def ask(forest, ids, queries, strings, names, x, best):
-            built = forest.build(x)
+        if self.forest is None:
+            return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
+        shards = max(1, -(-self.rows // self.block), min(64, self.rows // 4096))
+        # Repeated rows are one before they are dealt out, so no shard is large by them.
+        held = self._clean(rows, id_col, vec_col).dropDuplicates(["id", "v"])
+        held = held.select(F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "id", "v")
+        asked = self._clean(queries, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
+        asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "id", "v")
+        # No more tasks than shards: as many more would be empty.
+        dealt = held.union(asked).repartition(min(shards, 1 << 16), "shard").sortWithinPartitions("shard", "asks")
+        best = dealt.mapInArrow(self._worker(spark), "query_id long, id long, score double")
+        best = best.groupBy("query_id", "id").agg(F.min("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
+        return best.withColumn("rank", rank).where(F.col("rank") <= self.k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+    def _worker(self, spark):
+        shared, k, share, dim = spark.sparkContext.broadcast(self.forest), self.k, self.share, self.dim
+
+        def ask(built, names, x, repeated, ids, queries):
+            """(query ids, names, distances) of each query's k nearest of one shard."""
+            strings = built.strings(queries)
+            out = []
             for lo in range(0, len(ids), 512):
-                for q, found in enumerate(built.candidates(strings[lo : lo + 512], int(share * len(x)) + k + 1), lo):
+                own = ids[lo : lo + 512]
+                # Different ids are counted where ids repeat; elsewhere the number of rows is theirs.
+                suffices = (lambda q, f: len(np.unique(names[f][names[f] != own[q]])) >= k) if repeated else None
+                for q, found in enumerate(built.candidates(strings[lo : lo + 512], int(share * len(x)) + k + 1, suffices), lo):
                     found = found[names[found] != ids[q]]
                     d = x[found] - queries[q]
                     d = np.sqrt((d * d).sum(1))
-                    had = best.get(q)
                     name = names[found]
-                    if had is not None:
-                        name, d = np.r_[had[0], name], np.r_[had[1], d]
-                    if len(d) > 2 * k:
+                    if not repeated and len(d) > 2 * k:
                         near = d <= np.partition(d, k - 1)[k - 1]
                         name, d = name[near], d[near]
-                    o = np.lexsort((name, d))
-                    best[q] = name[o], d[o]
+                    name, d = nearest(name, d, k)
+                    out.append((np.full(len(d), ids[q]), name, d))
+            return [np.concatenate(c) for c in zip(*out)]
 
         def work(batches):
-            forest, ids, queries = shared.value
-            strings = forest.strings(queries)
-            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            held, size = [], 0
+            forest = shared.value
+            shard, held, built = None, [], None
             for b in batches:
-                at, x = usable(b.column(1), dim)
-                held.append((b.column(0).to_numpy()[at], x))
-                size += len(at)
-                while size >= block:
-                    names, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                    ask(forest, ids, queries, strings, names[:block], x[:block], best)
-                    held, size = [(names[block:], x[block:])], size - block
-            if size:
-                ask(forest, ids, queries, strings, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), best)
-            # Ties at the k-th place all stay, so that rows with one id can't crowd out others.
-            n = [len(v[0]) for v in best.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[list(best)], n) if n else np.zeros(0, np.int64)), pa.array(np.concatenate([v[0] for v in best.values()]) if n else np.zeros(0, np.int64)), pa.array(np.concatenate([v[1] for v in best.values()]) if n else np.zeros(0))], ["query_id", "id", "score"])
+                _, x = usable(b.column(3), dim)  # all rows are
+                shards, asks, ids = (b.column(i).to_numpy() for i in range(3))
+                cuts = np.flatnonzero(np.r_[True, (shards[1:] != shards[:-1]) | (asks[1:] != asks[:-1])])
+                for s, e in zip(cuts, np.r_[cuts[1:], len(ids)]):
+                    if shards[s] != shard:
+                        shard, held, built = shards[s], [], None
+                    if not asks[s]:
+                        held.append((ids[s:e], x[s:e]))
+                        continue
+                    if built is None:
+                        if not held:
+                            continue
+                        names, rows = (np.concatenate(c) for c in zip(*held))
+                        built, repeated, held = forest.build(rows), len(np.unique(names)) < len(names), [held[0]]
+                    for lo in range(s, e, 4096):
+                        hi = min(e, lo + 4096)
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in ask(built, names, rows, repeated, ids[lo:hi], x[lo:hi])], ["query_id", "id", "score"])
 
         return work

@@ -44,3 +44,41 @@ def test_odd_rows(spark):
     none = df.where("1 = 0")
     assert PrefixForest().fit(none).search(none, none).count() == 0
     assert PrefixForest().fit(df).search(df, none).count() == 0
+
+
+def test_repeated_ids_do_not_crowd_out_others(spark):
+    rng = np.random.default_rng(5)
+    vec = lambda c: [float(np.float32(x)) for x in rng.normal(size=8) + c]
+    rows = [(0, vec(0), 0)] + [(7, vec(0), 0) for _ in range(40)] + [(i, vec(4), 0) for i in range(101, 139)] + [(100, vec(2), 0)] * 3
+    df = spark.createDataFrame(rows, SCHEMA)
+    for block in (8, 65536):
+        out = PrefixForest(block=block, recall=1.0).fit(df).search(df, df.where("vec_id % 100 = 0")).collect()
+        got = {}
+        for r in sorted(out, key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        want = brute(rows)
+        assert {q: set(v) for q, v in got.items()} == {q: set(v) for q, v in want.items()}
+        assert all(len(v) == 10 for v in got.values())
+
+
+def test_recall_with_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i % 900, [float(np.float32(x)) for x in rng.normal(size=8) + 2 * (i % 5)], 0) for i in range(2700)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    first = {}
+    for i, v, _ in rows:
+        first[i] = min(first.get(i, v), v)
+    out = PrefixForest(trees=16, block=700).fit(df).search(df, df.where("vec_id % 100 = 0")).collect()
+    got, hits, total = {}, 0, 0
+    for r in out:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in (i for i in first if i % 100 == 0):
+        d = {}
+        for i, v, _ in rows:
+            if i != q:
+                e = float(np.linalg.norm(np.array(v) - np.array(first[q])))
+                d[i] = min(d.get(i, e), e)
+        want = {i for _, i in sorted((e, i) for i, e in d.items())[:10]}
+        assert len(got[q]) == 10
+        hits, total = hits + len(got[q] & want), total + 10
+    assert hits >= 0.95 * total
