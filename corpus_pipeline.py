@@ -32,10 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the rows with the least id stay (all rows without an id do)."""
-    first = NgramJaccard().classes(docs).where("class_id = doc_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    """Of each class of near duplicates one row stays: the least id's, the first of rows with that id. Texts without a word stay."""
+    return NgramJaccard().firsts(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ def _both(e: DataFrame) -> DataFrame:
 
 
 def _star(e: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
-    """Large star links each larger neighbour of a node to the least of its neighbourhood; small star the others."""
+    """Large star links each larger neighbour of a node to the least of its neighbourhood; small star the others. Frees e."""
     side = _both(e) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     # Written, so that the join below deals out both sides itself and can split a node that has most edges.
     least = scratch.save(side.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
@@ -22,13 +22,15 @@ def _star(e: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
         out = j.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = j.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    out = scratch.save(out.where("a <> b").distinct(), "edges")
+    scratch.drop(least, e)
+    return out
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges(a long, b long) -> (node, root): root is the least node of the component.
 
-    Each round is written to the shared folder. It ends when a round leaves the edges as they were,
+    Each round is written to the shared folder, and what it was made from is freed. It ends when a round leaves the edges as they were,
     compared by count and an order-free checksum, so no edge comes to the driver.
     """
     def mark(t):
@@ -38,9 +40,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = mark(now)
     while seen[0]:
-        new = scratch.save(_star(scratch.save(_star(now, True, scratch), "edges"), False, scratch), "edges")
-        scratch.drop(now)
-        now, was, seen = new, seen, mark(new)
+        now = _star(_star(now, True, scratch), False, scratch)
+        was, seen = seen, mark(now)
         if was == seen:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

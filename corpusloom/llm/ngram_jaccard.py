@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm._graph import components
 from corpusloom.llm._store import Scratch
-from corpusloom.llm._text import U64, gram_hashes, gram_rows, mix, slices, split_words, text_buffer
+from corpusloom.llm._text import U64, gram_hashes, gram_rows, mix, renamed, slices, split_words, text_buffer
 
 STEP = 16
 
@@ -212,28 +212,33 @@ class NgramJaccard:
     only punctuation) are like nothing, not even each other: each is a class of its own without links.
     Rows are documents: repeated rows are copies of each other. A null id stays null in the result, and
     such rows take part by their text (class ids are least non-null ids, null if there is none).
-    Columns other than the id and the text are not read.
+    ``classes`` and ``pairs`` read no other columns.
+
+    The similar pairs of a group of n different texts are all looked at, block by block, since each of them
+    counts as a link: the one work here that grows with the square of a group. It is dealt out, not cut.
     """
 
-    def __init__(self, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, rows: int = 5, bands: int = 32, block: int = 256):
-        self.n, self.threshold, self.tolerance, self.rows, self.bands, self.block = n, threshold, tolerance, rows, bands, block
+    def __init__(self, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, rows: int = 5, bands: int = 32, block: int = 256, spread: int = 64):
+        self.n, self.threshold, self.tolerance, self.rows, self.bands, self.block, self.spread = n, threshold, tolerance, rows, bands, block, spread
         self.hashes = rows * bands
 
     # -- stages ---------------------------------------------------------------------------------
 
-    def _signed(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    def _signed(self, docs: DataFrame, id_col: str, text_col: str, row: str | None = None) -> DataFrame:
+        """(rid, id, k1, k2, n, sig): rid is the column ``row`` of docs, or a number given here."""
         n, hashes = self.n, self.hashes
+        row = F.monotonically_increasing_id() if row is None else F.col(row)
 
         def work(batches):
             for b in batches:
                 for s, e in slices(b.column(1)):
                     g, counts, keys = shingles(b.column(1).slice(s, e - s), n)
                     sig = signatures(g, counts, hashes)
-                    ids = b.column(0).slice(s, e - s)
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array(counts), pa.array([x.tobytes() for x in packed(sig)], pa.binary())], ["id", "k1", "k2", "n", "sig"])
+                    ids, rids = b.column(0).slice(s, e - s), b.column(2).slice(s, e - s)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array(counts), pa.array([x.tobytes() for x in packed(sig)], pa.binary()), rids], ["id", "k1", "k2", "n", "sig", "rid"])
 
-        t = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        return t.mapInArrow(work, "id long, k1 long, k2 long, n long, sig binary").withColumn("rid", F.monotonically_increasing_id())
+        t = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row.alias("rid"))
+        return t.mapInArrow(work, "id long, k1 long, k2 long, n long, sig binary, rid long")
 
     def _banded(self, reps: DataFrame) -> DataFrame:
         rows, bands = self.rows, self.bands
@@ -308,10 +313,9 @@ class NgramJaccard:
         parts = blocks.repartition(*keys).sortWithinPartitions(*keys)
         return parts.mapInArrow(work, "a long, b long, similarity double" if pairs else "a long, b long, links long")
 
-    def _run(self, docs: DataFrame, id_col: str, text_col: str, pairs: bool):
-        spark = docs.sparkSession
-        scratch = Scratch(spark, "ngram-jaccard")
-        signed = scratch.save(self._signed(docs, id_col, text_col), "signed")
+    def _run(self, docs: DataFrame, id_col: str, text_col: str, pairs: bool, scratch: Scratch, row: str | None = None):
+        """(signed rows, texts, verified links or pairs)"""
+        signed = scratch.save(self._signed(docs, id_col, text_col, row), "signed")
         reps = scratch.save(signed.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("rid"), F.min("id").alias("id"), F.count("*").alias("copies")), "reps")
         own = signed.where("n > 0").select("rid", "n", "sig").join(reps.select("rid"), "rid")
         own = scratch.save(own, "own")
@@ -326,7 +330,9 @@ class NgramJaccard:
         info = comp.join(sizes, "comp").join(reps.select("rid", "k1", "k2", "copies"), "rid").join(own.select("rid", "sig"), "rid")
         grams = self._gram_sets(docs, text_col, comp.join(reps, "rid").select("k1", "k2"))
         blocks = _blocks(info.join(grams, ["k1", "k2"]).drop("k1", "k2"), ["comp"], "cnt", self.block, "rid")
-        return scratch, signed, reps, self._verified(blocks, pairs)
+        found = scratch.save(self._verified(blocks, pairs), "found")
+        scratch.drop(own, comp)
+        return signed, reps, found
 
     def _gram_sets(self, docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
         """(k1, k2, grams): the set of n-gram hashes of each wanted text, once.
@@ -344,29 +350,45 @@ class NgramJaccard:
 
         def work(batches):
             bit = np.frombuffer(shared.value, np.int64).view(U64)
+            given: set[tuple[int, int]] = set()
             for b in batches:
                 for s, e in slices(b.column(0)):
                     g, counts, keys = shingles(b.column(0).slice(s, e - s), n)
                     first = np.cumsum(counts) - counts
                     slot = keys[0] & U64(bits - 1)
                     k = np.flatnonzero((counts > 0) & ((bit[slot >> U64(6)] >> (slot & U64(63))) & U64(1)).astype(bool))
+                    if len(given) > 1 << 18:
+                        given.clear()
+                    names = list(zip(keys[0, k].tolist(), keys[1, k].tolist()))
+                    new = np.zeros(len(k), bool)
+                    for i, name in enumerate(names):
+                        if name not in given:
+                            given.add(name)
+                            new[i] = True
+                    k = k[new]
                     grams = pa.array([np.unique(g[f : f + c]).tobytes() for f, c in zip(first[k], counts[k])], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(keys[0, k].view(np.int64)), pa.array(keys[1, k].view(np.int64)), grams], ["k1", "k2", "grams"])
 
-        sets = docs.select(text_col).mapInArrow(work, "k1 long, k2 long, grams binary")
-        # The k-th copy of a text is dealt to a place of its own before all but one go, so copies never meet in one task in bulk.
-        return sets.join(wanted.distinct(), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+        # A task gives a text's set once. Copies from different tasks meet in two steps, so that a text which all tasks
+        # hold sends each place of the first step a share of them, and the second step no more than ``spread`` of its sets.
+        sets = docs.select(text_col).mapInArrow(work, "k1 long, k2 long, grams binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(self.spread)))
+        some = sets.groupBy("k1", "k2", "salt").agg(F.first("grams").alias("grams"))
+        return some.join(wanted.distinct(), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("grams").alias("grams"))
 
     # -- results --------------------------------------------------------------------------------
 
+    def _roots(self, found: DataFrame, scratch: Scratch) -> DataFrame:
+        """(node, root) of the texts that have links; roots are nodes too."""
+        root = components(found.select("a", "b"), scratch)
+        return root.union(root.select(F.col("root").alias("node"), "root").distinct())
+
     def classes(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """A row for each row of docs: its id, ``class_id`` (least id of the class) and ``n_links`` (similar rows, copies included)."""
-        scratch, signed, reps, found = self._run(docs, id_col, text_col, False)
-        found = scratch.save(found, "found")
+        scratch = Scratch(docs.sparkSession, "ngram-jaccard")
+        signed, reps, found = self._run(docs, id_col, text_col, False, scratch)
         links = found.groupBy("a").agg(F.sum("links").alias("links"))
-        root = components(found.select("a", "b"), scratch)
+        known = self._roots(found, scratch)
         ids = reps.select(F.col("rid").alias("node"), "id")
-        known = root.union(root.select(F.col("root").alias("node"), "root").distinct())
         least = known.join(ids, "node").groupBy("root").agg(F.min("id").alias("class_id"))
         node = known.join(least, "root").select(F.col("node").alias("rid"), "class_id")
         info = reps.join(node, "rid", "left").join(links.withColumnRenamed("a", "rid"), "rid", "left")
@@ -375,9 +397,25 @@ class NgramJaccard:
         alone = signed.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
         return like.select("id", "class_id", "n_links").union(alone).withColumnRenamed("id", id_col)
 
+    def firsts(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Rows of docs, one of each class: the one with the least id (rows without an id come last), of rows with one
+        id that which comes first in docs. Rows are told apart as rows, so different texts under one id are not taken
+        for each other. Texts without a word are classes of their own and all stay."""
+        scratch = Scratch(docs.sparkSession, "ngram-jaccard")
+        src, back = renamed(docs)
+        at = dict(zip(back, src.columns))
+        rows = scratch.save(src.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        signed, reps, found = self._run(rows, at[id_col], at[text_col], False, scratch, "_row")
+        first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("best")
+        best = scratch.save(signed.where("n > 0").groupBy("k1", "k2").agg(first, F.min("rid").alias("node")), "best")
+        of = best.select("node", "best").join(self._roots(found, scratch), "node", "left")
+        kept = of.groupBy(F.coalesce("root", "node").alias("c")).agg(F.min("best").alias("best")).select(F.col("best.rid").alias("_row"))
+        kept = kept.union(signed.where("n = 0").select(F.col("rid").alias("_row")))
+        return rows.join(kept, "_row", "left_semi").select(*src.columns).toDF(*back)
+
     def pairs(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
         """(similar pairs of different texts: two text ids and the exact similarity; membership: row id, text id)."""
-        scratch, signed, reps, found = self._run(docs, id_col, text_col, True)
+        signed, reps, found = self._run(docs, id_col, text_col, True, Scratch(docs.sparkSession, "ngram-jaccard"))
         names = reps.select("rid", F.col("id").alias("text_id"))
         out = found.select(F.col("a").alias("rid"), "b", "similarity").join(names, "rid").select(F.col("text_id").alias("left_id"), F.col("b").alias("rid"), "similarity")
         out = out.join(names, "rid").select("left_id", F.col("text_id").alias("right_id"), "similarity")

@@ -8,7 +8,8 @@ from corpusloom.llm.ngram_jaccard import NgramJaccard, least_matches, roots
 from .helpers import empty, odd_documents, words
 
 
-def brute(rows, n=5, threshold=0.8):
+def linked(rows, n=5, threshold=0.8):
+    """(similar rows, least row of the class) of each row."""
     sets = [set(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if (w := words(t)) else None for _, t in rows]
     like = [[j for j in range(len(rows)) if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])] for i in range(len(rows))]
     root = list(range(len(rows)))
@@ -16,6 +17,15 @@ def brute(rows, n=5, threshold=0.8):
         for i, js in enumerate(like):
             for j in js:
                 root[i] = root[j] = min(root[i], root[j])
+    return like, root
+
+
+def groups(rows, **kind):
+    return linked(rows, **kind)[1]
+
+
+def brute(rows, **kind):
+    like, root = linked(rows, **kind)
     out = []
     for i, (doc, _) in enumerate(rows):
         ids = [rows[j][0] for j in range(len(rows)) if root[j] == root[i] and rows[j][0] is not None]
@@ -62,3 +72,11 @@ def test_pairs_and_membership(spark):
 def test_pruning_bound_and_roots():
     assert least_matches(16, 0.8, 1e-6) < least_matches(16, 0.8, 1e-2) <= 16
     assert roots(5, np.array([3, 4]), np.array([4, 1])).tolist() == [0, 1, 2, 1, 1]
+
+
+def test_a_text_that_every_partition_holds(spark):
+    text = " ".join(f"a{k}" for k in range(40))
+    rows = [(i, text if i % 3 else text + f" z{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(23)
+    got = NgramJaccard(spread=4).classes(docs).collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(0, 299)} and len(got) == 300

@@ -7,7 +7,7 @@ from corpusloom.llm.piece_fst import load
 from corpusloom.llm.queries import PIECE_MODEL, QUERIES
 
 from .helpers import odd_documents
-from .test_ngram_jaccard import brute as near
+from .test_ngram_jaccard import groups as near_groups
 from .test_winnowing import brute as dirty
 
 needs_model = pytest.mark.skipif(not os.path.exists(PIECE_MODEL), reason="no model file here")
@@ -27,12 +27,13 @@ def tables(spark, path, labels=()):
 def test_stages_against_plain_versions(spark, tmp_path):
     rows, items = tables(spark, str(tmp_path))
     kept = [(i, t) for i, t in rows if t and any(c.isalpha() for c in t)]
-    first = {c for i, c, _ in near(kept) if i is not None and i == c}
-    seen, once = set(), []
-    for i, t in kept:
-        if i is None or (i in first and i not in seen):
-            seen.add(i)
-            once.append((i, t))
+    groups = near_groups(kept)
+    once, kept_of = [], {}
+    for at, (i, _) in enumerate(kept):
+        c = groups[at]
+        if c not in kept_of or (i is not None and (kept[kept_of[c]][0] is None or i < kept[kept_of[c]][0])):
+            kept_of[c] = at
+    once = [kept[at] for at in sorted(kept_of.values())]
     bad = {i for i, *_, hit in dirty(once, items) if hit}
     want = sorted((str(i), t) for i, t in once if i not in bad)
     fst = load(PIECE_MODEL)
@@ -70,3 +71,12 @@ def test_registered_sql(spark, name):
     names = [d[0] for d in found.description]
     want = sorted(map(repr, found.fetchall()))
     assert sorted(repr(tuple(r)) for r in QUERIES[name](spark, sf).select(*names).collect()) == want
+
+
+def test_rows_not_ids_are_told_apart(spark):
+    """Different texts under one id both stay, in whatever order; of copies without an id one stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = spark.createDataFrame([(1, a, 0), (1, b, 1), (2, a, 2), (None, c, 3), (None, c + " more", 4), (None, a, 5), (None, None, 6), (3, "", 7), (3, "", 8)], "doc_id long, text string, _row long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r._row for r in kept.collect()) == [0, 1, 3, 6, 7, 8]
