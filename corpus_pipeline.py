@@ -15,14 +15,17 @@ from corpusloom.llm.importance import ImportanceResampler
 from corpusloom.llm.ngram_jaccard import NgramJaccard
 from corpusloom.llm.piece_fst import load, token_count, tokenise
 from corpusloom.llm.queries import PIECE_MODEL, remainder, table
-from corpusloom.llm.string_kernel import UNKNOWN, StringKernelLanguageId
+from corpusloom.llm.string_kernel import UNKNOWN, StringKernelLanguageId, has_letter
 from corpusloom.llm.winnowing import Winnowing
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or when no language could be learned, go. The rest stays as it is."""
+    """Texts in no language go: null ones and those without a letter. The rest stays as it is, also if no language could be learned."""
     learn = docs.where(~F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)))
-    found = StringKernelLanguageId().fit(learn).predict(docs, lang_out="_lang_pred", score_out="_lang_score")
+    model = StringKernelLanguageId().fit(learn)
+    if model.model is None:
+        return docs.where(has_letter(F.col("text")))
+    found = model.predict(docs, lang_out="_lang_pred", score_out="_lang_score")
     return found.where(F.col("_lang_pred") != UNKNOWN).select(*docs.columns)
 
 

@@ -56,9 +56,12 @@ def presence(texts: pa.Array) -> np.ndarray:
 
 
 def kernel(bits: np.ndarray, landmarks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    own = bits.sum(1)
-    both = bits.astype(np.float32) @ landmarks
-    return both / np.sqrt(np.maximum(own, 1)[:, None] * np.maximum(sizes, 1)[None, :])
+    """Cosines of texts and landmarks, some texts at a time."""
+    out = np.empty((len(bits), landmarks.shape[1]), np.float32)
+    for lo in range(0, len(bits), 256):
+        x = bits[lo : lo + 256]
+        out[lo : lo + 256] = (x.astype(np.float32) @ landmarks) / np.sqrt(np.maximum(x.sum(1), 1)[:, None] * np.maximum(sizes, 1)[None, :])
+    return out
 
 
 @dataclass
@@ -76,30 +79,33 @@ class Model:
 class StringKernelLanguageId:
     """Learns from labelled rows and predicts a learned language, or ``und`` for texts that are null or hold no letter.
 
-    At most about ``per_language`` texts of each language are learned from (chosen by hash of id and
-    text; documented bound), ``landmarks`` of them are landmarks. Whole texts are read. Rows with a
-    null label or null id are not learned from. Without a learned language every prediction is ``und``.
+    Every label value is learned, however many there are. At most about ``per_language`` texts of each are learned
+    from, and at most about ``texts`` in all (but one of each at least): ids chosen by hash, of rows with one id and
+    label the least text; documented bounds. ``landmarks`` of each language, at most about ``all_landmarks`` in all
+    (but one at least, as many of each as of any other as far as they go), are landmarks. Whole texts are read. Rows
+    with a null label or null id are not learned from. Without a learned language every prediction is ``und``.
     The score is the winning one-versus-rest margin mapped from [-1, 1] to [0, 1], and 0 for ``und``.
+    Columns of docs may not be named like the results; ``predict`` takes other names for these.
     """
 
-    def __init__(self, per_language: int = 400, landmarks: int = 40, ridge: float = 1e-3, max_languages: int = 200):
-        self.per_language, self.landmarks, self.ridge, self.max_languages = per_language, landmarks, ridge, max_languages
+    def __init__(self, per_language: int = 400, landmarks: int = 40, ridge: float = 1e-3, texts: int = 16_000, all_landmarks: int = 1024):
+        self.per_language, self.landmarks, self.ridge, self.texts, self.all_landmarks = per_language, landmarks, ridge, texts, all_landmarks
         self.model: Model | None = None
 
     def fit(self, docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> StringKernelLanguageId:
         spark = docs.sparkSession
         small_batches(spark)
-        usable = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & has_letter(F.col(text_col)))
-        counts = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(label_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(self.max_languages).collect()
-        rate = {r.l: min(1.0, 1.2 * self.per_language / r["count"]) for r in counts}
-        if not rate:
+        known = docs.select(F.col(label_col).cast("string").alias("l"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("l is not null and id is not null")
+        learned = known.where(has_letter(F.col("text"))).groupBy("l").agg(F.approx_count_distinct("id").alias("n")).collect()
+        if not learned:
             self.model = None
             return self
-        chance = F.lit(0.0)
-        for name, x in rate.items():
-            chance = F.when(F.col(label_col) == name, F.lit(x)).otherwise(chance)
-        dice = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30)
-        chosen = usable.where(dice < chance).select(F.col(label_col).alias("l"), dice.alias("dice"), F.col(text_col).alias("text"))
+        each = max(1, min(self.per_language, self.texts // len(learned)))
+        # A rate above what is wanted, since a draw may give fewer; a language of few texts gives all.
+        rates = spark.createDataFrame([(r.l, 1.0 if r.n < 3 * each + 40 else (1.2 * each + 12) / r.n) for r in learned], "l string, rate double")
+        dice = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+        chosen = known.withColumn("dice", dice).join(rates, "l").where("dice < rate").where(has_letter(F.col("text")))
+        chosen = chosen.groupBy("l", "id", "dice").agg(F.min("text").alias("text")).select("l", "dice", "text")
 
         def bits(batches):
             for b in batches:
@@ -112,10 +118,17 @@ class StringKernelLanguageId:
         if not names:
             self.model = None
             return self
-        texts = [[x[2] for x in got if x[0] == n][: self.per_language] for n in names]
+        by_name: dict[str, list[bytes]] = {n: [] for n in names}
+        for name, _, row in got:
+            if len(by_name[name]) < each:
+                by_name[name].append(row)
+        texts = list(by_name.values())
         y = np.concatenate([np.full(len(t), i) for i, t in enumerate(texts)])
         x = np.unpackbits(np.frombuffer(b"".join(sum(texts, [])), np.uint8).reshape(len(y), -1), axis=1).astype(bool)
-        first = np.concatenate([np.flatnonzero(y == i)[: self.landmarks] for i in range(len(names))])
+        # The first text of every language, then the second of each, and so on.
+        nth = np.concatenate([np.arange(len(t)) for t in texts])
+        first = np.lexsort((y, nth))[: max(1, min(self.all_landmarks, self.landmarks * len(names)))]
+        first = np.sort(first[nth[first] < self.landmarks])
         z = x[first]
         landmarks, sizes = np.ascontiguousarray(z.T.astype(np.float32)), z.sum(1).astype(np.float32)
         value, vector = np.linalg.eigh(kernel(z, landmarks, sizes).astype(np.float64))

@@ -39,6 +39,45 @@ def test_language_odd_rows(spark):
     assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
 
 
+def test_every_language_is_learned(spark):
+    """210 made-up languages of different vocabularies and one of many repeats of one row."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(210):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 8))) for _ in range(12)]
+        rows += [(len(rows) + j, " ".join(rng.choice(words, 30)), f"l{k}") for j in range(6)]
+    rows += [(1, "zz yy xx zz yy xx", "many")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = StringKernelLanguageId(texts=600, all_landmarks=300).fit(docs)
+    assert len(model.model.languages) == 211
+    out = model.predict(docs.where("lang <> 'many'")).collect()
+    assert sum(r.lang == r.lang_pred for r in out) >= 0.95 * len(out)
+
+
+def test_prediction_against_exact_kernel_ridge(spark):
+    """With every text a landmark the map is exact: the same margins as kernel ridge regression on whole n-gram sets."""
+    docs = languages(spark, 20)
+    model = StringKernelLanguageId(landmarks=1000, ridge=1e-6).fit(docs)
+    rows = docs.collect()
+
+    def slots(text):
+        # The n-grams themselves, not their hashed places; space stands for what is no ASCII letter.
+        raw = bytes(c if c >= 0x80 or chr(c).isalpha() else 32 for c in text.lower().encode())
+        raw = b" " + b" ".join(raw.split()) + b" "
+        return {raw[i : i + n] for n in (1, 2, 3, 4) for i in range(len(raw) - n + 1)}
+
+    sets = [slots(r.text) for r in rows]
+    k = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    names = sorted(SAMPLES)
+    y = np.array([[1.0 if r.lang == n else -1.0 for n in names] for r in rows])
+    phi = np.c_[k, np.ones(len(k))]
+    reg = 1e-6 * len(k) * np.block([[k, np.zeros((len(k), 1))], [np.zeros((1, len(k))), np.zeros((1, 1))]])
+    beta = np.linalg.lstsq(phi.T @ phi + reg, phi.T @ y, rcond=None)[0]
+    want = [names[i] for i in (phi @ beta).argmax(1)]
+    got = {r.doc_id: r.lang_pred for r in model.predict(docs).collect()}
+    assert [got[r.doc_id] for r in rows] == want
+
+
 def test_kernel_is_the_cosine_of_presence():
     x = presence(pa.array(["abc abd", "abc", "xyz", "", None]))
     k = kernel(x, x.T.astype(np.float32), x.sum(1).astype(np.float32))
