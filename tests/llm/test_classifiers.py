@@ -1,11 +1,15 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpusloom.llm.importance import ImportanceResampler, distinct, grams
+from corpusloom.llm.importance import ImportanceResampler, distinct, grams, log_ratios
 from corpusloom.llm.string_kernel import StringKernelLanguageId, kernel, presence
 
-from .helpers import empty, odd_documents
+from .helpers import empty, lower, odd_documents, words
 
 SAMPLES = {"en": "the cat sat on the mat and then it went out with that other thing", "de": "der hund ging nicht über die straße und dann war er schon weg", "fr": "le chat était sur la table et puis il est parti avec les autres"}
 
@@ -130,3 +134,63 @@ def test_kth_draw_is_exact(spark):
     ordered = sorted(draws, reverse=True)
     for k in (1, 2, 3, 100, 504):
         assert ImportanceResampler().kth_draw(df, k) == ordered[k - 1]
+
+
+def plain_grams(text):
+    """The n-grams themselves: words, stems, symbol runs, pairs, marks of repetition."""
+    text = lower(text)
+    w, s = words(text), re.findall(r"[!-/:-`{-~]+", text)
+    out = {("w", x) for x in w} | {("s", x) for x in s} | {("p", a, b) for a, b in zip(w, w[1:])}
+    out |= {("t", x.encode()[:n]) for x in w for n in (4, 5) if len(x.encode()) > n}
+    marks = [a == b for a, b in zip(w, w[1:])]
+    return out | {("m", *marks[i : i + 4]) for i in range(len(marks) - 3)}
+
+
+def test_quality_against_plain_version(spark):
+    rng = np.random.default_rng(9)
+    vocabulary = [f"word{i}" for i in range(12)]  # few pairs, so that none share a place
+    text = lambda i: " ".join(rng.choice(vocabulary, 25)) + (" you awful idiot!!" if i % 5 == 0 else "") + (" spam spam spam spam spam spam" if i % 7 == 0 else "")
+    rows = [(i, text(i)) for i in range(300)] + [(400, None), (401, ""), (None, "word1 word2"), (402, "word1")] + [(402, "word1")]
+    labels = [(i, int(i % 7 > 0), int(i % 5 == 0)) for i in range(0, 300, 2)] + [(None, 1, 0), (2, 1, 0), (4, 0, 0), (4, 1, 0), (999, 1, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = ImportanceResampler().fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    good = {}
+    for i, q, t in labels:
+        if i is not None:
+            good[i] = good.get(i, True) and q == 1 and t == 0
+    sets = [(i, plain_grams(t)) for i, t in rows]
+    raw, seen, total, target = Counter(), Counter(), 0, 0
+    for i, g in sets:
+        if i in good:
+            total, target = total + 1, target + good[i]
+            raw.update(g)
+            seen.update(g if good[i] else ())
+    lam = {}
+    beta = lambda x, y: math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y)
+    for g, n in raw.items():
+        a, b, rest = seen[g], n - seen[g], total - target
+        apart = beta(a + 0.5, target - a + 0.5) + beta(b + 0.5, rest - b + 0.5)
+        alike = beta(n + 0.5, total - n + 0.5) + beta(0.5, 0.5)
+        chance = 1 / (1 + math.exp(alike - apart) * 0.999 / 0.001)
+        pad = 0.5 * total / target
+        lam[g] = chance * (math.log((a + 0.5) / (target + 1)) - math.log((n + pad) / (total + 2 * pad)))
+    want = sorted((str(i), round(sum(lam.get(x, 0) for x in g), 2)) for i, g in sets)
+    out = model.judged(docs).collect()
+    assert sorted((str(r.doc_id), round(r.log_weight, 2)) for r in out) == want
+    k = sum(r.log_weight >= -1 for r in out)
+    at = sorted((r.draw for r in out), reverse=True)[k - 1]
+    assert all(r.kept == (r.draw >= at) for r in out) and min(r.log_weight for r in out) < -5
+    noise = np.array([r.draw - r.log_weight for r in out])
+    assert abs(noise.mean() - 0.577) < 0.25 and abs(noise.std() - 1.28) < 0.25
+
+
+def test_log_ratios_of_chance_are_next_to_nothing():
+    r = log_ratios(np.array([0, 75, 3, 0]), np.array([100, 100, 4, 0]), 300, 400, 0.5, 1e-3)
+    assert r[0] < -3 and abs(r[1]) < 1e-2 and abs(r[2]) < 1e-2 and abs(r[3]) < 1e-2
+
+
+def test_labels_are_bounded_by_distinct_ids(spark):
+    docs = spark.createDataFrame([(i, f"text number{i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(7, 1, 0)] * 5000, "doc_id long, quality int, toxic int")
+    model = ImportanceResampler(max_labels=200).fit(docs, labels)
+    assert model.counts[0].max() == 200
