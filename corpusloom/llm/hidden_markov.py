@@ -69,58 +69,134 @@ class Hmm:
     move: np.ndarray
     emit: np.ndarray  # symbols x states
 
-    def stationary(self) -> np.ndarray:
-        p = np.full(len(self.start), 1 / len(self.start))
-        for _ in range(200):
-            p = p @ self.move
-        return p / p.sum()
-
 
 def _active(lengths: np.ndarray) -> np.ndarray:
     """How many of the sequences, sorted by falling length, are longer than t, for each t."""
-    return len(lengths) - np.searchsorted(lengths[::-1], np.arange(int(lengths[0])), "right")
+    return len(lengths) - np.searchsorted(lengths[::-1], np.arange(int(lengths[0]) if len(lengths) else 0), "right")
+
+
+def _by_time(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sequences sorted by falling size: how many are active at each time, where each time's rows begin when all rows
+    lie time by time, and the token that each row is."""
+    active = _active(size)
+    top = np.r_[0, np.cumsum(active)]
+    at = np.arange(top[-1]) - np.repeat(top[:-1], active)
+    return active, top, begin[at] + np.repeat(np.arange(len(active)), active)
+
+
+def _segments(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of SEGMENT tokens of the sequences ``rows``: begin, size, sequence (its place in rows), number in the sequence."""
+    lengths = np.diff(offsets)[rows]
+    pieces = -(-lengths // SEGMENT)
+    own = np.repeat(np.arange(len(rows)), pieces)
+    nth = np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = offsets[rows][own] + nth * SEGMENT
+    return begin, np.minimum(SEGMENT, offsets[rows + 1][own] - begin), own, nth
+
+
+def _transfer(m: Hmm, ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(matrices, logs) of segments: row i of a matrix, times 10 to the log of that row, are the weights of ending in each
+    state after the segment's tokens when the token before was in state i."""
+    k = len(m.start)
+    order = np.argsort(-size, kind="stable")
+    a, log = np.tile(np.eye(k), (len(size), 1, 1)), np.zeros((len(size), k))
+    for t, n in enumerate(_active(size[order])):
+        step = (a[:n].reshape(-1, k) @ m.move).reshape(n, k, k) * m.emit[ids[begin[order[:n]] + t]][:, None, :]
+        total = step.sum(2)
+        a[:n] = step / total[:, :, None]
+        log[:n] += np.log10(total)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return a[back], log[back]
+
+
+def _borders(m: Hmm, ids: np.ndarray, offsets: np.ndarray, rows: np.ndarray, backward: bool = True):
+    """Of long sequences: their segments (as of _segments), the state distribution at each one's end given all tokens so far,
+    the weights of all tokens after it by its last state (up to a factor), and the log10 of each sequence's probability."""
+    begin, size, own, nth = _segments(offsets, rows)
+    k = len(m.start)
+    whole, log = _transfer(m, ids, begin[nth > 0], size[nth > 0])
+    place = np.cumsum(nth > 0) - 1
+    ends, after, total = np.zeros((len(own), k)), np.ones((len(own), k)), np.zeros(len(rows))
+    heads = np.flatnonzero(nth == 0)
+    first = m.start * m.emit[ids[begin[heads]]]
+    scale = first.sum(1)
+    first /= scale[:, None]
+    total += np.log10(scale)
+    rest, more = _transfer(m, ids, begin[heads] + 1, size[heads] - 1)
+    for r, h in enumerate(heads):
+        v, log_v = first[r], total[r]
+        last = heads[r + 1] if r + 1 < len(heads) else len(own)
+        for p in range(h, last):
+            a, lg = (rest[r], more[r]) if p == h else (whole[place[p]], log[place[p]])
+            top = lg[v > 0].max()
+            v = (v * 10 ** (lg - top)) @ a
+            s = v.sum()
+            v, log_v = v / s, log_v + top + math.log10(s)
+            ends[p] = v
+        total[r] = log_v
+        if backward:
+            for p in range(last - 1, h, -1):
+                a, lg = whole[place[p]], log[place[p]]
+                w = 10 ** (lg - lg.max()) * (a @ after[p])
+                after[p - 1] = w / w.sum()
+    return begin, size, own, nth, ends, after, total
 
 
 def expect(m: Hmm, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected (starts, moves, emissions) of sequences, and their log-likelihood by segment.
+    """Expected (starts, moves, emissions) of sequences (none is empty), and their log-likelihood.
 
-    Sequences are worked in segments of SEGMENT tokens; later segments begin with the stationary distribution.
+    Sequences of up to LONG tokens are worked whole, all at once and time by time. Longer ones are worked in segments
+    that begin and end with the exact weights of all that lies before and after them, so nothing is cut.
     """
     k = len(m.start)
     lengths = np.diff(offsets)
-    pieces = -(-lengths // SEGMENT)
-    own = np.repeat(np.arange(len(lengths)), pieces)
-    nth = np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begin = offsets[own] + nth * SEGMENT
-    size = np.minimum(SEGMENT, offsets[own + 1] - begin)
+    begin, size = offsets[:-1][lengths <= LONG], lengths[lengths <= LONG]
+    before = np.zeros((len(begin), k))  # the state distribution before the first token; unused for whole sequences
+    after = np.ones((len(begin), k))
+    whole = np.ones(len(begin), bool)
+    long = np.flatnonzero(lengths > LONG)
+    if len(long):
+        b, s, own, nth, ends, rest, _ = _borders(m, ids, offsets, long)
+        prior = np.r_[np.zeros((1, k)), ends[:-1]]
+        begin, size, whole = np.r_[begin, b], np.r_[size, s], np.r_[whole, nth == 0]
+        before, after = np.r_[before, prior], np.r_[after, rest]
     order = np.argsort(-size, kind="stable")
-    begin, size, first = begin[order], size[order], nth[order] == 0
-    active = _active(size)
-    emit, move = m.emit.astype(np.float32), m.move.astype(np.float32)
-    alpha, scale = np.empty((len(ids), k), np.float32), np.empty(len(ids), np.float32)
-    a = np.where(first[:, None], m.start, m.stationary()).astype(np.float32)
+    begin, size, before, after, whole = begin[order], size[order], before[order], after[order], whole[order]
+    active, top, token = _by_time(begin, size)
+    own = ids[token]
+    emit = m.emit.astype(np.float32)[own]
+    move = m.move.astype(np.float32)
+    alpha, scale = np.empty((len(token), k), np.float32), np.empty(len(token), np.float32)
+    a = np.where(whole[:, None], m.start, before @ m.move).astype(np.float32)
     for t, n in enumerate(active):
-        at = begin[:n] + t
-        a = (a[:n] if t == 0 else a[:n] @ move) * emit[ids[at]]
-        s = a.sum(1)
-        a /= s[:, None]
-        alpha[at], scale[at] = a, s
+        row = slice(top[t], top[t] + n)
+        x = np.multiply(a if t == 0 else a[:n] @ move, emit[row], out=alpha[row])
+        s = np.einsum("ij->i", x)
+        scale[row] = s
+        x /= s[:, None]
+        a = x
+    # b weighs all tokens after by state, scaled so that alpha times b sums to 1 at every token.
     moves = np.zeros((k, k))
-    b = np.ones((0, k), np.float32)
+    b = np.empty((0, k), np.float32)
+    emit /= scale[:, None]
     for t in range(len(active) - 1, -1, -1):
-        n = active[t]
-        at = begin[:n] + t
-        b = np.concatenate([b, np.ones((n - len(b), k), np.float32)])
+        n, row = active[t], slice(top[t], top[t] + active[t])
+        if len(b) < n:
+            new = after[len(b) : n]
+            new = new / (alpha[top[t] + len(b) : top[t] + n] * new).sum(1, keepdims=True)
+            b = np.concatenate([b, new.astype(np.float32)])
+        e = b * emit[row]
         if t:
-            e = b * emit[ids[at]] / scale[at][:, None]
-            moves += alpha[at - 1].T.astype(np.float64) @ e
-            alpha[at] *= b
-            b = e @ move.T
+            moves += alpha[top[t - 1] : top[t - 1] + n].T @ e
         else:
-            alpha[at] *= b
-    alpha /= alpha.sum(1, keepdims=True)
-    emitted = np.stack([np.bincount(ids, alpha[:, i], minlength=len(m.emit)) for i in range(k)], 1)
-    return alpha[begin[first]].sum(0, dtype=np.float64), moves * m.move, emitted, float(np.log(scale.astype(np.float64)).sum())
+            moves += before[~whole].T @ e[~whole]
+        alpha[row] *= b
+        if t:
+            b = e @ move.T
+    alpha /= np.einsum("ij->i", alpha)[:, None]
+    emitted = np.stack([np.bincount(own, alpha[:, i], minlength=len(m.emit)) for i in range(k)], 1)
+    return alpha[: len(whole)][whole].sum(0, dtype=np.float64), moves * m.move, emitted, float(np.log(scale.astype(np.float64)).sum())
 
 
 def reestimate(starts, moves, emitted, unigram: np.ndarray, weight: float = 20.0) -> Hmm:
@@ -140,41 +216,22 @@ def likelihood(m: Hmm, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     short = np.flatnonzero(lengths <= LONG)
     if len(short):
         order = short[np.argsort(-lengths[short], kind="stable")]
-        begin = offsets[order]
-        log = np.zeros(len(order))
-        a = np.tile(m.start, (len(order), 1))
-        for t, n in enumerate(_active(lengths[order])):
-            a = (a[:n] if t == 0 else a[:n] @ m.move) * m.emit[ids[begin[:n] + t]]
-            s = a.sum(1)
-            a = a / s[:, None]
-            log[:n] += np.log10(s)
-        out[order] = log
-    k = len(m.start)
-    for r in np.flatnonzero(lengths > LONG):
-        x = ids[offsets[r] : offsets[r + 1]]
-        pieces = -(-len(x) // SEGMENT)
-        sizes = np.full(pieces, SEGMENT)
-        sizes[-1] = len(x) - SEGMENT * (pieces - 1)
-        a = np.tile(np.eye(k), (pieces, 1, 1))
-        a[0] = np.tile(m.start, (k, 1))
-        log = np.zeros((pieces, k))
-        for t, n in enumerate(_active(sizes)):
-            e = m.emit[x[np.arange(n) * SEGMENT + t]][:, None, :]
-            moved = a[:n] @ m.move
-            if t == 0:
-                moved[0] = a[0]
-            a[:n] = moved * e
-            s = a[:n].sum(2)
-            a[:n] /= s[:, :, None]
-            log[:n] += np.log10(s)
-        v, total = np.eye(k)[0], 0.0
-        for p in range(pieces):
-            top = log[p][v > 0].max()
-            v = (v * 10 ** (log[p] - top)) @ a[p]
-            s = v.sum()
-            v /= s
-            total += top + math.log10(s)
-        out[r] = total
+        active, top, token = _by_time(offsets[order], lengths[order])
+        emit = m.emit[ids[token]]
+        scale = np.empty(len(token))
+        a = m.start[None, :]
+        for t, n in enumerate(active):
+            row = slice(top[t], top[t] + n)
+            x = np.multiply(a if t == 0 else a[:n] @ m.move, emit[row], out=emit[row])
+            s = np.einsum("ij->i", x)
+            scale[row] = s
+            x /= s[:, None]
+            a = x
+        at = np.arange(len(token)) - np.repeat(top[:-1], active)
+        out[order] = np.bincount(at, np.log10(scale), minlength=len(order))
+    long = np.flatnonzero(lengths > LONG)
+    if len(long):
+        out[long] = _borders(m, ids, offsets, long, backward=False)[-1]
     return out
 
 
@@ -190,9 +247,9 @@ class HiddenMarkovModel:
 
     Text is case-folded (A-Z) and cut at ASCII white space; the end of a text is a token. Null and empty
     texts are the end token alone. A null mark counts as false. Repeated rows count and score as often as they occur. Without any training
-    text every token is unseen. A first guess comes from at most about ``burn_in`` tokens of training texts
-    (chosen by hash; documented bound); then rounds that count all of them go on until one raises the
-    log-likelihood by less than ``least_gain`` of itself, or for ``rounds`` if given.
+    text every token is unseen. A first guess comes from at most ``burn_in`` tokens (and a text more) of training texts
+    (chosen by hash; documented bound); whatever the size of the table, rounds that count all training texts, whole,
+    then go on until one raises the log-likelihood by less than ``least_gain`` of itself, or for ``rounds`` if given.
     """
 
     def __init__(self, states: int = 8, rounds: int | None = None, burn_in: int = 1_000_000, burn_rounds: int = 30, seed: int = 5, least_gain: float = 1e-4):
@@ -289,7 +346,12 @@ class HiddenMarkovModel:
         learnable = coded.where("train").select("ids")
         rate = min(1.0, self.burn_in / max(lex.tokens, 1))
         cut = F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) < int(rate * (1 << 30))
-        some = [bytes(r.ids) for r in coded.where("train").where(cut).select("ids").collect()]
+        some, held = [], 0
+        for r in coded.where("train").where(cut).select("ids").toLocalIterator():
+            some.append(bytes(r.ids))
+            held += len(some[-1]) // 2
+            if held >= self.burn_in:
+                break
         if some:
             ids, off = np.frombuffer(b"".join(some), np.uint16).astype(np.int64), np.cumsum([0] + [len(x) // 2 for x in some])
             for _ in range(self.burn_rounds):

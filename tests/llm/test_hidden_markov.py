@@ -34,6 +34,34 @@ def test_long_sequences_give_the_same_by_segments(monkeypatch):
     assert np.allclose(H.likelihood(m, x, off), want)
 
 
+def test_expected_counts_sum_all_paths():
+    m, x = random_model(), np.array([0, 3, 2, 4, 1])
+    starts, moves, emitted, total = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3)), 0.0
+    for p in itertools.product(range(3), repeat=5):
+        w = m.start[p[0]] * np.prod([m.emit[s, q] for s, q in zip(x, p)]) * np.prod([m.move[a, b] for a, b in zip(p, p[1:])])
+        total += w
+        starts[p[0]] += w
+        for a, b in zip(p, p[1:]):
+            moves[a, b] += w
+        for s, q in zip(x, p):
+            emitted[s, q] += w
+    got = H.expect(m, x, np.array([0, 5]))
+    for a, b in zip(got, (starts / total, moves / total, emitted / total, math.log(total))):
+        assert np.allclose(a, b, rtol=1e-4, atol=1e-5)
+
+
+def test_expected_counts_of_long_sequences_are_not_cut(monkeypatch):
+    m = random_model(4, 6, 7)
+    x = np.random.default_rng(2).integers(0, 6, 3000)
+    off = np.array([0, 1000, 1001, 1040, 3000])
+    want = H.expect(m, x, off)
+    monkeypatch.setattr(H, "LONG", 10)
+    for segment in (7, 64, 256):
+        monkeypatch.setattr(H, "SEGMENT", segment)
+        for a, b in zip(H.expect(m, x, off), want):
+            assert np.allclose(a, b, rtol=1e-4, atol=1e-3)
+
+
 def test_training_raises_the_likelihood():
     rng = np.random.default_rng(3)
     ids = np.concatenate([rng.choice([0, 1] if i % 2 else [2, 3], 50) for i in range(40)])
