@@ -1,21 +1,30 @@
 """Benchmark decontamination by winnowing.
 
 The fingerprints of a text are the least k-gram hash of each window of w consecutive k-grams, so two
-texts that share k + w - 1 words share a fingerprint. Training and test fingerprints are joined, and
-each hit is extended word by word in both directions; a span of at least ``window`` words is an
-occurrence of a test window. Test items shorter than that are windows as a whole; they are their own
-(single) k-gram of that length.
+texts that share k + w - 1 words share a fingerprint. Training and test fingerprints are tables that are joined;
+each hit is extended word by word in both directions, compared byte by byte, and a span of at least ``window``
+words is an occurrence of a test window. Test items shorter than that are windows as a whole; they are their
+own (single) k-gram of that length, looked for among all k-grams of that length.
+
+Before the join a bit table of bounded size, filled from the test fingerprints, drops most fingerprints of
+texts that share none; it only saves work, the join decides. Nothing else of the test set leaves its tables.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._store import small_batches
-from corpusloom.llm._text import Words, gram_hashes, gram_rows, ddl, renamed, slices, split_words, text_buffer
+from corpusloom.llm._store import Scratch, small_batches
+from corpusloom.llm._text import U64, Words, ddl, gram_hashes, gram_rows, mix, renamed, slices, split_words, text_buffer
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += np.uint8(0x20)
 
 
 def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -38,92 +47,72 @@ def fingerprints(words: Words, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(chosen), g
 
 
-class TestSet:
-    """Test items with their sorted fingerprints, ready to be looked up."""
-
-    __test__ = False
-
-    def __init__(self, ids: list, texts: list, window: int, k: int):
-        self.window, self.k, self.w = window, k, window - k + 1
-        self.ids = [str(x) for x in ids]
-        self.words = split_words(*text_buffer(pa.array(texts, pa.string())), "alnum")
-        n = self.words.counts
-        self.row_of = np.repeat(np.arange(len(n)), n)
-        at, g = fingerprints(self.words, k, self.w)
-        order = np.argsort(g[at], kind="stable")
-        self.at, self.keys = at[order], g[at][order]
-        self.short = {}
-        for size in sorted({int(x) for x in n if 0 < x < window}):
-            rows = np.flatnonzero(n == size)
-            h = gram_hashes(self.words.hashes, size)[self.words.rows[rows]]
-            order = np.argsort(h, kind="stable")
-            self.short[size] = (h[order], rows[order])
-
-    def _equal(self, words: Words, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Whether words at p of the texts and at q of the items are the same, by their bytes as well as their hashes."""
-        same = words.hashes[p] == self.words.hashes[q]
-        size = words.ends[p] - words.starts[p]
-        same &= size == self.words.ends[q] - self.words.starts[q]
-        return same
-
-    def find(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(hit flag by word, unique (row, item) pairs as a 2 x n array)."""
-        hit = np.zeros(len(words.hashes) + 1, np.int32)
-        rows, items = [], []
-        row_of = np.repeat(np.arange(len(words.counts)), words.counts)
-        if len(self.keys):
-            at, g = fingerprints(words, self.k, self.w)
-            lo, hi = np.searchsorted(self.keys, g[at], "left"), np.searchsorted(self.keys, g[at], "right")
-            many = hi - lo
-            p = np.repeat(at, many)
-            q = self.at[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-            self._extend(words, row_of, p, q, hit, rows, items)
-        for size, (keys, which) in self.short.items():
-            at, _ = gram_rows(words.rows, size)
-            if not len(at):
-                continue
-            g = gram_hashes(words.hashes, size)[at]
-            lo, hi = np.searchsorted(keys, g, "left"), np.searchsorted(keys, g, "right")
-            for s, a, b in zip(at[hi > lo], lo[hi > lo], hi[hi > lo]):
-                for item in which[a:b]:
-                    q = self.words.rows[item]
-                    if self._equal(words, np.arange(s, s + size), np.arange(q, q + size)).all():
-                        hit[s] += 1
-                        hit[s + size] -= 1
-                        rows.append(np.array([row_of[s]]))
-                        items.append(np.array([item]))
-        pairs = np.zeros((2, 0), np.int64) if not rows else np.unique(np.stack([np.concatenate(rows), np.concatenate(items)]), axis=1)
-        return np.cumsum(hit[:-1]) > 0, pairs
-
-    def _extend(self, words, row_of, p, q, hit, rows, items):
-        """Grow matches to their full length; those on one diagonal of one row and item are looked at once."""
-        if not len(p):
-            return
-        key = np.stack([row_of[p], self.row_of[q], p - q, p])
-        order = np.lexsort(key[::-1])
-        p, q = p[order], q[order]
-        done: dict[tuple[int, int, int], int] = {}
-        for a, b in zip(p.tolist(), q.tolist()):
-            r, item = int(row_of[a]), int(self.row_of[b])
-            if done.get((r, item, a - b), -1) > a:
-                continue
-            back = min(a - words.rows[r], b - self.words.rows[item])
-            ahead = min(words.rows[r + 1] - a, self.words.rows[item + 1] - b)
-            span = np.arange(-back, ahead)
-            same = self._equal(words, a + span, b + span)
-            if not same[back]:
-                continue
-            gaps = np.flatnonzero(~same)
-            left = gaps[gaps < back]
-            right = gaps[gaps > back]
-            s = a - back + (int(left[-1]) + 1 if len(left) else 0)
-            e = a - back + (int(right[0]) if len(right) else len(same))
-            done[r, item, a - b] = e
-            if e - s >= self.window:
-                hit[s] += 1
-                hit[e] -= 1
-                rows.append(np.array([r]))
-                items.append(np.array([item]))
+def keyed(h: np.ndarray, kind: int) -> np.ndarray:
+    """Join keys of k-gram hashes: kind 0 is a fingerprint, kind n a short item of n words."""
+    with np.errstate(over="ignore"):
+        return mix(h + U64(kind) * U64(0xC13FA9A902A6328F))
+
+
+class Text:
+    """The words of one text: their hashes, and their bytes, case-folded and with one space between."""
+
+    def __init__(self, text: str):
+        w = split_words(*text_buffer(pa.array([text], pa.large_string())), "alnum")
+        self.hashes = w.hashes
+        size = w.ends - w.starts + 1
+        self.at = np.r_[0, np.cumsum(size)]
+        take = np.arange(self.at[-1]) - np.repeat(self.at[:-1] - w.starts, size)
+        self.bytes = LOWER[np.r_[w.buf, np.uint8(32)][take]]
+        self.bytes[self.at[1:] - 1] = 32
+
+    def span(self, s: int, e: int) -> bytes:
+        return self.bytes[self.at[s] : self.at[e]].tobytes()
+
+
+def extend(text: Text, item: Text, hits: list[dict], window: int) -> list[tuple[int, int]]:
+    """Spans of the text's words that occur in the item, of at least ``window`` words or the whole item: hits (places ps in
+    the text, qs in the item) grown to their full length. A place that a longer match covers is not grown again."""
+    n, m = len(text.hashes), len(item.hashes)
+    need, out = min(window, m), []
+    covered = np.zeros(n + m + 1, np.int64)  # by p - q: matches so far end here
+    for hit in hits:
+        ps = np.array(hit["ps"], np.int64)
+        for q in hit["qs"]:
+            for p in ps[covered[ps - q + m] <= ps].tolist():
+                back, ahead = min(p, q), min(n - p, m - q)
+                same = text.hashes[p - back : p + ahead] == item.hashes[q - back : q + ahead]
+                while same[back]:
+                    gaps = np.flatnonzero(~same)
+                    at = int(np.searchsorted(gaps, back))
+                    s = p - back + (int(gaps[at - 1]) + 1 if at else 0)
+                    e = p - back + (int(gaps[at]) if at < len(gaps) else len(same))
+                    covered[p - q + m] = e
+                    if e - s < need:
+                        break
+                    if text.span(s, e) == item.span(s - p + q, e - p + q):
+                        out.append((s, e))
+                        break
+                    # Different words of one hash: take their bytes instead, once.
+                    same = np.array([text.span(p + i, p + i + 1) == item.span(q + i, q + i + 1) for i in range(-back, ahead)])
+    return out
+
+
+def united(spans: list[tuple[int, int]]) -> list[dict]:
+    out: list[dict] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1]["e"]:
+            out[-1]["e"] = max(out[-1]["e"], e)
+        else:
+            out.append({"s": s, "e": e})
+    return out
+
+
+def _lists(keys: np.ndarray, places: np.ndarray) -> list[dict]:
+    """{key, ps} for each different key, keys and places ascending."""
+    o = np.lexsort((places, keys))
+    keys, places = keys[o], places[o]
+    cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
+    return [{"key": int(k), "ps": p.tolist()} for k, p in zip(keys[cut].view(np.int64), np.split(places, cut[1:]))] if len(keys) else []
 
 
 class Winnowing:
@@ -132,24 +121,129 @@ class Winnowing:
     Words are runs of ASCII letters (case-folded), digits and non-ASCII characters. Every shared span
     of at least ``window`` words is found, whatever lies around it. Null, empty and wordless texts have
     no words and no hits; null or wordless items have no window. Repeated rows give repeated results,
-    items with equal texts are all named (an id that is null counts as the string "null").
-    The test set is read in blocks of at most ``block_bytes`` of text, so what is sent to the executors
-    is bounded; texts are read once for each block, and the hit spans of blocks are merged by row.
-    An item larger than a block is a block of its own.
+    items with equal texts are all named (an id that is null counts as the string "null"). Columns of docs
+    that are kept may have any names but those of the results.
+
+    A fingerprint that very many texts share is dealt out ``spread`` ways; its items are repeated as often.
+    The bit table has at most ``most_bits`` bits.
     """
 
-    def __init__(self, window: int = 13, k: int = 8, block_bytes: int = 1 << 24, share: int = 20):
+    def __init__(self, window: int = 13, k: int = 8, share: int = 20, spread: int = 16, most_bits: int = 1 << 27):
         if not 1 <= k <= window:
             raise ValueError("k must lie between 1 and the window")
-        self.window, self.k, self.block_bytes, self.share = window, k, block_bytes, share
+        self.window, self.k, self.share, self.spread, self.most_bits = window, k, share, spread, most_bits
+
+    def _item_prints(self, items: DataFrame) -> DataFrame:
+        """(tid, kind, key, qs): the fingerprints of each item, with their places."""
+        window, k = self.window, self.k
+
+        def work(batches):
+            for b in batches:
+                rows = []
+                for tid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    w = split_words(*text_buffer(pa.array([text], pa.large_string())), "alnum")
+                    n = len(w.hashes)
+                    if n >= window:
+                        at, g = fingerprints(w, k, window - k + 1)
+                        rows += [(tid, 0, x["key"], x["ps"]) for x in _lists(keyed(g[at], 0), at)]
+                    elif n:
+                        rows.append((tid, n, int(keyed(gram_hashes(w.hashes, n), n).view(np.int64)[0]), [0]))
+                cols = list(zip(*rows)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())))], ["tid", "kind", "key", "qs"])
+
+        return items.select("tid", "text").mapInArrow(work, "tid long, kind int, key long, qs array<long>")
+
+    def _scanned(self, docs: DataFrame, text_col: str, keep: list[str], prints: DataFrame) -> DataFrame:
+        """The kept columns, n_words, rid, prints array<struct<key, ps>> of what may be shared, and the text where there is any."""
+        kinds = sorted(r.kind for r in prints.select("kind").distinct().collect())  # at most one for each length up to the window
+        total = prints.count()
+        bits = 1 << min(self.most_bits.bit_length() - 1, max(16, (32 * total).bit_length()))
+        filled = prints.select(F.pmod("key", F.lit(bits)).alias("s")).groupBy((F.col("s") / 64).cast("int").alias("w"))
+        filled = filled.agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("v"))
+        table = np.zeros(bits // 64, np.int64)
+        for w, v in filled.toLocalIterator():
+            table[w] = v
+        shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
+        window, k, n_keep = self.window, self.k, len(keep)
+        where = keep.index(text_col) if text_col in keep else n_keep + 1
+
+        def work(batches):
+            bit = np.frombuffer(shared.value, np.int64).view(U64)
+
+            def may(keys):
+                slot = keys & U64(bits - 1)
+                return ((bit[slot >> U64(6)] >> (slot & U64(63))) & U64(1)).astype(bool)
+
+            for b in batches:
+                for s, e in slices(b.column(where)):
+                    texts = b.column(where).slice(s, e - s)
+                    w = split_words(*text_buffer(texts), "alnum")
+                    found = []
+                    for kind in kinds:
+                        if kind:
+                            at, _ = gram_rows(w.rows, kind)
+                            keys = keyed(gram_hashes(w.hashes, kind)[at], kind) if len(at) else np.zeros(0, U64)
+                        else:
+                            at, g = fingerprints(w, k, window - k + 1)
+                            keys = keyed(g[at], 0)
+                        ok = may(keys)
+                        found.append((at[ok], keys[ok]))
+                    at, keys = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, U64))
+                    row = np.searchsorted(w.rows, at, "right") - 1
+                    lists: list = [None] * (e - s)
+                    for r in np.unique(row):
+                        mine = row == r
+                        lists[r] = _lists(keys[mine], at[mine] - w.rows[r])
+                    shown = pc.if_else(pa.array([x is not None for x in lists]), texts, pa.scalar(None, texts.type))
+                    more = [pa.array(w.counts, pa.int64()), b.column(n_keep).slice(s, e - s), pa.array(lists, pa.list_(pa.struct([("key", pa.int64()), ("ps", pa.list_(pa.int64()))]))), shown]
+                    yield pa.RecordBatch.from_arrays([c.slice(s, e - s) for c in b.columns[:n_keep]] + more, [*keep, "n_words", "_rid", "_prints", "_text"])
+
+        src = docs.select(*keep, F.monotonically_increasing_id().alias("_rid"), *([] if text_col in keep else [F.col(text_col).alias("_text")]))
+        schema = f"{ddl(docs.select(*keep))}, n_words long, _rid long, _prints array<struct<key: long, ps: array<long>>>, _text string"
+        return src.mapInArrow(work, schema)
+
+    def _salted(self, many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+        """many joined to few; rows of one key are dealt out ``spread`` ways."""
+        salts = F.explode(F.sequence(F.lit(0), F.lit(self.spread - 1)))
+        return many.withColumn("salt", F.pmod("rid", F.lit(self.spread)).cast("int")).join(few.withColumn("salt", salts), [key, "salt"]).drop("salt")
+
+    def _extended(self, texts: DataFrame, hits: DataFrame) -> DataFrame:
+        """(rid, hits, items): a row for each text with an occurrence. A task lets the texts stream by, each before its hits."""
+        window = self.window
+
+        def work(batches):
+            rid = text = None
+            spans, names = [], set()
+            item = lru_cache(maxsize=64)(Text)
+
+            def done():
+                return {"rid": rid, "hits": united(spans), "items": sorted(names)} if names else None
+
+            for b in batches:
+                out = []
+                for r in b.to_pylist():
+                    if r["rid"] != rid:
+                        out.append(done())
+                        rid, spans, names = r["rid"], [], set()
+                    if r["item"] is None:
+                        text = Text(r["text"])
+                        continue
+                    found = extend(text, item(r["text"]), r["hits"], window)
+                    if found:
+                        spans += found
+                        names.add(r["item"])
+                yield as_rows([x for x in out if x])
+            yield as_rows([x for x in [done()] if x])
+
+        def as_rows(rows):
+            span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+            return pa.RecordBatch.from_pylist(rows, pa.schema([("rid", pa.int64()), ("hits", span), ("items", pa.list_(pa.string()))]))
 
-    def _blocks(self, tests: DataFrame, id_col: str, text_col: str):
-        t = tests.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        size = t.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0))).first()[0]
-        n = max(1, -(-size // self.block_bytes))
-        for i in range(n):
-            rows = (t if n == 1 else t.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i)).collect()
-            yield TestSet([r.item for r in rows], [r.text for r in rows], self.window, self.k)
+        none = F.lit(None)
+        kind = "array<struct<ps: array<long>, qs: array<long>>>"
+        rows = texts.select("rid", none.cast("string").alias("item"), "text", none.cast(kind).alias("hits")).union(hits.select("rid", "item", "text", F.col("hits").cast(kind)))
+        rows = rows.repartition("rid").sortWithinPartitions("rid", F.asc_nulls_first("item"))
+        return rows.mapInArrow(work, "rid long, hits array<struct<s: long, e: long>>, items array<string>")
 
     def spans(self, docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
         """A row for each row of docs: the kept columns (by default the id), n_words, hits array<struct<s, e>> (word
@@ -157,56 +251,22 @@ class Winnowing:
         spark = docs.sparkSession
         small_batches(spark)
         keep = [id_col] if keep is None else keep
-        sets = list(self._blocks(tests, item_col, item_text))
-        src = docs.select(*keep) if text_col in keep else docs.select(*keep, text_col)
-        where = src.columns.index(text_col)
-        schema = f"{ddl(src.select(*keep))}, n_words long, hits array<struct<s: long, e: long>>, items array<string>"
-        n_keep = len(keep)
-
-        def worker(shared):
-            def work(batches):
-                test = shared.value
-                for b in batches:
-                    for s, e in slices(b.column(where)):
-                        w = split_words(*text_buffer(b.column(where).slice(s, e - s)), "alnum")
-                        hit, pairs = test.find(w)
-                        spans, items = [[] for _ in range(e - s)], [[] for _ in range(e - s)]
-                        for r in np.unique(pairs[0]):
-                            f = np.r_[False, hit[w.rows[r] : w.rows[r + 1]], False].astype(np.int8)
-                            d = np.diff(f)
-                            spans[r] = [{"s": int(x), "e": int(y)} for x, y in zip(np.flatnonzero(d == 1), np.flatnonzero(d == -1))]
-                            items[r] = sorted({test.ids[i] for i in pairs[1, pairs[0] == r]})
-                        kept = [c.slice(s, e - s) for c in b.columns[:n_keep]]
-                        more = [pa.array(w.counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array(items, pa.list_(pa.string()))]
-                        yield pa.RecordBatch.from_arrays(kept + more, [*keep, "n_words", "hits", "items"])
-
-            return work
-
-        found = [src.mapInArrow(worker(spark.sparkContext.broadcast(t)), schema) for t in sets]
-        if len(found) == 1:
-            return found[0]
-        rid = src.withColumn("_row", F.monotonically_increasing_id())
-        raise_cols = [*keep, "_row"]
-        merged = None
-        for t in sets:
-            part = self._one(rid, t, raise_cols, text_col)
-            merged = part if merged is None else merged.union(part)
-        return self._merge(merged, keep)
-
-    def _one(self, rid: DataFrame, test: TestSet, keep: list[str], text_col: str) -> DataFrame:
-        clone = Winnowing(self.window, self.k, 1 << 62, self.share)
-        clone._blocks = lambda *a: iter([test])
-        return clone.spans(rid, rid, keep[0], text_col, keep=keep)
-
-    def _merge(self, found: DataFrame, keep: list[str]) -> DataFrame:
-        first = [F.first(c).alias(c) for c in keep]
-        g = found.groupBy("_row").agg(*first, F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        joined = F.aggregate(
-            "hits",
-            F.expr("cast(array() as array<struct<s: bigint, e: bigint>>)"),
-            lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["e"] >= x["s"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["s"].alias("s"), F.greatest(F.element_at(a, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(a, F.array(x))),
-        )
-        return g.select(*keep, "n_words", joined.alias("hits"), "items")
+        scratch = Scratch(spark, "winnowing")
+        items = tests.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("text")).where("text is not null")
+        items = scratch.save(items.withColumn("tid", F.monotonically_increasing_id()), "items")
+        prints = scratch.save(self._item_prints(items), "prints")
+        seen = scratch.save(self._scanned(docs, text_col, keep, prints), "scanned")
+        some = seen.where("_prints is not null")
+        mine = some.select(F.col("_rid").alias("rid"), F.explode("_prints").alias("x")).select("rid", "x.key", "x.ps")
+        pairs = self._salted(mine, prints.select("key", "tid", "qs"), "key").groupBy("rid", "tid").agg(F.collect_list(F.struct("ps", "qs")).alias("hits"))
+        hits = self._salted(pairs, items, "tid").select("rid", "item", "text", "hits")
+        found = self._extended(some.select(F.col("_rid").alias("rid"), F.col("_text").alias("text")), hits)
+        found = scratch.save(found.withColumnRenamed("rid", "_rid"), "found")
+        got = seen.where("_prints is not null").drop("_prints", "_text").join(found, "_rid", "left").select(*keep, "n_words", "hits", "items")
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema if f.name in ("hits", "items")]
+        every = seen.where("_prints is null").select(*keep, "n_words", *none).union(got)
+        empty = [F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("hits", "items")]
+        return every.select(*keep, "n_words", *empty)
 
     def report(self, docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
         """The spans of ``spans`` as counts: n_hit, n_items, items_sha256 and whether hits make up 1/share of the words or more."""
