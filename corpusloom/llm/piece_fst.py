@@ -1,14 +1,17 @@
 """SentencePiece encoding and decoding by weighted finite-state transduction.
 
-A model file is compiled into a normaliser (longest-match rewrite rules, then the white-space rules),
-a piece transducer and a byte-fallback transducer. An input, composed with them, is a graph whose arcs
-are pieces with their negated scores as weights; the encoding is its shortest path in the tropical
-semiring.
-
-For a unigram model an arc depends on its place alone. A BPE model is the same machine with one more
-label in the state, the piece before: two pieces may follow each other only if merging their joint
-characters gives back just these two. A sequence is the BPE encoding if and only if each pair in it
-passes, so exactly one path is left, of whatever weight, and it is searched depth first.
+A model file is compiled into a normaliser (a byte transducer of the longest-match rewrite rules, then the
+white-space rules), a piece transducer (a trie read from the last character, whose final states put out a piece with
+its negated score as weight) and a byte-fallback transducer (of the characters that no piece is). An input, composed
+with them, is a graph of arcs between its places; the encoding is its shortest path in the tropical semiring.
+
+For a unigram model any arc may follow any other. A BPE model has a fourth machine in the composition, whose
+states remember the piece before: two pieces may follow each other only if merging their joint characters gives back
+just these two, and a path may begin with a piece only if merging its characters gives it back. A sequence of pieces
+is the BPE encoding of its text if and only if each piece and each neighbouring pair in it passes: merges that
+cross no border never depend on what lies beyond it, so the first wrong merge of the whole would be a wrong merge of
+two neighbours. Every beginning of the text has one encoding, so just one arc into each place is left, and the shortest path
+is the BPE encoding, whatever the weights. The search takes its arcs longest first and may stop at the first that passes.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from corpusloom.llm._text import ddl, renamed, slices
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNK_PENALTY = 10.0
+FINAL = None
+INFINITE = float("inf")
 
 
 def _fields(raw: bytes):
@@ -89,6 +94,29 @@ def charsmap_rules(blob: bytes) -> dict[bytes, bytes]:
     return rules
 
 
+class Transducer:
+    """A trie: arcs by symbol, and what a final state puts out."""
+
+    def __init__(self, entries):
+        self.start: dict = {}
+        for symbols, output in entries:
+            state = self.start
+            for x in symbols:
+                state = state.setdefault(x, {})
+            state[FINAL] = output
+
+    def longest(self, symbols, at: int):
+        """(length, output) of the longest entry that begins at a place; (0, None) without one."""
+        state, best = self.start, (0, None)
+        for i in range(at, len(symbols)):
+            state = state.get(symbols[i])
+            if state is None:
+                break
+            if FINAL in state:
+                best = i + 1 - at, state[FINAL]
+        return best
+
+
 @dataclass
 class PieceFst:
     """The compiled machine. ``encode_ids`` and ``decode_ids`` work on one text; ``texts``/``tokens`` on DataFrames."""
@@ -124,7 +152,6 @@ class PieceFst:
         self.scores = [p[1] for p in self.pieces]
         self.unk = next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
         self.bytes_of = {int(p[0][3:5], 16): i for i, p in enumerate(self.pieces) if p[2] == BYTE}
-        self.longest = max((len(p) for p in self.ids), default=1)
         self.least = min((p[1] for _, p in usable), default=0.0)
         #: No piece goes on after these characters, or begins before them: paths can be cut there.
         self.cut_space = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
@@ -134,12 +161,11 @@ class PieceFst:
         self.width = np.dtype(np.uint16 if len(self.pieces) <= 1 << 16 else np.uint32)
         self.out = [b"" if p[2] == CONTROL else bytes([int(p[0][3:5], 16)]) if p[2] == BYTE else b" \xe2\x81\x87 " if p[2] == UNKNOWN else p[0].replace(SPACE, " ").encode() for p in self.pieces]
         self.code = {p: np.array([k], self.width).tobytes() for p, k in self.ids.items()}
-        #: Of the pieces that begin with two given characters, the length of the longest.
-        self.reach: dict[str, int] = {}
-        for p in self.ids:
-            if len(p) > 1:
-                self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
-        self.rule_length = max(map(len, self.rules), default=0)
+        self.normaliser = Transducer(self.rules.items())
+        weight = {p: 0.1 - len(p) * self.least if self.pieces[k][2] == USER else -self.scores[k] for p, k in self.ids.items()}
+        self.machine = Transducer((p[::-1], (p, w)) for p, w in weight.items())
+        #: Weight of a character that is no piece and falls back to its bytes (or the unknown piece).
+        self.fallback = UNK_PENALTY - self.least
         self._pairs: dict[tuple[str, str], bool] = {}
         self._alone: dict[str, bool] = {}
         self._cache: dict[str, bytes] = {}
@@ -150,11 +176,10 @@ class PieceFst:
     def _rewrite(self, text: str) -> str:
         raw, out, at = text.encode(), [], 0
         while at < len(raw):
-            for n in range(min(self.rule_length, len(raw) - at), 0, -1):
-                if (to := self.rules.get(raw[at : at + n])) is not None:
-                    out.append(to)
-                    at += n
-                    break
+            n, to = self.normaliser.longest(raw, at)
+            if n:
+                out.append(to)
+                at += n
             else:
                 n = 1 if raw[at] < 0x80 else 2 if raw[at] < 0xE0 else 3 if raw[at] < 0xF0 else 4
                 out.append(raw[at : at + n])
@@ -195,42 +220,48 @@ class PieceFst:
             ok = self._pairs[a, b] = self._merged(a + b) == [a, b]
         return ok
 
-    def _path_bpe(self, text: str) -> list[str]:
-        ids, reach, pairs, follows = self.ids, self.reach.get, self._pairs.get, self._follows
+    def _path(self, text: str) -> list[str]:
+        """The shortest path through the composition of the text with the machines, place by place."""
+        start, fallback, bpe, pairs, follows, whole = self.machine.start, self.fallback, self.bpe, self._pairs.get, self._follows, self._whole
         n = len(text)
-        dead: set[tuple[int, str]] = set()
-        path: list[str] = []
-        at, size, before = 0, n, None
-        while at < n:
-            most = reach(text[at : at + 2], 1)
-            if most > n - at:
-                most = n - at
-            if size > most:
-                size = most
-            while size:
-                p = text[at : at + size]
-                if size == 1 or p in ids:
-                    if before is None:
-                        ok = size == 1 or self._whole(p)
-                    else:
-                        ok = pairs((before, p))
+        cost: list[float] = [0.0]
+        last: list[str | None] = [None]  # the piece of the best arc into each place
+        for end in range(1, n + 1):
+            arcs = []
+            state, at = start, end
+            while at:
+                state = state.get(text[at - 1])
+                if state is None:
+                    break
+                at -= 1
+                if FINAL in state:
+                    arcs.append((at, *state[FINAL]))
+            if not arcs or arcs[0][0] != end - 1:
+                arcs.insert(0, (end - 1, text[end - 1], fallback))
+            best, by = INFINITE, None
+            for at, piece, weight in reversed(arcs):
+                before = last[at]
+                if bpe:
+                    if at:
+                        ok = pairs((before, piece))
                         if ok is None:
-                            ok = follows(before, p)
-                    if ok and (not dead or (at, p) not in dead):
-                        break
-                size -= 1
-            if size:
-                path.append(p)
-                at += size
-                before, size = p, n
-            else:
-                if not path:
-                    raise AssertionError("a BPE encoding exists for every text")
-                last = path.pop()
-                at -= len(last)
-                dead.add((at, last))
-                before, size = path[-1] if path else None, len(last) - 1
-        return path
+                            ok = follows(before, piece)
+                    else:
+                        ok = len(piece) == 1 or whole(piece)
+                    if ok:
+                        best, by = cost[at] + weight, piece
+                        break  # no other arc into this place passes
+                elif cost[at] + weight < best:
+                    best, by = cost[at] + weight, piece
+            if by is None:
+                raise AssertionError("a BPE encoding exists for every text")
+            cost.append(best)
+            last.append(by)
+        out, at = [], n
+        while at:
+            out.append(last[at])
+            at -= len(out[-1])
+        return out[::-1]
 
     def _whole(self, p: str) -> bool:
         ok = self._alone.get(p)
@@ -238,26 +269,6 @@ class PieceFst:
             ok = self._alone[p] = self._merged(p) == [p]
         return ok
 
-    def _path_unigram(self, text: str) -> list[str]:
-        n = len(text)
-        cost, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
-        for i in range(n):
-            single = False
-            for size in range(1, min(self.longest, n - i) + 1):
-                k = self.ids.get(text[i : i + size])
-                if k is not None:
-                    single |= size == 1
-                    weight = 0.1 - size * self.least if self.pieces[k][2] == USER else -self.scores[k]
-                    if cost[i] + weight < cost[i + size]:
-                        cost[i + size], back[i + size] = cost[i] + weight, i
-            if not single and cost[i] + UNK_PENALTY - self.least < cost[i + 1]:
-                cost[i + 1], back[i + 1] = cost[i] + UNK_PENALTY - self.least, i
-        out, at = [], n
-        while at:
-            out.append(text[back[at] : at])
-            at = back[at]
-        return out[::-1]
-
     def _ids(self, path: list[str]) -> list[int]:
         out: list[int] = []
         for p in path:
@@ -299,7 +310,7 @@ class PieceFst:
         return p[0] if p[2] in (NORMAL, USER) else "\0"
 
     def _unit(self, text: str) -> bytes:
-        path = self._path_bpe(text) if self.bpe else self._path_unigram(text)
+        path = self._path(text)
         if self.byte_fallback:
             code = self.code.get
             got = b"".join([code(p) or np.array(self._ids([p]), self.width).tobytes() for p in path])

@@ -46,3 +46,37 @@ def test_odd_rows(spark):
     for r in out.collect():
         assert r.back == (r.text or "") and (r.n == 0) == (not r.text)
     assert tokenise(empty(docs), fst).count() == 0
+
+
+def segmentations(text, pieces):
+    if not text:
+        yield []
+    for n in range(1, len(text) + 1):
+        if n == 1 or text[:n] in pieces:
+            for rest in segmentations(text[n:], pieces):
+                yield [text[:n], *rest]
+
+
+def test_shortest_path_against_all_segmentations():
+    rng = random.Random(6)
+    for _ in range(60):
+        found = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(7)}
+        m = PieceFst([("<unk>", 0.0, UNKNOWN), *((p, -rng.uniform(1, 6), NORMAL) for p in sorted(found))], bpe=False, byte_fallback=False)
+        text = "".join(rng.choice("abc") for _ in range(8))
+        cost = lambda path: sum(-m.scores[m.ids[p]] if p in m.ids else m.fallback for p in path)
+        assert abs(cost(m._path(text)) - min(map(cost, segmentations(text, found)))) < 1e-9
+
+
+def test_bpe_path_against_merging():
+    """Pieces that merges make, as a trained model has them; ranks in any order that makes parts before wholes."""
+    rng = random.Random(7)
+    for _ in range(60):
+        parts = list("abc")
+        for _ in range(10):
+            p = rng.choice(parts) + rng.choice(parts)
+            if p not in parts and len(p) < 7:
+                parts.append(p)
+        m = PieceFst([("<unk>", 0.0, UNKNOWN), *((p, -float(i), NORMAL) for i, p in enumerate(parts))], bpe=True, byte_fallback=False)
+        for _ in range(20):
+            text = "".join(rng.choice("abc") for _ in range(rng.randint(1, 14)))
+            assert m._path(text) == m._merged(text)
