@@ -4,9 +4,9 @@ An ARC record is a header line, whose fields depend on the version that the file
 declares, and as many bytes as the line says. Each becomes a WARC record with the same URI, time and
 block, an identifier made from these, a type by its block, and SHA-1 digests of block and payload.
 
-Archives are written by Spark's own text writer, one file a task (or several of at most
-``records_per_file`` records), compressed as a whole by gzip: every record ends in a line feed, so a
-record without it is one row. No file is opened by path in Python, so any store that Spark reaches will do.
+Archives are written by Spark's own text writer, compressed as a whole by gzip: every record ends in a line feed, so
+a record without it is one row. A file holds at most about ``bytes_per_file`` bytes of records, or one record that is
+larger. No file is opened by path in Python, so any store that Spark reaches will do.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,15 +171,15 @@ def unpacked(content: bytes) -> bytes:
 def arc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "20240101000000", version: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(the kept columns, arc): a one-record ARC file of each row, of version 1 or 2, as text. The id travels in the HTTP head, as does the payload's length.
 
-    Null payloads are empty, null urls are ``-``; white space and control characters in urls are percent-encoded.
+    Null payloads are empty, null urls are ``-``; spaces and ASCII control characters in urls are percent-encoded.
     """
     version = F.lit(1) if version is None else version
     body = F.coalesce(F.col(payload_col), F.lit(""))
     key = F.coalesce(F.concat(F.lit("X-Page-Id: "), F.col(id_col).cast("string"), F.lit("\r\n")), F.lit(""))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), key, F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
     url = F.col(url_col)
-    for c, code in ((" ", "%20"), ("\t", "%09"), ("\n", "%0A"), ("\r", "%0D")):
-        url = F.replace(url, F.lit(c), F.lit(code))
+    for c in (*range(0x21), 0x7F):
+        url = F.replace(url, F.lit(chr(c)), F.lit(f"%{c:02X}"))
     url = F.coalesce(F.nullif(url, F.lit("")), F.lit("-"))
     size = (F.octet_length(head) + F.octet_length(body)).cast("string")
     more = F.when(version == 2, F.lit(" 200 - - 0 - ")).otherwise(F.lit(" "))
@@ -224,8 +226,23 @@ def record_ids(arcs: DataFrame, key: str) -> DataFrame:
     return arcs.select("arc", key).mapInArrow(work, f"{key} long, record_id string")
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = 2000) -> None:
-    records.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).mode("error").text(path)
+def write_warc(records: DataFrame, path: str, bytes_per_file: int = 1 << 26) -> None:
+    """Writes the records (column value) of each task to one file after another of at most about ``bytes_per_file`` bytes."""
+
+    def number(batches):
+        size = nth = 0
+        for b in batches:
+            sizes = pc.binary_length(b.column(0)).to_numpy(zero_copy_only=False)
+            of = np.zeros(len(sizes), np.int32)
+            for i, n in enumerate(sizes.tolist()):
+                if size and size + n > bytes_per_file:
+                    size, nth = 0, nth + 1
+                size += n
+                of[i] = nth
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(of)], ["value", "file"])
+
+    numbered = records.mapInArrow(number, "value string, file int")
+    numbered.write.partitionBy("file").option("lineSep", "\n").option("compression", "gzip").mode("error").text(path)
 
 
 def read_warc(spark, path: str) -> DataFrame:
@@ -250,7 +267,7 @@ def read_warc(spark, path: str) -> DataFrame:
                 kinds = [pa.string()] * 5 + [pa.int64(), pa.int64(), pa.string(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], [x.split(" ")[0] for x in schema.split(", ")])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(work, schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(work, schema)
 
 
 class LegacyArchive:
@@ -260,8 +277,10 @@ class LegacyArchive:
     are); the others revisit it. A row without an id is never referred to, and revisits nothing.
     """
 
-    def __init__(self, least: int = 1000, date: str = "20240101000000"):
-        self.least, self.date = least, date
+    SPREAD = 16
+
+    def __init__(self, least: int = 1000, date: str = "20240101000000", bytes_per_file: int = 1 << 26):
+        self.least, self.date, self.bytes_per_file = least, date, bytes_per_file
 
     def write(self, pages: DataFrame, path: str, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
         body = F.coalesce(F.col(payload_col), F.lit(""))
@@ -276,9 +295,13 @@ class LegacyArchive:
             holders = keyed.join(twice, ["sha", "page_id"])
             ids = record_ids(self._arcs(holders, ("page_id",)), "page_id").groupBy("page_id").agg(F.min("record_id").alias("to"))
             named = scratch.save(twice.join(ids, "page_id").select("sha", F.col("page_id").alias("last"), "to"), "named")
-            src = keyed.join(named, "sha", "left").withColumn("to", F.when(F.col("last") != F.col("page_id"), F.col("to")))
+            # A payload that very many pages have is dealt out some ways, and pages without a payload to look up by their id.
+            place = F.pmod(F.xxhash64("page_id"), F.lit(self.SPREAD)).cast("int")
+            keyed = keyed.withColumn("place", place).withColumn("sha", F.coalesce("sha", F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+            named = named.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(self.SPREAD - 1))))
+            src = keyed.join(named, ["sha", "place"], "left").withColumn("to", F.when(F.col("last") != F.col("page_id"), F.col("to")))
             refers = "to"
-        write_warc(to_warc(self._arcs(src, (refers,) if refers else ()), refers), path)
+        write_warc(to_warc(self._arcs(src, (refers,) if refers else ()), refers), path, self.bytes_per_file)
 
     def _arcs(self, src: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         return arc_records(src, date=self.date, version=F.when(F.col("page_id") % 2 == 1, 2).otherwise(1), keep=keep)

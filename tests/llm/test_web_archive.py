@@ -48,3 +48,20 @@ def test_odd_pages(spark):
         want.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if last is not None and last != i else "response", last if last != i else None))
     assert got == sorted(want, key=repr)
     assert W.LegacyArchive().run(df.where("1 = 0")).count() == 0
+
+
+def test_files_are_bounded_by_bytes(spark):
+    rows = [(i, f"http://x/{i}\x01 \x7f", "<p>" + "y" * (40_000 if i % 10 == 0 else 500) + str(i % 30)) for i in range(100)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    from corpusloom.llm._store import Scratch
+
+    scratch, archive = Scratch(spark, "test"), W.LegacyArchive(bytes_per_file=20_000)
+    path = scratch.path("archives")
+    archive.write(df, path, scratch)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).collect()
+    assert len(files) > 6
+    for f in files:
+        records = list(W.parse_warc(W.unpacked(bytes(f.content))))
+        assert len(records) == 1 or sum(len(r.to_bytes()) for r in records) <= 20_000 + len(records)
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.payload_ok) for r in archive.read(spark, path, scratch).collect()}
+    assert got == {i: (len(h), "response" if len(h) < 1000 or i == max(j for j, _, x in rows if x == h) else "revisit", True if len(h) < 1000 or i == max(j for j, _, x in rows if x == h) else None) for i, _, h in rows}
