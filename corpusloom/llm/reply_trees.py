@@ -43,11 +43,24 @@ def from_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     order and repeated rows are turns of their own. Null roles and texts are empty.
     """
     t = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
-    t = t.withColumn("node_id", n)
+    # Sorted by ranges, not by conversation, so that a very long one is numbered by many tasks; then each range's
+    # number of earlier turns is added. The last key parts repeated rows.
+    keys = ["conv_id", "turn", "role", "text", "_tie"]
+    t = t.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    t = t.withColumn("c", _name("conv_id")).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    t = Scratch(turns.sparkSession, "turns").save(t.drop("turn", "_tie"), "sorted")
+    pieces = t.groupBy("c", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    t = t.join(pieces.select("c", "part", (earlier - F.col("first") + 1).alias("shift")), ["c", "part"])
+    t = t.withColumn("node_id", F.col("at") + F.col("shift"))
     return t.select("conv_id", "node_id", F.when(F.col("node_id") > 1, F.col("node_id") - 1).alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def _name(conv: str) -> Column:
+    """A key that is never null."""
+    return F.coalesce(F.concat(F.lit("v"), F.col(conv).cast("string")), F.lit("n"))
+
+
 class ReplyTrees:
     """Formats root-to-leaf paths of reply trees.
 
@@ -85,8 +98,7 @@ class ReplyTrees:
         """conv_id, leaf_id, rank, score, formatted, mask array<struct<start, end>> (code points, end exclusive, of the
         loss role's escaped texts, in order)."""
         scratch = Scratch(nodes.sparkSession, "reply-trees")
-        c = F.coalesce(F.concat(F.lit("v"), F.col("conv_id").cast("string")), F.lit("n"))
-        nodes = scratch.save(nodes.select("conv_id", "node_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"), c.alias("c")), "nodes")
+        nodes = scratch.save(nodes.select("conv_id", "node_id", "parent_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"), _name("conv_id").alias("c")), "nodes")
         steps = self.paths(nodes.select("c", "node_id", "parent_id"), scratch)
         if self.branches is not None:
             rated = steps.join(nodes.select("c", F.col("node_id").alias("node"), "score"), ["c", "node"]).groupBy("c", "leaf").agg(F.avg("score").alias("mean"))

@@ -39,3 +39,13 @@ def test_a_long_thread_and_no_rows(spark):
     assert [t for _, t in value[1]] == [f"t{i}" for i in range(300)]
     assert hashlib.sha256(value[2].encode()).hexdigest() == hashlib.sha256("".join(f"t{i}" for i in range(1, 300, 2)).encode()).hexdigest()
     assert ReplyTrees().format(from_turns(turns.where("1 = 0"))).count() == 0
+
+
+def test_a_very_long_text_and_a_conversation_over_many_partitions(spark):
+    """One conversation holds most rows, among them very many equal ones; another holds one very long text."""
+    rows = [(1, i // 3, "assistant" if i % 2 else "user", f"t{i % 4}") for i in range(600)] + [(1, 5000, "user", "same")] * 100
+    rows += [(2, 0, "user", "[<&" * 300_000), (2, 1, "assistant", "ok")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(9)
+    got = {k[0]: v for k, v in read(ReplyTrees().format(from_turns(turns))).items()}
+    assert got[1][1] == [(r, t) for c, _, r, t in sorted(rows) if c == 1]
+    assert got[2][1] == [(r, t) for c, _, r, t in rows if c == 2] and got[2][2] == "ok"
