@@ -95,12 +95,16 @@ def style_of(flags: Column) -> Column:
 
 
 def escape_marker(c: Column) -> Column:
-    """Guillemets as references, so that a marker always ends at the first closing guillemet."""
-    return F.replace(F.replace(c, F.lit("«"), F.lit("&laquo;")), F.lit("»"), F.lit("&raquo;"))
+    """Guillemets as references, so that a marker always ends at the first closing guillemet; ``&`` too, so that this can be undone."""
+    for x, y in (("&", "&amp;"), ("«", "&laquo;"), ("»", "&raquo;")):
+        c = F.replace(c, F.lit(x), F.lit(y))
+    return c
 
 
 def unescape_marker(c: Column) -> Column:
-    return F.replace(F.replace(c, F.lit("&laquo;"), F.lit("«")), F.lit("&raquo;"), F.lit("»"))
+    for x, y in (("»", "&raquo;"), ("«", "&laquo;"), ("&", "&amp;")):
+        c = F.replace(c, F.lit(y), F.lit(x))
+    return c
 
 
 def fix_spacing(c: Column) -> Column:
@@ -145,7 +149,47 @@ def wrap_markdown(c: Column) -> Column:
 
 def sequential(numbers: Column) -> Column:
     """Whether an array of at least two integers goes up by one at each step."""
-    return (F.size(numbers) >= 2) & F.forall(F.transform(F.sequence(F.lit(1), F.size(numbers) - 1), lambda i: F.element_at(numbers, (i + 1).cast("int")) - F.element_at(numbers, i.cast("int"))), lambda d: d == 1)
+    return (F.size(numbers) >= 2) & F.forall(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(numbers) - 1)), lambda i: F.try_element_at(numbers, (i + 1).cast("int")) - F.try_element_at(numbers, i.cast("int"))), lambda d: F.coalesce(d == 1, F.lit(False)))
+
+
+#: Roman numbers that pages may have.
+ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x")
+
+
+def page_numbers(texts: Column) -> Column:
+    """Whether texts, in order, count pages: their decimal numbers if there are two or more, else their Roman ones up to ten.
+    Other texts are skipped."""
+    bare = F.transform(texts, lambda t: F.lower(strip(t)))
+    # Digits that no bigint holds count as -1: no page follows one.
+    digits = F.transform(F.filter(bare, lambda t: t.rlike(r"^\d+$")), lambda t: F.coalesce(t.try_cast("bigint"), F.lit(-1)))
+    names = F.array(*[F.lit(r) for r in ROMAN])
+    roman = F.transform(F.filter(bare, lambda t: F.array_contains(names, t)), lambda t: F.array_position(names, t))
+    return F.when(F.size(digits) >= 2, sequential(digits)).otherwise(sequential(roman))
+
+
+def font_complexity(fonts: Column) -> Column:
+    return F.when(fonts <= 3, "low").when(fonts <= 8, "moderate").otherwise("high")
+
+
+def complexity(fonts: Column, images: Column, multi_column: Column | None = None, tables: Column | None = None) -> Column:
+    """How hard a document is to convert, by its fonts, then images, then layout, then tables."""
+    font, no = font_complexity(fonts), F.lit(False)
+    many = F.when(font == "high", "high").when(images > 50, "high").when(images > 10, F.when(font == "moderate", "high").otherwise("moderate"))
+    return many.when(no if multi_column is None else multi_column, "high").when(no if tables is None else tables, F.when(font == "low", "moderate").otherwise("high")).otherwise(font)
+
+
+def quick_complexity(pages: Column, fonts: Column) -> Column:
+    """The simpler rule of the first phase."""
+    return F.when((pages > 100) | (fonts > 10), "high").when((pages > 50) | (fonts > 5), "medium").otherwise("low")
+
+
+def token_choice(tokens: Column, threshold: int = 100_000, answer: Column | None = None) -> Column:
+    """proceed under the threshold; above it the given answer, else auto."""
+    return F.when(tokens <= threshold, "proceed").otherwise(F.coalesce(answer, F.lit("auto")) if answer is not None else F.lit("auto"))
+
+
+def image_name(page: Column, image: Column) -> Column:
+    return F.format_string("page%03d_img%02d.png", page.cast("int"), image.cast("int"))
 
 
 def rating(score: Column, rubric: Column) -> Column:

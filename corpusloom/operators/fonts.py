@@ -13,6 +13,9 @@ TOLERANCE = 0.5
 TOP, BOTTOM = 0.15, 0.85
 #: Parts of the names of symbol fonts.
 ICON_FONTS = ("fontawesome", "material", "glyphicons", "icomoon", "icon", "symbol", "wingdings", "webdings")
+#: Families that are icons whatever else is known, and parts of the names of sites that print footers.
+ICON_FAMILIES = ("FontAwesome6Free-Solid", "FontAwesome6Free-Regular")
+FOOTER_SITES = ("naturalcrit",)
 
 
 def position() -> Column:
@@ -43,46 +46,79 @@ def with_signature(spans: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def tolerant(spans: DataFrame, sigs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """Spans with the first signature of their family whose size differs by less than the tolerance.
+    """Spans with the first signature of their family whose size differs by less than the tolerance; other columns stay.
 
-    Of signatures with one family and size the first keeps its place and the last gives the id.
+    Of signatures with one family and size the first keeps its place and the last gives the id. The few sizes of a
+    document's families are matched to its signatures, and only then the spans to their sizes.
     """
-    dims = sigs.groupBy("doc_id", "family", "size").agg(F.min("ord").alias("at"), F.max_by("sig", "ord").alias("sig"))
-    near = styled(spans).withColumnRenamed("size", "span_size").join(dims, ["doc_id", "family"]).where(F.abs(F.col("span_size") - F.col("size")) < tolerance)
-    return near.groupBy("doc_id", "page_no", "line_no", "span_no").agg(F.min_by("sig", "at").alias("sig"), F.first("text").alias("text"), F.first("span_size").alias("size"), F.first("origin_y").alias("origin_y"))
+    dims = sigs.groupBy("doc_id", "family", "size").agg(F.min("ord").alias("at"), F.max_by("sig", "ord").alias("sig")).withColumnRenamed("size", "sig_size")
+    t = styled(spans)
+    sizes = t.select("doc_id", "family", "size").distinct().join(dims, ["doc_id", "family"]).where(F.abs(F.col("size") - F.col("sig_size")) < tolerance)
+    return t.join(sizes.groupBy("doc_id", "family", "size").agg(F.min_by("sig", "at").alias("sig")), ["doc_id", "family", "size"])
 
 
-ROMAN = {r: i for i, r in enumerate(("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x"), 1)}
+def footer_classes(matched: DataFrame, pages: DataFrame, height: Column | float = 800.0) -> DataFrame:
+    """doc_id, sig, category, confidence, position of signatures that occur on at least eight pages in ten, by how they repeat and where.
 
-
-def page_number(text: Column) -> Column:
-    """A decimal number, else a Roman one up to ten."""
-    t = F.lower(X.strip(text))
-    roman = F.create_map(*[F.lit(x) for kv in ROMAN.items() for x in kv])
-    return F.coalesce(F.when(t.rlike(r"^\d{1,9}$"), t.cast("int")), F.try_element_at(roman, t))
-
-
-def footer_classes(matched: DataFrame, heights: Column | float = 800.0) -> DataFrame:
-    """doc_id, sig, category, confidence, position of signatures on at least eight pages in ten, by how they repeat and where."""
-    h = heights if isinstance(heights, Column) else F.lit(heights)
-    t = matched.withColumn("n", page_number(F.col("text"))).withColumn("prev", F.lag("n").over(Window.partitionBy("doc_id", "sig", F.col("n").isNotNull()).orderBy("page_no", "line_no", "span_no")))
-    pages = matched.groupBy("doc_id").agg(F.max("page_no").alias("pages"))
+    ``matched`` are spans with their signature, blank ones are skipped; ``pages`` has doc_id and pages, the number of
+    all pages of the document; ``height`` is that of a span's page, in the units of origin_y.
+    """
+    h = height if isinstance(height, Column) else F.lit(height)
+    t = matched.withColumn("text", X.strip(F.col("text"))).where("text <> ''")
     g = t.groupBy("doc_id", "sig").agg(
         F.count("*").alias("cnt"),
         F.count_distinct("text").alias("texts"),
         F.bool_and(F.col("origin_y") < TOP * h).alias("top"),
         F.bool_and(F.col("origin_y") > BOTTOM * h).alias("bottom"),
         F.avg("size").alias("mean_size"),
-        F.count("n").alias("numbers"),
-        F.coalesce(F.bool_and(F.when(F.col("prev").isNotNull(), F.col("n") == F.col("prev") + 1)), F.lit(False)).alias("steps"),
-    ).join(pages, "doc_id").where(F.col("cnt") >= 0.8 * F.col("pages"))
+        F.transform(F.array_sort(F.collect_list(F.when(F.length("text") <= 18, F.struct("page_no", "line_no", "span_no", "text")))), lambda x: x["text"]).alias("short"),
+    ).join(pages.select("doc_id", "pages"), "doc_id").where(F.col("cnt") >= 0.8 * F.col("pages"))
     every = F.col("cnt") == F.col("pages")
-    numbered = (F.col("numbers") >= 2) & F.col("steps")
+    numbered = X.page_numbers(F.col("short"))
     category = F.when(every & (F.col("texts") == 1), "watermark").when(every & numbered & (F.col("top") | F.col("bottom")), "page_number").when(F.col("bottom"), "footer").when((F.col("mean_size") < 9.0) & (F.col("cnt") > 0.9 * F.col("pages")), "footer")
     confidence = F.when(category.isin("watermark", "page_number"), "high").when(F.col("bottom"), "medium").otherwise("low")
     return g.withColumn("category", category).where("category is not null").select("doc_id", "sig", "category", confidence.alias("confidence"), F.when(F.col("top"), "top").when(F.col("bottom"), "bottom").otherwise("mixed").alias("position"), "cnt")
 
 
+def page_counts(spans: DataFrame) -> DataFrame:
+    """doc_id, pages: the last page that holds a span, for want of the true number."""
+    return spans.groupBy("doc_id").agg(F.max("page_no").alias("pages"))
+
+
+def _unlabelled(sigs: DataFrame) -> Column:
+    return (F.col("label") if "label" in sigs.columns else F.lit(None).cast("string")).isNull()
+
+
+def plain_footers(sigs: DataFrame, sites: tuple[str, ...] = FOOTER_SITES) -> DataFrame:
+    """doc_id, sig: footers by name alone, where no classes were made: small unlabelled signatures whose sample names a site or begins with PART."""
+    named = F.exists(F.array(*[F.lit(x) for x in sites]), lambda x: F.contains(F.lower("sample"), x)) | F.upper("sample").startswith("PART")
+    return sigs.where((F.col("size") < 8) & ~F.col("candidate_heading") & _unlabelled(sigs) & named).select("doc_id", "sig")
+
+
+def plain_icons(sigs: DataFrame, families: tuple[str, ...] = ICON_FAMILIES) -> DataFrame:
+    """doc_id, sig: icon signatures by family alone, where no classes were made."""
+    return sigs.where(F.col("family").isin(*families)).select("doc_id", "sig")
+
+
+def page_number_ids(sigs: DataFrame) -> DataFrame:
+    """doc_id, sig: unlabelled signatures, no heading candidates, whose one sample is all digits."""
+    return sigs.where(~F.col("candidate_heading") & _unlabelled(sigs) & F.col("sample").rlike(r"(?U)^\d+$") & (F.col("frequency") >= 1)).select("doc_id", "sig")
+
+
+def candidates(sigs: DataFrame) -> DataFrame:
+    """doc_id, candidates: how many heading candidates a document has."""
+    return sigs.groupBy("doc_id").agg(F.count_if("candidate_heading").alias("candidates"))
+
+
+def samples(spans: DataFrame, keys: list[str], n: int = 3, length: int = 50) -> DataFrame:
+    """The keys with the first ``n`` texts of each, at most ``length`` characters of them, and how many there are."""
+    t = spans.where(X.strip(F.col("text")) != "")
+    w = Window.partitionBy("doc_id", *keys)
+    t = t.withColumn("nth", F.row_number().over(w.orderBy("page_no", "line_no", "span_no"))).withColumn("frequency", F.count("*").over(w))
+    t = t.where(F.col("nth") <= n).groupBy("doc_id", *keys).agg(F.max("frequency").alias("frequency"), F.array_sort(F.collect_list(F.struct("nth", F.substring("text", 1, length).alias("text")))).alias("s"))
+    return t.select("doc_id", *keys, "frequency", F.transform("s", lambda x: x["text"]).alias("samples"))
+
+
 def footer_ids(classes: DataFrame) -> DataFrame:
     """Signatures to remove: all but footers of low confidence (a missing confidence is high)."""
     return classes.where((F.col("category") != "footer") | (F.coalesce("confidence", F.lit("high")) != "low")).select("doc_id", "sig").distinct()

@@ -32,11 +32,13 @@ ANCHORS = ("Tables", "Weapons", "Armor Class", "Damage", "Range", "|")
 
 
 def sample_window(text: Column, most: int = 3500) -> Column:
-    """At most ``most`` characters around the first anchor word, else the text's head and tail."""
+    """At most ``most`` characters around the first of the anchor words, in their order, that the text holds, shifted back
+    where the text ends; without one the text's head and tail."""
     text = X.strip(text)
-    at = F.array_min(F.filter(F.array(*[F.position(F.lit(w), text) for w in ANCHORS]), lambda p: p > 0))
     half = most // 2
-    around = F.substr(text, F.greatest(F.lit(1), at - half), F.lit(most))
+    at = F.coalesce(*[F.nullif(F.position(F.lit(w), text), F.lit(0)) for w in ANCHORS])
+    end = F.least(F.length(text), F.greatest(F.lit(0), at - 1 - half) + most)
+    around = F.substr(text, F.greatest(F.lit(0), end - most) + 1, F.lit(most))
     ends = F.concat(F.left(text, F.lit(half)), F.lit("\n...\n"), F.right(text, F.lit(half)))
     return F.when(F.length(text) <= most, text).when(at.isNotNull(), around).otherwise(ends)
 

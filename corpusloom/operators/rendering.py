@@ -14,9 +14,11 @@ def literal(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\$])", r"\\$1")
 
 
-def bare(line: Column) -> Column:
-    """The text of a line's markers and all around them."""
-    return X.unescape_marker(F.regexp_replace(line, MARKER, "$2"))
+def bare(line: Column, before: Column | None = None) -> Column:
+    """The texts of a line's markers, each after ``before``, and all around them."""
+    if before is None:
+        return X.unescape_marker(F.regexp_replace(line, MARKER, "$2"))
+    return X.unescape_marker(F.regexp_replace(line, F.lit(MARKER), F.concat(literal(before), F.lit("$2"))))
 
 
 def first_label(lines: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -25,22 +27,27 @@ def first_label(lines: DataFrame, labelled: DataFrame) -> DataFrame:
     return t.join(labelled.where("label is not null").select("doc_id", "sig", "label"), ["doc_id", "sig"], "left")
 
 
+def last_ends(rules: DataFrame) -> DataFrame:
+    """label, end_text: of the rules of one label that have an end text, the last (by ord) gives it."""
+    return rules.where("end_text <> ''").groupBy("label").agg(F.max_by("end_text", "ord").alias("end_text"))
+
+
 def callout_state(lines: DataFrame, ends: DataFrame) -> DataFrame:
     """Lines with ``callout``: the callout they stand in, else null.
 
-    A callout label opens one (or another); a heading or other marker closes it; a line that holds the
-    callout's end text is its last. Lines without a marker, blank ones and page comments too, stay in it.
+    A callout label opens one (or another); a heading or other marker closes it; a line with the callout's marker that
+    holds its end text is its last. Lines without a marker, blank ones and page comments too, stay in it.
+    ``ends`` has one row for each label (see ``last_ends``), and an ord where it has more.
     """
-    opens = F.col("label").startswith("callout")
-    t = lines.join(ends.select(F.col("label"), "end_text"), "label", "left")
+    ends = last_ends(ends if "ord" in ends.columns else ends.withColumn("ord", F.lit(0)))
+    opens = F.coalesce(F.col("label").startswith("callout"), F.lit(False))
+    t = lines.join(ends, "label", "left")
+    ended = opens & F.coalesce(F.contains("line", "end_text"), F.lit(False))
+    # What holds after the line; the line itself stands in the callout that it opens.
+    after = F.when(ended, "").when(opens, F.col("label")).when(F.col("sig").isNotNull(), "")
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    ended = opens & F.coalesce(F.col("end_text") != "", F.lit(False)) & F.coalesce(F.contains("line", "end_text"), F.lit(False))
-    event = F.when(opens, F.struct(F.col("label").alias("l"), F.col("end_text").alias("t"))).when(F.col("sig").isNotNull(), F.struct(F.lit("").alias("l"), F.lit("").alias("t")))
-    t = t.withColumn("cur", F.last(event, ignorenulls=True).over(w)).withColumn("block", F.sum(F.when(event.isNotNull(), 1).otherwise(0)).over(w))
-    hit = F.coalesce((F.col("cur.l") != "") & (F.col("cur.t") != "") & F.contains("line", F.col("cur.t")), F.lit(False))
-    inner = Window.partitionBy("doc_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("over", F.coalesce(F.max(hit).over(inner), F.lit(False)))
-    return t.withColumn("callout", F.when((F.col("cur.l") != "") & ~F.col("over"), F.col("cur.l"))).withColumn("last_line", hit).drop("cur", "block", "over", "end_text")
+    t = t.withColumn("after", after).withColumn("cur", F.last("after", ignorenulls=True).over(w))
+    return t.withColumn("callout", F.when(opens, F.col("label")).when(F.col("sig").isNull() & (F.col("cur") != ""), F.col("cur"))).withColumn("last_line", ended).drop("after", "cur", "end_text")
 
 
 def unclosed_callouts(stated: DataFrame) -> DataFrame:
@@ -50,13 +57,31 @@ def unclosed_callouts(stated: DataFrame) -> DataFrame:
 
 
 def render(stated: DataFrame) -> DataFrame:
-    """doc_id, line_no, line in Markdown: headings, quoted callouts, plain text."""
-    level = F.regexp_extract("label", r"^H([1-6])$", 1)
-    text = bare(F.col("line"))
-    out = F.when(F.coalesce(level, F.lit("")) != "", F.concat(F.repeat(F.lit("#"), level.cast("int")), F.lit(" "), text)).when(F.col("callout").isNotNull(), F.concat(F.lit("> "), text)).otherwise(text)
+    """doc_id, line_no, line in Markdown: every marker of a heading line or a callout's is prefixed, lines without a marker
+    in a callout are quoted, other markers are bare."""
+    level = F.coalesce(F.regexp_extract("label", r"^H([1-6])$", 1), F.lit(""))
+    line = F.col("line")
+    heading = bare(line, F.concat(F.repeat(F.lit("#"), F.when(level != "", level.cast("int"))), F.lit(" ")))
+    callout = F.when(F.col("sig").isNotNull(), bare(line, F.lit("> "))).otherwise(F.concat(F.lit("> "), line))
+    out = F.when(level != "", heading).when(F.col("callout").isNotNull(), callout).otherwise(bare(line))
     return stated.select("doc_id", "line_no", out.alias("line"))
 
 
+def counts(stated: DataFrame) -> DataFrame:
+    """doc_id, label, n: heading and callout lines by label."""
+    return stated.where(F.col("label").rlike("^(H[1-6]$|callout)")).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+
+
+def table_text(lines: DataFrame, limit: int = 21) -> DataFrame:
+    """doc_id, page, text: the lines of a page that look like a table's (two spaces, a tab, more than three spaces), the first ``limit``."""
+    page = F.regexp_extract("line", r"^<!-- Page (\d+) -->$", 1)
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    t = lines.withColumn("page", F.last(F.when(page != "", page.cast("int")), ignorenulls=True).over(w)).where((page == "") & F.col("page").isNotNull())
+    rowlike = F.contains("line", F.lit("  ")) | F.contains("line", F.lit("\t")) | (F.regexp_count(X.strip(F.col("line")), F.lit(" ")) > 3)
+    t = t.where(rowlike).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("line_no"))).where(F.col("nth") <= limit)
+    return t.groupBy("doc_id", "page").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY line_no)").alias("text"))
+
+
 def place_images(lines: DataFrame, images: DataFrame) -> DataFrame:
     """A figure placeholder and a commented link after the comment of the image's page; later images of a page come first."""
     page = F.regexp_extract("line", r"^<!-- Page (\d+) -->$", 1)

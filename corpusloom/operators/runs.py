@@ -50,11 +50,18 @@ def state_violations(states: DataFrame) -> DataFrame:
 
 
 def recent(history: DataFrame, key: list[str], at: str, owner: list[str], keep: int = 20) -> DataFrame:
-    """The latest row of each key, the newest ``keep`` of each owner."""
-    last = history.withColumn("_n", F.row_number().over(Window.partitionBy(*owner, *key).orderBy(F.desc(at)))).where("_n = 1").drop("_n")
+    """The latest row of each key (of equal times the one with the least other columns), the newest ``keep`` of each owner."""
+    rest = [c for c in history.columns if c not in (*key, *owner, at)]
+    last = history.withColumn("_n", F.row_number().over(Window.partitionBy(*owner, *key).orderBy(F.desc(at), *rest))).where("_n = 1").drop("_n")
     return last.withColumn("position", F.row_number().over(Window.partitionBy(*owner).orderBy(F.desc(at), *key))).where(F.col("position") <= keep)
 
 
+def latest(results: DataFrame, phase: int | None = None, seq: str = "seq") -> DataFrame:
+    """A document's last result (by seq), of one phase or of any."""
+    t = results if phase is None else results.where(F.col("phase") == phase)
+    return t.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in t.columns if c != "doc_id"]), seq).alias("r")).select("doc_id", "r.*")
+
+
 def report(results: DataFrame) -> DataFrame:
     """doc_id, text: a Markdown report of the phases with their times, warnings and errors."""
     row = F.concat(F.lit("| "), F.col("phase").cast("string"), F.lit(" | "), "status", F.lit(" | "), X.duration(F.col("seconds")), F.lit(" |"))

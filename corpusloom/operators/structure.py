@@ -49,10 +49,20 @@ def evidence(markers: DataFrame, keywords: tuple[str, ...] = NOTE_KEYWORDS) -> D
 
 
 def callout_members(markers: DataFrame, captured: DataFrame) -> DataFrame:
-    """Markers whose stripped text is a line of a captured callout, with the label of the first one (ord) that holds it."""
-    line = captured.select("ord", "label", F.explode(F.split("text", "\n")).alias("key")).withColumn("key", X.strip(F.col("key"))).where("key <> ''")
-    line = line.groupBy("key").agg(F.min_by("label", "ord").alias("label"))
-    return markers.withColumn("key", X.strip(F.col("text"))).join(line, "key").drop("key")
+    """Markers whose stripped text is a line of a callout captured in their document, with the label of the first one (ord) that holds it."""
+    line = captured.select("doc_id", "ord", "label", F.explode(F.split("text", "\n")).alias("key")).withColumn("key", X.strip(F.col("key"))).where("key <> ''")
+    line = line.groupBy("doc_id", "key").agg(F.min_by("label", "ord").alias("label"))
+    return markers.withColumn("key", X.strip(F.col("text"))).join(line, ["doc_id", "key"]).drop("key")
+
+
+def unmatched_markers(markers: DataFrame, sigs: DataFrame) -> DataFrame:
+    """doc_id, n: markers whose signature is not known; a warning, as they are skipped."""
+    return markers.join(sigs.select("doc_id", "sig"), ["doc_id", "sig"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def read_aloud(markers: DataFrame) -> DataFrame:
+    """Markers that hold a phrase of text meant to be read aloud."""
+    return markers.where(contains_any(F.col("text"), READ_ALOUD))
 
 
 def labels(sigs: DataFrame, body: DataFrame, toc: DataFrame, seen: DataFrame) -> DataFrame:
@@ -94,10 +104,11 @@ def boundary_capture(blocks: DataFrame, rules: DataFrame) -> DataFrame:
     """
     if (n := rules.count()) > MAX_RULES:
         raise ValueError(f"{n} rules; at most {MAX_RULES} can be sent to every task")
-    t = blocks.join(F.broadcast(rules), F.lit(True))
+    order = F.monotonically_increasing_id() if "rule" not in rules.columns else F.col("rule")
+    t = blocks.join(F.broadcast(rules.withColumn("rule", order)), F.lit(True))
     t = t.withColumn("s", F.expr("locate(start_text, text)")).withColumn("e", F.expr("locate(end_text, text, greatest(locate(start_text, text), 1))"))
     event = F.when(F.col("s") > 0, F.when(F.col("e") > 0, "both").otherwise("open")).when(F.col("e") > 0, "close")
-    w = Window.partitionBy("label", "doc_id").orderBy("ord")
+    w = Window.partitionBy("rule", "doc_id").orderBy("ord")
     was = F.last(F.when(event.isin("both", "close"), "close").when(event == "open", "open"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     t = t.withColumn("event", event).withColumn("inside", F.coalesce(was == "open", F.lit(False)))
     text = F.when(F.col("event") == "both", F.expr("substring(text, s, e + length(end_text) - s)")).when(F.col("event") == "open", F.expr("substring(text, s)")).when(F.col("inside") & (F.col("event") == "close"), F.expr("substring(text, 1, e + length(end_text) - 1)")).when(F.col("inside"), F.col("text"))
@@ -105,10 +116,11 @@ def boundary_capture(blocks: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def visual_toc_page(pages: DataFrame) -> DataFrame:
-    """doc_id, page_no: the first of pages 1 to 3 that looks like a printed outline."""
-    head = F.lower(F.substring("text", 1, 500))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    numbered = F.size(F.filter(lines, lambda x: F.contains(F.lower(x), F.lit("page ")) | F.rtrim(x).rlike(r"([1-9]|[1-9]0)$")))
+    """doc_id, page_no: the first of pages 1 to 3 that looks like a printed outline: by a word at its head, or by five lines
+    with page numbers among eight or more, blank ones counted."""
+    head = F.substring(F.lower("text"), 1, 500)
+    lines = F.split("text", "\n")
+    numbered = F.size(F.filter(lines, lambda x: F.contains(F.lower(x), F.lit("page ")) | X.strip(x).rlike(r"([1-9]|[1-9]0)$")))
     hit = contains_any(head, TOC_KEYWORDS) | ((numbered >= 5) & (F.size(lines) >= 8))
     return pages.where((F.col("page_no") <= 3) & hit).groupBy("doc_id").agg(F.min("page_no").alias("page_no"))
 
@@ -116,7 +128,7 @@ def visual_toc_page(pages: DataFrame) -> DataFrame:
 def domain_terms(samples: DataFrame, fixed: tuple[str, ...] = DOMAIN_TERMS) -> DataFrame:
     """Distinct upper-case alphabetic words of at least two letters of the samples, with the fixed terms."""
     w = samples.select(F.explode(F.split("sample", r"\s+")).alias("w"))
-    w = w.select(F.upper(F.regexp_replace("w", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")).alias("term")).where(F.col("term").rlike(r"^\p{L}{2,}$"))
+    w = w.select(F.upper(F.regexp_replace("w", r"^[.,;:!?()\[\]{}]+|[.,;:!?()\[\]{}]+$", "")).alias("term")).where(F.col("term").rlike(r"^\p{L}{2,}$"))
     return w.union(samples.sparkSession.createDataFrame([(x,) for x in fixed], "term string")).distinct()
 
 

@@ -46,7 +46,7 @@ MARKED = f"""{SIGS}, sp AS (
   SELECT doc_id, page_no, line_no, run, sig, string_agg(part, '' ORDER BY span_no) AS text FROM numbered GROUP BY ALL
 ), marked AS (
   SELECT doc_id, page_no, line_no, string_agg(CASE WHEN sig IS NULL THEN CASE WHEN run > 1 AND regexp_matches(text, '^\\S') THEN ' ' || text ELSE text END
-         ELSE '«' || sig || ':' || replace(replace(text, '«', '&laquo;'), '»', '&raquo;') || '»' END, '' ORDER BY run) AS line FROM runs GROUP BY ALL
+         ELSE '«' || sig || ':' || replace(replace(replace(text, '&', '&amp;'), '«', '&laquo;'), '»', '&raquo;') || '»' END, '' ORDER BY run) AS line FROM runs GROUP BY ALL
 )"""
 TOC = "toc AS (SELECT doc_id, line_no AS ord, 1 + line_no % 3 AS level, line AS title FROM lines WHERE line_no % 4 = 0 AND length(line) BETWEEN 3 AND 60)"
 
@@ -163,7 +163,7 @@ def prj02_pdf_date(spark, sf_dir):
     return e.select("event_id", X.pdf_date(raw).cast("timestamp_ntz").alias("at"))
 
 
-@register("SELECT doc_id, source AS family, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', n_chars / 1024.0) END AS size, translate(source || ':' || lang || '?', '<>:\"|?*', '_______') AS filename, n_chars // 4 AS tokens FROM documents WHERE n_chars < 1048576")
+@register("SELECT doc_id, source AS family, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', round_even(n_chars / 1024.0, 1)) WHEN n_chars < 1073741824 THEN printf('%.1f MB', round_even(n_chars / 1048576.0, 1)) WHEN n_chars < 1099511627776 THEN printf('%.1f GB', round_even(n_chars / 1073741824.0, 1)) WHEN n_chars IS NOT NULL THEN printf('%.1f TB', round_even(n_chars / 1099511627776.0, 1)) END AS size, translate(source || ':' || lang || '?', '<>:\"|?*', '_______') AS filename, n_chars // 4 AS tokens FROM documents")
 def prj03_scalars(spark, sf_dir):
     d = tables.parquet(spark, sf_dir, "documents")
     font = F.concat(F.lit("ABCDEF+"), F.initcap("source"), F.lit("-Bold Italic"))
@@ -171,17 +171,15 @@ def prj03_scalars(spark, sf_dir):
 
 
 @register(f"""
-WITH {SPANS}, m AS (SELECT doc_id, max(page_no) AS pages, count(DISTINCT font) AS fonts, max(CASE WHEN length(text) > 200 THEN 1 ELSE 0 END) AS wide FROM spans GROUP BY doc_id)
+WITH {SPANS}, m AS (SELECT doc_id, max(page_no) AS pages, count(DISTINCT font) + doc_id % 10 AS fonts, doc_id % 70 AS images, max(CASE WHEN length(text) > 200 THEN 1 ELSE 0 END) AS wide FROM spans GROUP BY doc_id)
 SELECT doc_id, pages, fonts, CASE WHEN fonts <= 3 THEN 'low' WHEN fonts <= 8 THEN 'moderate' ELSE 'high' END AS font_complexity,
   CASE WHEN pages > 100 OR fonts > 10 THEN 'high' WHEN pages > 50 OR fonts > 5 THEN 'medium' ELSE 'low' END AS complexity,
-  CASE WHEN fonts > 8 OR pages > 50 THEN 'high' WHEN pages > 10 THEN CASE WHEN fonts > 3 THEN 'high' ELSE 'moderate' END WHEN wide = 1 THEN 'high' WHEN fonts <= 3 THEN 'low' ELSE 'moderate' END AS overall
+  CASE WHEN fonts > 8 OR images > 50 THEN 'high' WHEN images > 10 THEN CASE WHEN fonts > 3 THEN 'high' ELSE 'moderate' END WHEN wide = 1 THEN 'high' WHEN doc_id % 3 = 0 THEN CASE WHEN fonts <= 3 THEN 'moderate' ELSE 'high' END WHEN fonts <= 3 THEN 'low' ELSE 'moderate' END AS overall
 FROM m""")
 def prj05_complexity(spark, sf_dir):
-    m = spans_of(spark, sf_dir).groupBy("doc_id").agg(F.max("page_no").alias("pages"), F.count_distinct("font").alias("fonts"), F.max(F.length("text") > 200).alias("wide"))
-    font = F.when(F.col("fonts") <= 3, "low").when(F.col("fonts") <= 8, "moderate").otherwise("high")
-    overall = F.when(font == "high", "high").when(F.col("pages") > 50, "high").when(F.col("pages") > 10, F.when(font == "moderate", "high").otherwise("moderate")).when(F.col("wide"), "high").otherwise(font)
-    simple = F.when((F.col("pages") > 100) | (F.col("fonts") > 10), "high").when((F.col("pages") > 50) | (F.col("fonts") > 5), "medium").otherwise("low")
-    return m.select("doc_id", "pages", "fonts", font.alias("font_complexity"), simple.alias("complexity"), overall.alias("overall"))
+    m = spans_of(spark, sf_dir).groupBy("doc_id").agg(F.max("page_no").alias("pages"), (F.count_distinct("font") + F.col("doc_id") % 10).alias("fonts"), F.max(F.length("text") > 200).alias("wide"))
+    n = F.col("fonts")
+    return m.select("doc_id", "pages", "fonts", X.font_complexity(n).alias("font_complexity"), X.quick_complexity(F.col("pages"), n).alias("complexity"), X.complexity(n, F.col("doc_id") % 70, F.col("wide"), F.col("doc_id") % 3 == 0).alias("overall"))
 
 
 @register(f"""
@@ -196,15 +194,16 @@ def prj10_extractable(spark, sf_dir):
     return t.select("doc_id", "extractable", F.array_join(found, ",").alias("warnings"))
 
 
-@register(f"WITH {LINES} SELECT doc_id, CAST(line_no AS INT) AS line_no, {NORM.format('line')} AS norm FROM lines WHERE line_no < 3")
+@register(f"WITH {LINES} SELECT doc_id, CAST(line_no AS INT) AS line_no, {NORM.format('line')} AS norm FROM lines")
 def prj18_norm_heading(spark, sf_dir):
     return lines_of(spark, sf_dir).select("doc_id", "line_no", X.norm_heading(F.col("line")).alias("norm"))
 
 
-@register("SELECT doc_id, n_chars // 4 AS tokens, CASE WHEN n_chars // 4 > 2000 THEN 'auto' ELSE 'proceed' END AS choice, n_chars // 4 // 800 AS pages FROM (SELECT doc_id, length(text) AS n_chars FROM documents)")
+@register("SELECT doc_id, n // 4 AS tokens, CASE WHEN n // 4 > 2000 THEN CASE doc_id % 3 WHEN 0 THEN 'skip' WHEN 1 THEN 'proceed' ELSE 'auto' END ELSE 'proceed' END AS choice, n // 4 // 800 AS pages FROM (SELECT doc_id, length(text) AS n FROM documents)")
 def prj21_tokens(spark, sf_dir):
     n = X.token_estimate(F.col("text"))
-    return docs_of(spark, sf_dir).select("doc_id", n.alias("tokens"), F.when(n > 2000, "auto").otherwise("proceed").alias("choice"), F.floor(n / 800).alias("pages"))
+    answer = F.when(F.col("doc_id") % 3 == 0, "skip").when(F.col("doc_id") % 3 == 1, "proceed")
+    return docs_of(spark, sf_dir).select("doc_id", n.alias("tokens"), X.token_choice(n, 2000, answer).alias("choice"), F.floor(n / 800).alias("pages"))
 
 
 @register("SELECT doc_id, greatest(1, least(5, CAST(round_even(coalesce(CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 9 AS DOUBLE) END, (quality * 4 + toxic) / 2.0), 0) AS INT))) AS score FROM labels")
@@ -239,7 +238,7 @@ def jn02_tolerance_match(spark, sf_dir):
 WITH t AS (
   SELECT doc_id, page, kind, CASE kind WHEN 'w' THEN 'DRAFT' WHEN 'n' THEN CAST(page AS VARCHAR) WHEN 'f' THEN source || page % 2 ELSE 'x' || page END AS text,
          CASE kind WHEN 'n' THEN 780.0 WHEN 'f' THEN 770.0 ELSE 300.0 END AS y, CASE kind WHEN 's' THEN 7.5 ELSE 12.0 END AS size
-  FROM documents, (SELECT unnest(range(1, 5)) AS page), (SELECT unnest(['w', 'n', 'f', 's']) AS kind) WHERE doc_id % 10 = 0
+  FROM documents, (SELECT unnest(range(1, 5)) AS page), (SELECT unnest(['w', 'n', 'f', 's']) AS kind)
 )
 SELECT DISTINCT doc_id, kind AS sig, CASE kind WHEN 'w' THEN 'watermark' WHEN 'n' THEN 'page_number' ELSE 'footer' END AS category, CASE kind WHEN 'f' THEN 'medium' WHEN 's' THEN 'low' ELSE 'high' END AS confidence,
   CASE WHEN kind IN ('n', 'f') THEN 'bottom' ELSE 'mixed' END AS position, CAST(4 AS BIGINT) AS cnt FROM t""")
@@ -249,7 +248,7 @@ def ag07_footer_classes(spark, sf_dir):
     k = F.col("sig")
     d = d.withColumn("text", F.when(k == "w", "DRAFT").when(k == "n", F.col("page_no").cast("string")).when(k == "f", F.concat("source", (F.col("page_no") % 2).cast("string"))).otherwise(F.concat(F.lit("x"), F.col("page_no").cast("string"))))
     d = d.withColumn("origin_y", F.when(k == "n", 780.0).when(k == "f", 770.0).otherwise(300.0)).withColumn("size", F.when(k == "s", 7.5).otherwise(12.0))
-    return fonts.footer_classes(d)
+    return fonts.footer_classes(d, d.groupBy("doc_id").agg(F.lit(4).alias("pages")))
 
 
 @register(f"""
@@ -271,8 +270,8 @@ def ag13_body_size(spark, sf_dir):
 
 
 @register(f"""
-WITH {SIGS}, w AS (SELECT unnest(regexp_split_to_array(sample, '\\s+')) AS w FROM sigs WHERE regexp_matches(sample, '^[\\x20-\\x7e]*$'))
-SELECT DISTINCT upper(t) AS term FROM (SELECT regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') AS t FROM w) WHERE regexp_matches(t, '^[A-Za-z]{{2,}}$') UNION SELECT unnest(['AC','HP','DC','STR','DEX','CON','INT','WIS','CHA','THAC0','XP','GP','SP','CP','PP','EP','DM','GM','PC','NPC','BBEG'])""")
+WITH {SIGS}, w AS (SELECT unnest(regexp_split_to_array(sample, '\\s+')) AS w FROM sigs)
+SELECT DISTINCT upper(replace(t, 'ß', 'SS')) AS term FROM (SELECT regexp_replace(w, '^[.,;:!?()\\[\\]{{}}]+|[.,;:!?()\\[\\]{{}}]+$', '', 'g') AS t FROM w) WHERE regexp_matches(upper(replace(t, 'ß', 'SS')), '^\\p{{L}}{{2,}}$') UNION SELECT unnest(['AC','HP','DC','STR','DEX','CON','INT','WIS','CHA','THAC0','XP','GP','SP','CP','PP','EP','DM','GM','PC','NPC','BBEG'])""")
 def ag21_domain_terms(spark, sf_dir):
     return structure.domain_terms(fonts.signatures(spans_of(spark, sf_dir)))
 
@@ -303,7 +302,7 @@ def txt07_boundaries(spark, sf_dir):
     return marking.boundaries(t)
 
 
-@register(f"WITH {MARKED}, m AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '«(sig[a-z0-9]+):([^»]*)»', 1)) AS sig, unnest(regexp_extract_all(line, '«(sig[a-z0-9]+):([^»]*)»', 2)) AS text FROM marked) SELECT doc_id, sig, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM m GROUP BY ALL")
+@register(f"WITH {MARKED}, m AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '«(sig[a-z0-9]+):([^»]*)»', 1)) AS sig, unnest(regexp_extract_all(line, '«(sig[a-z0-9]+):([^»]*)»', 2)) AS text FROM marked) SELECT doc_id, sig, count(*) AS n, CAST(sum(length(replace(replace(replace(text, '&raquo;', '»'), '&laquo;', '«'), '&amp;', '&'))) AS BIGINT) AS n_chars FROM m GROUP BY ALL")
 def hd01_markers(spark, sf_dir):
     return marking.markers(marked_of(spark, sf_dir)).groupBy("doc_id", "sig").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
@@ -342,10 +341,10 @@ def rw05_blank_markers(spark, sf_dir):
     return cleaning.drop_page_numbers(cleaning.drop_blank_markers(t), pages).groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(F.expr("listagg(line, '|') WITHIN GROUP (ORDER BY line_no)")).alias("lines_md5"))
 
 
-@register(f"WITH {LINES}, m AS (SELECT doc_id, line_no, CASE WHEN line_no % 3 > 0 THEN ' ' ELSE line END AS line FROM lines), b AS (SELECT *, trim(line) = '' AS blank, coalesce(lag(trim(line) = '') OVER (PARTITION BY doc_id ORDER BY line_no), false) AS was FROM m) SELECT doc_id, count(*) AS n FROM b WHERE NOT (blank AND was) GROUP BY doc_id")
+@register(f"WITH {LINES}, m AS (SELECT doc_id, line_no, CASE WHEN line_no % 3 > 0 THEN ' ' ELSE line END AS line FROM lines), b AS (SELECT *, trim(line) = '' AS blank, coalesce(lag(trim(line) = '') OVER (PARTITION BY doc_id ORDER BY line_no), false) AS was FROM m) SELECT doc_id, count(*) AS n, md5(string_agg(line, '|' ORDER BY line_no)) AS lines_md5 FROM b WHERE NOT (blank AND was) GROUP BY doc_id")
 def rw06_squeeze(spark, sf_dir):
     t = lines_of(spark, sf_dir).select("doc_id", "line_no", F.when(F.col("line_no") % 3 > 0, " ").otherwise(F.col("line")).alias("line"))
-    return cleaning.squeeze_lines(t).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return cleaning.squeeze_lines(t).groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(F.expr("listagg(line, '|') WITHIN GROUP (ORDER BY line_no)")).alias("lines_md5"))
 
 
 @register(f"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace({DIRTY}, ' {{2,}}', ' ', 'g'), ' +([.,;:!?])', '\\1', 'g'), '([\\[(]) +', '\\1', 'g'), ' +([\\])])', '\\1', 'g')) AS text_md5 FROM documents")
@@ -394,18 +393,22 @@ def hd03_caps_and_titles(spark, sf_dir):
 @register(f"""
 WITH {MARKED}, {TOC}, m AS (SELECT doc_id, unnest(regexp_extract_all(line, '«(sig[a-z0-9]+):([^»]*)»', 1)) AS sig, unnest(regexp_extract_all(line, '«(sig[a-z0-9]+):([^»]*)»', 2)) AS text FROM marked),
 t AS (SELECT doc_id, {NORM.format("title")} AS key, min(level) AS level FROM toc GROUP BY ALL)
-SELECT doc_id, sig, min(level) AS toc_level FROM (SELECT doc_id, sig, {NORM.format("text")} AS key FROM m) JOIN t USING (doc_id, key) WHERE key <> '' GROUP BY ALL""")
+SELECT doc_id, sig, min(level) AS toc_level FROM (SELECT doc_id, sig, {NORM.format("replace(replace(replace(text, '&raquo;', '»'), '&laquo;', '«'), '&amp;', '&')")} AS key FROM m) JOIN t USING (doc_id, key) WHERE key <> '' GROUP BY ALL""")
 def jn03_toc_levels(spark, sf_dir):
     return structure.toc_levels(marking.markers(marked_of(spark, sf_dir)), toc_of(spark, sf_dir)).select("doc_id", "sig", F.col("toc_level").cast("long").alias("toc_level"))
 
 
 @register(f"""
-WITH {LINES}, c AS (SELECT {STRIP.format("k")} AS key, min(item_id) AS item FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS k FROM benchmark) GROUP BY 1)
-SELECT doc_id, CAST(line_no AS INT) AS line_no, 'b' || item AS label FROM lines JOIN c ON key = {STRIP.format("line")} WHERE key <> ''""")
+WITH {LINES}, c AS (SELECT doc_id + 1 AS doc_id, line_no // 3 AS ord, CASE WHEN line_no % 2 = 0 THEN 'box' ELSE 'aside' END AS label, {STRIP.format("line")} AS key FROM lines WHERE {STRIP.format("line")} <> ''),
+k AS (SELECT doc_id, key, arg_min(label, ord * 10 + CASE WHEN label = 'box' THEN 0 ELSE 1 END) AS label FROM c GROUP BY ALL)
+SELECT l.doc_id, CAST(l.line_no AS INT) AS line_no, k.label FROM (SELECT doc_id + line_no % 2 AS doc_id, line_no, line FROM lines) l JOIN k ON k.doc_id = l.doc_id AND k.key = {STRIP.format("l.line")}""")
 def jn05_callout_members(spark, sf_dir):
-    m = lines_of(spark, sf_dir).select("doc_id", "line_no", F.col("line").alias("text"))
-    b = tables.parquet(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("label"), "text")
-    return structure.callout_members(m, b).select("doc_id", "line_no", "label")
+    """Captured texts of a document are looked for in that document alone: here in the next one, where every second line moved to."""
+    t = lines_of(spark, sf_dir)
+    m = t.select((F.col("doc_id") + F.col("line_no") % 2).alias("doc_id"), "line_no", F.col("line").alias("text"))
+    label = F.when(F.col("line_no") % 2 == 0, "box").otherwise("aside")
+    c = t.select((F.col("doc_id") + 1).alias("doc_id"), (F.floor(F.col("line_no") / 3) * 10 + F.when(F.col("line_no") % 2 == 0, 0).otherwise(1)).alias("ord"), label.alias("label"), F.col("line").alias("text"))
+    return structure.callout_members(m, c).select("doc_id", "line_no", "label")
 
 
 @register(f"WITH {LINES} SELECT doc_id, count(*) FILTER (contains(lower(line), 'note') OR contains(lower(line), 'licensed')) AS n_hits FROM lines GROUP BY doc_id")
@@ -413,7 +416,7 @@ def jn06_keywords(spark, sf_dir):
     return lines_of(spark, sf_dir).groupBy("doc_id").agg(F.count_if(structure.contains_any(F.col("line"), ("note", "licensed"))).alias("n_hits"))
 
 
-LABELS = f"""{SIGS}, base AS (SELECT doc_id, sig, ord, size, CASE WHEN ord = 3 THEN NULL WHEN ord % 2 = 0 THEN 'H2' ELSE 'H3' END AS label FROM sigs WHERE doc_id % 2 = 0),
+LABELS = f"""{SIGS}, base AS (SELECT doc_id, sig, ord, size, CASE WHEN ord = 3 THEN NULL WHEN ord % 2 = 0 THEN 'H2' ELSE 'H3' END AS label FROM sigs),
 top AS (SELECT doc_id, sig, label, row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, ord) AS k FROM base WHERE label IS NOT NULL)"""
 
 
@@ -435,47 +438,54 @@ def hd05_labels(spark, sf_dir):
 
 
 @register(f"""
-WITH {LINES}, p AS (SELECT doc_id, line_no // 10 + 1 AS page_no, string_agg(line || CASE WHEN doc_id % 2 = 0 THEN ' 17' ELSE '' END, chr(10) ORDER BY line_no) AS text FROM lines WHERE line_no < 40 GROUP BY ALL)
-SELECT doc_id, CAST(min(page_no) AS INT) AS page_no FROM p WHERE page_no <= 3 AND (contains(lower(substring(text, 1, 500)), 'contents') OR contains(lower(substring(text, 1, 500)), 'index') OR (len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) >= 8 AND len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND (contains(lower(x), 'page ') OR regexp_matches(rtrim(x), '([1-9]|[1-9]0)$')))) >= 5)) GROUP BY doc_id""")
+WITH {LINES}, p AS (SELECT doc_id, line_no // 10 + 1 AS page_no, string_agg(CASE WHEN doc_id % 2 = 0 THEN CASE WHEN line_no % 10 IN (2, 4) THEN '' ELSE line || ' 17' END ELSE line END, chr(10) ORDER BY line_no) AS text FROM lines GROUP BY ALL)
+SELECT doc_id, CAST(min(page_no) AS INT) AS page_no FROM p WHERE page_no <= 3 AND (contains(lower(substring(text, 1, 500)), 'contents') OR contains(lower(substring(text, 1, 500)), 'index') OR (len(string_split(text, chr(10))) >= 8 AND len(list_filter(string_split(text, chr(10)), lambda x: contains(lower(x), 'page ') OR regexp_matches(rtrim(x), '([1-9]|[1-9]0)$'))) >= 5)) GROUP BY doc_id""")
 def wn08_visual_toc(spark, sf_dir):
-    numbered = docs_of(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.replace("text", F.lit("\n"), F.lit(" 17\n")), F.lit(" 17"))).otherwise(F.col("text")))
-    return structure.visual_toc_page(tables.pages_of(numbered))
+    """Half of the documents have page numbers at the ends of lines, and blank lines between."""
+    n = F.col("line_no") % 10
+    line = F.when(F.col("doc_id") % 2 == 0, F.when(n.isin(2, 4), "").otherwise(F.concat("line", F.lit(" 17")))).otherwise(F.col("line"))
+    pages = lines_of(spark, sf_dir).select("doc_id", (F.floor(F.col("line_no") / 10) + 1).cast("int").alias("page_no"), "line_no", line.alias("line"))
+    return structure.visual_toc_page(pages.groupBy("doc_id", "page_no").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY line_no)").alias("text")))
 
 
 @register(f"""
-WITH {LINES}, e AS (SELECT doc_id, line_no, line, CASE WHEN contains(line, ' the ') OR contains(line, ' la ') THEN 'o' WHEN contains(line, 'STOP') THEN 'c' END AS ev FROM lines)
-SELECT doc_id, count(*) FILTER (ev = 'o' OR st = 'o') AS n_captured FROM (SELECT *, last_value(ev IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS st FROM e) GROUP BY doc_id HAVING n_captured > 0""")
+WITH {LINES}, e AS (SELECT doc_id, line_no, CASE WHEN contains(line, ' the ') OR contains(line, ' la ') THEN 'START ' || replace(line, 'STOP', '') ELSE replace(line, 'a ', 'STOP ') END AS t FROM lines),
+v AS (SELECT *, CASE WHEN starts_with(t, 'START ') THEN CASE WHEN contains(t, 'STOP') THEN 'b' ELSE 'o' END WHEN contains(t, 'STOP') THEN 'c' END AS ev FROM e),
+s AS (SELECT *, last_value(ev IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'o' AS inside FROM v),
+c AS (SELECT doc_id, line_no, CASE WHEN ev = 'b' THEN substring(t, 1, strpos(t, 'STOP') + 3) WHEN ev = 'o' THEN t WHEN inside AND ev = 'c' THEN substring(t, 1, strpos(t, 'STOP') + 3) WHEN inside THEN t END AS text FROM s)
+SELECT doc_id, count(*) AS n_captured, md5(string_agg(text, chr(10) ORDER BY line_no)) AS text_md5 FROM c WHERE text IS NOT NULL GROUP BY doc_id""")
 def wn06_boundaries(spark, sf_dir):
     t = lines_of(spark, sf_dir)
     hit = F.contains("line", F.lit(" the ")) | F.contains("line", F.lit(" la "))
-    blocks = t.select("doc_id", F.col("line_no").alias("ord"), F.when(hit, F.concat(F.lit("START "), F.replace("line", F.lit("STOP"), F.lit("")))).otherwise(F.col("line")).alias("text"))
+    blocks = t.select("doc_id", F.col("line_no").alias("ord"), F.when(hit, F.concat(F.lit("START "), F.replace("line", F.lit("STOP"), F.lit("")))).otherwise(F.replace("line", F.lit("a "), F.lit("STOP "))).alias("text"))
     rules = spark.createDataFrame([("box", "START", "STOP")], "label string, start_text string, end_text string")
-    return structure.boundary_capture(blocks, rules).groupBy("doc_id").agg(F.count("*").alias("n_captured"))
+    return structure.boundary_capture(blocks, rules).groupBy("doc_id").agg(F.count("*").alias("n_captured"), F.md5(F.expr("listagg(text, '\n') WITHIN GROUP (ORDER BY ord)")).alias("text_md5"))
 
 
 # -- rendering -----------------------------------------------------------------------------------------
 
-STATED = """l AS (SELECT conv_id AS doc_id, turn AS line_no, CASE WHEN role = 'user' THEN text WHEN role = 'system' THEN '«sig009:' || text || '»' ELSE '«sig001:' || text || '»' END AS line, CASE role WHEN 'assistant' THEN 'callout_gm' WHEN 'system' THEN 'H2' END AS label, role FROM conversations),
-ev AS (SELECT *, sum(CASE WHEN role <> 'user' THEN 1 ELSE 0 END) OVER w AS block, last_value(CASE WHEN role <> 'user' THEN role END IGNORE NULLS) OVER w AS cur FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
-st AS (SELECT *, cur = 'assistant' AND NOT coalesce(max(contains(line, '. ')) OVER (PARTITION BY doc_id, block ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS inside FROM ev)"""
+STATED = """l AS (SELECT conv_id AS doc_id, turn AS line_no, text, role, CASE role WHEN 'assistant' THEN CASE WHEN contains(text, '. ') THEN '' ELSE 'callout_gm' END WHEN 'system' THEN '' END AS after FROM conversations),
+cu AS (SELECT *, last_value(after IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS cur FROM l),
+st AS (SELECT *, role = 'assistant' OR (role = 'user' AND coalesce(cur, '') <> '') AS inside FROM cu)"""
 
 
 def stated_of(spark, sf):
     c = tables.parquet(spark, sf, "conversations")
-    mark = lambda sig: F.concat(F.lit(f"«{sig}:"), "text", F.lit("»"))
+    # Two markers to a line, each of which gets its prefix.
+    mark = lambda sig: F.concat(F.lit(f"«{sig}:"), "text", F.lit(f"» «{sig}:x»"))
     lines = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("line_no"), F.when(F.col("role") == "user", F.col("text")).when(F.col("role") == "system", mark("sig009")).otherwise(mark("sig001")).alias("line"))
     one = lines.select("doc_id").distinct()
     labelled = one.select("doc_id", F.lit("sig001").alias("sig"), F.lit("callout_gm").alias("label")).union(one.select("doc_id", F.lit("sig009"), F.lit("H2")))
-    ends = spark.createDataFrame([("callout_gm", ". ")], "label string, end_text string")
+    ends = spark.createDataFrame([("callout_gm", "never", 1), ("callout_gm", ". ", 2), ("callout_gm", "", 3), ("callout_gm", None, 4)], "label string, end_text string, ord int")
     return rendering.callout_state(rendering.first_label(lines, labelled), ends)
 
 
-@register(f"WITH {STATED} SELECT doc_id, md5(string_agg(CASE WHEN role = 'system' THEN '## ' || text WHEN inside THEN '> ' || text ELSE text END, chr(10) ORDER BY line_no)) AS text_md5 FROM (SELECT st.*, c.text FROM st JOIN conversations c ON c.conv_id = st.doc_id AND c.turn = st.line_no) GROUP BY doc_id")
+@register(f"WITH {STATED} SELECT doc_id, md5(string_agg(CASE WHEN role = 'system' THEN '## ' || text || ' ## x' WHEN role = 'assistant' THEN '> ' || text || ' > x' WHEN inside THEN '> ' || text ELSE text END, chr(10) ORDER BY line_no)) AS text_md5 FROM st GROUP BY doc_id")
 def wn04_callouts(spark, sf_dir):
     return rendering.documents(rendering.render(stated_of(spark, sf_dir))).select("doc_id", F.md5("text").alias("text_md5"))
 
 
-@register(f"WITH {STATED}, z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) AS k FROM st) SELECT doc_id, 'callout_gm' AS callout FROM z WHERE k = 1 AND inside AND NOT contains(line, '. ')")
+@register(f"WITH {STATED}, z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) AS k FROM st) SELECT doc_id, 'callout_gm' AS callout FROM z WHERE k = 1 AND inside AND NOT (role = 'assistant' AND contains(text, '. '))")
 def wn05_unclosed(spark, sf_dir):
     return rendering.unclosed_callouts(stated_of(spark, sf_dir))
 
@@ -505,12 +515,12 @@ def jn10_images(spark, sf_dir):
 
 
 @register(f"""
-WITH {PAGED}, g AS (SELECT *, coalesce(trim(lead(line) OVER (PARTITION BY doc_id ORDER BY n)) = '', false) AS gap FROM pg), slot AS (SELECT doc_id, page_no, coalesce(min(n) FILTER (gap), min(n)) AS n FROM g WHERE page_no = 1 GROUP BY ALL),
+WITH {PAGED}, g AS (SELECT *, coalesce(trim(lead(line) OVER (PARTITION BY doc_id ORDER BY n)) = '', false) AS gap FROM pg), slot AS (SELECT doc_id, page_no, coalesce(min(n) FILTER (gap), min(n)) AS n FROM g GROUP BY ALL),
 u AS (SELECT doc_id, n, 0 AS s, line FROM pg UNION ALL SELECT doc_id, n, 1, chr(10) || '| a |' FROM slot)
 SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY n, s)) AS text_md5 FROM u GROUP BY doc_id""")
 def jn11_tables(spark, sf_dir):
     lines = paged_of(spark, sf_dir)
-    t = lines.select("doc_id").distinct().select("doc_id", F.lit(1).alias("page"), F.lit("t1").alias("table_id"), F.lit("| a |").alias("markdown"))
+    t = marking.page_of_lines(lines).select("doc_id", "page").distinct().select("doc_id", "page", F.lit("t1").alias("table_id"), F.lit("| a |").alias("markdown"))
     return rendering.documents(rendering.place_tables(lines, t)).select("doc_id", F.md5("text").alias("text_md5"))
 
 
@@ -640,11 +650,12 @@ def snk09_report(spark, sf_dir):
 # -- more of the same kinds ----------------------------------------------------------------------------
 
 
-@register("SELECT doc_id, coalesce(CASE WHEN doc_id % 4 > 0 THEN text END, '') = CASE WHEN doc_id % 4 > 0 THEN text ELSE '' END AS same, CASE WHEN doc_id % 4 > 0 THEN length(text) ELSE 0 END AS n FROM documents")
+@register("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'a' || chr(65533) || 'b' || source ELSE source || lang END AS safe FROM documents")
 def prj01_safe_string(spark, sf_dir):
-    raw = F.when(F.col("doc_id") % 4 > 0, F.col("text"))
-    safe = X.safe_string(raw)
-    return docs_of(spark, sf_dir).select("doc_id", (safe == F.coalesce(raw, F.lit(""))).alias("same"), F.length(safe).cast("long").alias("n"))
+    """Nulls, and bytes that are no UTF-8."""
+    k = F.col("doc_id") % 4
+    raw = F.when(k == 1, F.concat(F.unhex(F.lit("61FF62")).cast("string"), "source")).when(k > 1, F.concat("source", "lang"))
+    return docs_of(spark, sf_dir).select("doc_id", X.safe_string(raw).alias("safe"))
 
 
 @register("SELECT vec_id, CAST(trunc(label * 1.5 * 1275 / 612.0) AS INT) AS x0, CAST(trunc((label * 1.5 + 100) * 1650 / 792.0) AS INT) AS y1 FROM embeddings")
@@ -691,26 +702,33 @@ def qa10_top_issues(spark, sf_dir):
     return quality.top_issues(e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("ord"), F.when(k == 0, "high").when(k == 1, "medium").otherwise("low").alias("severity"))).select("doc_id", F.col("rank").cast("long").alias("rank"), "ord")
 
 
-@register("SELECT doc_id, string_agg(message, '|' ORDER BY phase, k) AS messages, count(*) AS n FROM (SELECT user_id AS doc_id, event_id % 11 AS phase, event_id AS k, 'Phase ' || event_id % 11 || ': ' || event_type AS message FROM events WHERE event_id % 13 = 0) GROUP BY doc_id")
+@register("SELECT doc_id, string_agg(message, '|' ORDER BY phase, k) AS messages, count(*) AS n FROM (SELECT user_id AS doc_id, event_id % 11 AS phase, event_id AS k, 'Phase ' || event_id % 11 || ': ' || event_type AS message FROM events) GROUP BY doc_id")
 def ag18_warnings(spark, sf_dir):
-    e = tables.parquet(spark, sf_dir, "events").where("event_id % 13 = 0")
+    e = tables.parquet(spark, sf_dir, "events")
     t = e.select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 11).alias("phase"), F.col("event_id").alias("ord"), F.array("event_type").alias("warnings"))
     return runs.warning_rollup(t)
 
 
-@register(f"WITH {LINES} SELECT doc_id, count(*) FILTER (regexp_matches(line, '^[0-9]{{1,9}}$')) AS n FROM (SELECT doc_id, CASE WHEN line_no % 2 = 0 THEN CAST(line_no AS VARCHAR) ELSE line END AS line FROM lines) GROUP BY doc_id")
-def wn03_page_numbers(spark, sf_dir):
-    t = lines_of(spark, sf_dir).withColumn("line", F.when(F.col("line_no") % 2 == 0, F.col("line_no").cast("string")).otherwise(F.col("line")))
-    return t.groupBy("doc_id").agg(F.count_if(fonts.page_number(F.col("line")).isNotNull() & F.col("line").rlike("^[0-9]+$")).alias("n"))
+ROMANS = "['i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix', 'x']"
 
 
-@register("SELECT doc_id, n_steps >= 2 AS sequential FROM (SELECT user_id AS doc_id, count(*) AS n_steps FROM events GROUP BY user_id)")
-def wn03_sequential(spark, sf_dir):
-    e = tables.parquet(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.count("*").alias("n"))
-    return e.select("doc_id", X.sequential(F.sequence(F.lit(1), F.col("n"))).alias("sequential"))
+@register(f"""
+WITH {LINES}, t AS (SELECT doc_id, line_no, CASE doc_id % 5 WHEN 0 THEN CAST(line_no + 3 AS VARCHAR) WHEN 1 THEN CAST(line_no * 2 AS VARCHAR) WHEN 2 THEN upper({ROMANS}[line_no + 1]) WHEN 3 THEN CASE WHEN line_no % 2 = 0 THEN CAST(line_no // 2 AS VARCHAR) ELSE {ROMANS}[line_no] END ELSE line END AS text FROM lines),
+n AS (SELECT doc_id, line_no, lower(text) AS x FROM t WHERE text IS NOT NULL),
+d AS (SELECT doc_id, count(*) AS c, bool_and(coalesce(v = p + 1, p IS NULL)) AS ok FROM (SELECT doc_id, v, lag(v) OVER (PARTITION BY doc_id ORDER BY line_no) AS p FROM (SELECT doc_id, line_no, CAST(x AS BIGINT) AS v FROM n WHERE regexp_matches(x, '^[0-9]+$'))) GROUP BY doc_id),
+r AS (SELECT doc_id, count(*) AS c, bool_and(coalesce(v = p + 1, p IS NULL)) AS ok FROM (SELECT doc_id, v, lag(v) OVER (PARTITION BY doc_id ORDER BY line_no) AS p FROM (SELECT doc_id, line_no, list_position({ROMANS}, x) AS v FROM n WHERE list_contains({ROMANS}, x))) GROUP BY doc_id)
+SELECT a.doc_id, CASE WHEN coalesce(d.c, 0) >= 2 THEN d.ok WHEN coalesce(r.c, 0) >= 2 THEN r.ok ELSE false END AS sequential FROM (SELECT DISTINCT doc_id FROM lines) a LEFT JOIN d USING (doc_id) LEFT JOIN r USING (doc_id)""")
+def wn03_page_numbers(spark, sf_dir):
+    """Texts that count, skip, count in Roman numbers, count beside Roman numbers, or are none."""
+    k, n = F.col("doc_id") % 5, F.col("line_no")
+    roman = lambda i: F.try_element_at(F.array(*[F.lit(r) for r in X.ROMAN]), F.nullif(i, F.lit(0)).cast("int"))
+    text = F.when(k == 0, (n + 3).cast("string")).when(k == 1, (n * 2).cast("string")).when(k == 2, F.upper(roman(n + 1))).when(k == 3, F.when(n % 2 == 0, F.floor(n / 2).cast("string")).otherwise(roman(n))).otherwise(F.col("line"))
+    t = lines_of(spark, sf_dir).select("doc_id", "line_no", text.alias("text"))
+    t = t.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("line_no", "text")))), lambda x: x["text"]).alias("texts"))
+    return t.select("doc_id", X.page_numbers(F.col("texts")).alias("sequential"))
 
 
-@register(f"WITH {LINES} SELECT doc_id, CAST(line_no AS INT) AS line_no, regexp_replace(line || ' ..... ' || line_no, '\\s*\\.{{2,}}\\s*([0-9]+)\\s*$', ' \\1') AS line FROM lines WHERE line_no < 2")
+@register(f"WITH {LINES} SELECT doc_id, CAST(line_no AS INT) AS line_no, regexp_replace(line || ' ..... ' || line_no, '\\s*\\.{{2,}}\\s*([0-9]+)\\s*$', ' \\1') AS line FROM lines")
 def poc03_leaders(spark, sf_dir):
     t = lines_of(spark, sf_dir)
     return t.select("doc_id", "line_no", cleaning.clean_leaders(F.concat("line", F.lit(" ..... "), F.col("line_no").cast("string"))).alias("line"))
@@ -724,10 +742,12 @@ def ag11_footer_ids(spark, sf_dir):
     return fonts.footer_ids(c)
 
 
-@register("SELECT user_id, event_type, max(event_id) AS last_id FROM events GROUP BY ALL")
+@register("SELECT user_id AS doc_id, event_id AS seq, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_id % 11 = 9) WHERE k = 1")
 def wn11_latest(spark, sf_dir):
+    """The last result of phase 9 in each run."""
     e = tables.parquet(spark, sf_dir, "events")
-    return e.groupBy("user_id", "event_type").agg(F.max_by("event_id", "event_id").alias("last_id"))
+    t = e.select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 11).alias("phase"), F.struct("ts", "event_id").alias("at"), "event_type")
+    return runs.latest(t, 9, "at").select("doc_id", F.col("at.event_id").alias("seq"), "event_type")
 
 
 @register()

@@ -23,7 +23,7 @@ def convert(spans: DataFrame, toc: DataFrame | None = None, ends: DataFrame | No
     ends = spark.createDataFrame([], EMPTY_ENDS) if ends is None else ends
     sigs = fonts.signatures(spans)
     found = marking.runs(fonts.with_signature(spans, sigs))
-    gone = fonts.footer_ids(fonts.footer_classes(fonts.tolerant(spans, sigs)))
+    gone = fonts.footer_ids(fonts.footer_classes(fonts.tolerant(spans, sigs), fonts.page_counts(spans)))
     kept = cleaning.drop_signatures(found.where("sig is not null"), gone).select(*found.columns).unionByName(found.where("sig is null"))
     lines = marking.with_page_markers(marking.marked_lines(kept))
     lines = cleaning.squeeze_lines(cleaning.drop_blank_markers(lines.withColumn("line", cleaning.wrap_marked(F.col("line")))))

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from corpusloom.operators import cleaning, fonts, layout, quality, rendering, runs
+from corpusloom.functions import text as X
+from corpusloom.operators import cleaning, layout, quality, rendering, runs
 from tests.test_functions import values
 
 
@@ -8,6 +9,8 @@ def test_sample_window(spark):
     short, far = "a short text", "x" * 5000 + "Weapons" + "y" * 5000
     plain = "p" * 9000
     got = values(spark, layout.sample_window, [short, far, plain])
+    first, late = values(spark, layout.sample_window, ["Weapons" + "a" * 4000 + "Tables" + "b" * 4000, "c" * 5000 + "Range" + "d" * 100])
+    assert "Tables" in first and "Weapons" not in first and len(late) == 3500 and late.endswith("Range" + "d" * 100)
     assert got[0] == short and "Weapons" in got[1] and len(got[1]) == 3500 and got[2].startswith("p") and "..." in got[2]
 
 
@@ -23,7 +26,9 @@ def test_bare_line_styles(spark):
 
 
 def test_page_numbers(spark):
-    assert values(spark, fonts.page_number, [" 12 ", "iv", "X", "xi", "a1", None]) == [12, 4, 10, None, None, None]
+    texts = [["1", " 2 ", "x", "3"], ["1", "3"], ["iv", "V", "vi"], ["1", "iv", "v"], ["1", "2", "x", "ix"], ["7"], [], ["xi", "xii"], ["9" * 30, "1"]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t array<string>")
+    assert [r.ok for r in df.orderBy("i").select(X.page_numbers(F.col("t")).alias("ok")).collect()] == [True, False, True, True, True, False, False, False, False]
 
 
 def test_rating_and_notice(spark):

@@ -1,4 +1,4 @@
-"""Queries whose SQL covers less than the whole job: all rows are there, and those that the SQL covers agree with it."""
+"""Queries over whole tables: all rows are there and agree with the SQL."""
 
 import datetime
 import glob
@@ -15,27 +15,26 @@ from .test_catalogue import SF, rows
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
 
 
-def agrees(spark, name, covered):
-    """All rows of a query; those that ``covered`` keeps are those of its SQL."""
+def agrees(spark, name):
+    """All rows of a query; they are those of its SQL."""
     c = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
         c.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
     found = c.execute(catalogue.ORACLE_SQL[name])
-    df = catalogue.QUERIES[name](spark, SF).localCheckpoint()
-    part = df.where(covered)
-    assert rows(part.columns, [tuple(r) for r in part.collect()]) == rows([d[0] for d in found.description], found.fetchall())
+    df = catalogue.QUERIES[name](spark, SF).cache()
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([d[0] for d in found.description], found.fetchall())
     return df
 
 
 @needs_data
 def test_footer_classes_of_all_documents(spark):
-    df = agrees(spark, "ag07_footer_classes", "doc_id % 10 = 0")
+    df = agrees(spark, "ag07_footer_classes")
     assert df.select("doc_id").distinct().count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
 @needs_data
 def test_single_top_of_all_documents(spark):
-    df = agrees(spark, "wn09_single_top", "doc_id % 2 = 0")
+    df = agrees(spark, "wn09_single_top")
     sigs = catalogue.QUERIES["wn02_signatures"](spark, SF)
     assert df.count() == sigs.count()
     assert df.where("label = 'H1'").count() == sigs.select("doc_id").distinct().count()
@@ -57,9 +56,9 @@ def test_scalars_of_long_documents(spark, tmp_path):
 
 
 @needs_data
-@pytest.mark.parametrize("name, covered", [("prj18_norm_heading", "line_no < 3"), ("poc03_leaders", "line_no < 2")])
-def test_all_lines(spark, name, covered):
-    df = agrees(spark, name, covered)
+@pytest.mark.parametrize("name", ["prj18_norm_heading", "poc03_leaders"])
+def test_all_lines(spark, name):
+    df = agrees(spark, name)
     lines = spark.read.parquet(f"{SF}/documents.parquet").select(F.sum(F.size(F.split("text", "\n")))).first()[0]
     assert df.count() == lines
 
