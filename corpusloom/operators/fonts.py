@@ -132,6 +132,15 @@ def icon_classes(spans: DataFrame) -> DataFrame:
     return g.withColumn("confidence", confidence).where("confidence is not null").select("doc_id", "family", "confidence", F.when(named, "name").when(F.col("private"), "private_use").otherwise("short_text").alias("reason"), "n_spans")
 
 
+def icon_signatures(matched: DataFrame, sigs: DataFrame) -> DataFrame:
+    """doc_id, sig, confidence: signatures that look like icons, by the spans that match them: by name or private-use characters
+    (high), or by very short texts (medium)."""
+    g = matched.groupBy("doc_id", "sig").agg(F.bool_or(F.col("text").rlike(r"[\x{E000}-\x{F8FF}]")).alias("private"), F.avg(F.length("text")).alias("mean_length"))
+    t = g.join(sigs.select("doc_id", "sig", F.lower("family").alias("name")), ["doc_id", "sig"])
+    named = F.exists(F.array(*[F.lit(x) for x in ICON_FONTS]), lambda x: F.contains("name", x))
+    return t.withColumn("confidence", F.when(named | F.col("private"), "high").when(F.col("mean_length") <= 2, "medium")).where("confidence is not null").select("doc_id", "sig", "confidence")
+
+
 def body_size(sigs: DataFrame, low: float = 8, high: float = 12, default: float = 10) -> DataFrame:
     """doc_id, body_size: the most frequent size of signatures within the range, the first seen of equals; else the default."""
     g = sigs.where(F.col("size").between(low, high)).groupBy("doc_id", "size").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))

@@ -83,10 +83,12 @@ def lint(lines: DataFrame) -> DataFrame:
 
 
 def lint_summary(found: DataFrame, threshold: int = 20, shown: int = 3) -> DataFrame:
-    """doc_id, n_issues, the first rules in order of appearance, status."""
+    """doc_id, n_issues, the first rules in order of appearance, status, samples (the first lines that break a rule)."""
+    first = found.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "rule"))).where(F.col("nth") <= shown)
+    first = first.groupBy("doc_id").agg(F.expr("listagg(concat(rule, ' in line ', line_no + 1), '; ') WITHIN GROUP (ORDER BY nth)").alias("samples"))
     g = found.groupBy("doc_id", "rule").agg(F.min("line_no").alias("at"), F.count("*").alias("n"))
     g = g.groupBy("doc_id").agg(F.sum("n").alias("n_issues"), F.array_sort(F.collect_list(F.struct("at", "rule"))).alias("r"))
-    return g.select("doc_id", "n_issues", F.array_join(F.transform(F.slice("r", 1, shown), lambda x: x["rule"]), ",").alias("rules"), F.when(F.col("n_issues") > threshold, "warning").otherwise("success").alias("status"))
+    return g.select("doc_id", "n_issues", F.array_join(F.transform(F.slice("r", 1, shown), lambda x: x["rule"]), ",").alias("rules"), F.when(F.col("n_issues") > threshold, "warning").otherwise("success").alias("status")).join(first, "doc_id")
 
 
 def headings(lines: DataFrame) -> DataFrame:
@@ -94,11 +96,32 @@ def headings(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(m)).select("doc_id", "line_no", F.length(F.regexp_extract("line", m, 1)).alias("level"), F.regexp_extract("line", m, 2).alias("title"))
 
 
+#: Lines that are placeholders of figures, or the commented links to their pictures.
+FIGURE = r"^(\[FIGURE: .*\]|<!-- !\[.*-->)$"
+
+
 def hierarchy(found: DataFrame) -> DataFrame:
-    """doc_id, skips, n_h1, n_headings of the heading sequence."""
+    """doc_id, skips, n_h1, n_headings, orphans (headings below the first level without any higher one before them) and
+    ``valid``: one first-level heading, no skips, no orphans."""
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    above = F.min("level").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    t = found.withColumn("skip", F.col("level") - F.lag("level").over(w) > 1).withColumn("orphan", (F.col("level") > 1) & F.coalesce(above >= F.col("level"), F.lit(True)))
+    g = t.groupBy("doc_id").agg(F.count_if("skip").alias("skips"), F.count_if(F.col("level") == 1).alias("n_h1"), F.count("*").alias("n_headings"), F.count_if("orphan").alias("orphans"))
+    return g.withColumn("valid", (F.col("n_h1") == 1) & (F.col("skips") == 0) & (F.col("orphans") == 0))
+
+
+def top_heading_warnings(found: DataFrame) -> DataFrame:
+    """doc_id, warning: documents with more than one first-level heading."""
+    n = found.groupBy("doc_id").agg(F.count_if(F.col("level") == 1).alias("n")).where("n > 1")
+    return n.select("doc_id", F.concat(F.lit("Multiple H1 headings found ("), F.col("n").cast("string"), F.lit("); a document should have one")).alias("warning"))
+
+
+def orphan_lines(lines: DataFrame) -> DataFrame:
+    """doc_id, n: lines of content before the first heading; blank lines, comments and figure placeholders are none."""
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    t = found.withColumn("skip", F.col("level") - F.lag("level").over(w) > 1)
-    return t.groupBy("doc_id").agg(F.count_if("skip").alias("skips"), F.count_if(F.col("level") == 1).alias("n_h1"), F.count("*").alias("n_headings"))
+    seen = F.max(F.col("line").rlike("^#{1,6} ")).over(w)
+    t = lines.withColumn("seen", seen).where(~F.col("seen") & (X.strip(F.col("line")) != "") & ~F.col("line").rlike(FIGURE) & ~F.col("line").rlike("^<!--.*-->$"))
+    return t.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 def toc_gaps(toc: DataFrame, found: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import cleaning, fonts, layout, marking, quality, rendering, runs, structure
+from corpusloom.operators import cleaning, fonts, intake, layout, marking, quality, rendering, runs, structure
 from corpusloom.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,14 +184,14 @@ def prj05_complexity(spark, sf_dir):
 
 @register(f"""
 WITH {LINES}, p AS (SELECT doc_id, line_no // 10 + 1 AS page_no, string_agg(line, chr(10) ORDER BY line_no) AS text FROM lines GROUP BY ALL),
-x AS (SELECT doc_id, coalesce(sum(length({STRIP.format("text")})) FILTER (page_no <= 5), 0) >= 100 AS extractable FROM p GROUP BY doc_id)
-SELECT doc_id, extractable, CASE WHEN extractable THEN '' ELSE 'scanned' END || CASE WHEN n_chars > 20000 THEN ',large' ELSE '' END AS warnings FROM x JOIN documents USING (doc_id)""")
+x AS (SELECT doc_id, coalesce(sum(length({STRIP.format("text")})) FILTER (page_no <= 5), 0) >= 100 AS text_extractable FROM p GROUP BY doc_id)
+SELECT doc_id, text_extractable, CAST((NOT text_extractable)::INT + (doc_id % 7 = 0)::INT + (doc_id % 5 = 0)::INT + (doc_id % 3 = 0)::INT AS INT) AS n_warnings,
+  concat_ws('|', CASE WHEN NOT text_extractable THEN 'Scanned' END, CASE WHEN doc_id % 7 = 0 THEN 'Very' END, CASE WHEN doc_id % 5 = 0 THEN 'Complex' END, CASE WHEN doc_id % 3 = 0 THEN 'No' END) AS first_words FROM x""")
 def prj10_extractable(spark, sf_dir):
-    pages = tables.pages_of(docs_of(spark, sf_dir))
-    x = pages.groupBy("doc_id").agg((F.coalesce(F.sum(F.when(F.col("page_no") <= 5, F.length(X.strip(F.col("text"))))), F.lit(0)) >= 100).alias("extractable"))
-    t = x.join(tables.parquet(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    found = F.array_compact(F.array(F.when(~F.col("extractable"), F.lit("scanned")).otherwise(F.lit("")), F.when(F.col("n_chars") > 20000, F.lit("large"))))
-    return t.select("doc_id", "extractable", F.array_join(found, ",").alias("warnings"))
+    x = intake.extractable_pages(tables.pages_of(docs_of(spark, sf_dir)))
+    k = F.col("doc_id")
+    w = intake.warnings(F.col("text_extractable"), F.when(k % 7 == 0, 60 << 20).otherwise(50 << 20), F.when(k % 5 == 0, "high").otherwise("low"), F.when(k % 3 == 0, "none").otherwise("embedded"))
+    return x.withColumn("w", w).select("doc_id", "text_extractable", F.size("w").alias("n_warnings"), F.array_join(F.transform("w", lambda m: F.split(m, " ")[0]), "|").alias("first_words"))
 
 
 @register(f"WITH {LINES} SELECT doc_id, CAST(line_no AS INT) AS line_no, {NORM.format('line')} AS norm FROM lines")
@@ -545,12 +545,12 @@ def qa06_lint(spark, sf_dir):
     return quality.lint(markdown_of(spark, sf_dir)).groupBy("doc_id", "rule").agg(F.count("*").alias("n"), F.min("line_no").cast("long").alias("first_line"))
 
 
-@register(f"WITH {LINT}, g AS (SELECT doc_id, rule, min(line_no) AS fst, count(*) AS n FROM r GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY fst, rule) AS i FROM g) SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_issues, string_agg(rule, ',' ORDER BY fst, rule) FILTER (i <= 3) AS rules, CASE WHEN sum(n) > 20 THEN 'warning' ELSE 'success' END AS status FROM k GROUP BY doc_id")
+@register(f"WITH {LINT}, g AS (SELECT doc_id, rule, min(line_no) AS fst, count(*) AS n FROM r GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY fst, rule) AS i FROM g) SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_issues, string_agg(rule, ',' ORDER BY fst, rule) FILTER (i <= 3) AS rules, CASE WHEN sum(n) > 20 THEN 'warning' ELSE 'success' END AS status, any_value(samples) AS samples FROM k JOIN (SELECT doc_id, string_agg(rule || ' in line ' || (line_no + 1), '; ' ORDER BY line_no, rule) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, rule) AS q FROM r) WHERE q <= 3 GROUP BY doc_id) USING (doc_id) GROUP BY doc_id")
 def ag17_lint_summary(spark, sf_dir):
     return quality.lint_summary(quality.lint(markdown_of(spark, sf_dir)))
 
 
-@register(f"WITH {MD}, h AS (SELECT doc_id, line_no, length(regexp_extract(line, '^(#{{1,6}}) (.+)$', 1)) AS level FROM md WHERE regexp_matches(line, '^#{{1,6}} .+$')), s AS (SELECT *, level - lag(level) OVER (PARTITION BY doc_id ORDER BY line_no) > 1 AS skip FROM h) SELECT doc_id, count(*) FILTER (skip) AS skips, count(*) FILTER (level = 1) AS n_h1, count(*) AS n_headings FROM s GROUP BY doc_id")
+@register(f"WITH {MD}, h AS (SELECT doc_id, line_no, length(regexp_extract(line, '^(#{{1,6}}) (.+)$', 1)) AS level FROM md WHERE regexp_matches(line, '^#{{1,6}} .+$')), s AS (SELECT *, level - lag(level) OVER w > 1 AS skip, level > 1 AND coalesce(min(level) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= level, true) AS orphan FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)) SELECT doc_id, count(*) FILTER (skip) AS skips, count(*) FILTER (level = 1) AS n_h1, count(*) AS n_headings, count(*) FILTER (orphan) AS orphans, count(*) FILTER (level = 1) = 1 AND count(*) FILTER (skip) = 0 AND count(*) FILTER (orphan) = 0 AS valid FROM s GROUP BY doc_id")
 def qa11_hierarchy(spark, sf_dir):
     return quality.hierarchy(quality.headings(markdown_of(spark, sf_dir)))
 
@@ -639,12 +639,32 @@ def wn10_recent(spark, sf_dir):
     return runs.recent(e, ["event_type"], "at", ["user_id"], 3).select("user_id", "event_type", "ts", "event_id")
 
 
+REPORT_TAIL = "\\n\\n## License Notice\\n\\n" + runs.LICENSE + "\\n"
+
+
 @register(f"""
-WITH {STEPS}, x AS (SELECT *, CASE s WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'success' END AS st FROM ph), y AS (SELECT *, CASE WHEN n_steps >= 60 THEN n_steps // 60 || 'm ' || n_steps % 60 || 's' ELSE n_steps || 's' END AS t FROM x)
-SELECT doc_id, md5('# Conversion report' || chr(10) || chr(10) || 'Total time: ' || CASE WHEN sum(n_steps) >= 60 THEN CAST(sum(n_steps) AS BIGINT) // 60 || 'm ' || CAST(sum(n_steps) AS BIGINT) % 60 || 's' ELSE CAST(sum(n_steps) AS BIGINT) || 's' END || chr(10) || 'Errors: ' || count(*) FILTER (s = 2) || chr(10) || 'Warnings: ' || count(*) FILTER (s = 1) || chr(10) || chr(10) || '| Phase | Status | Time |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || phase || ' | ' || st || ' | ' || t || ' |', chr(10) ORDER BY phase)) AS text_md5 FROM y GROUP BY doc_id HAVING sum(n_steps) < 3600""")
+WITH {STEPS}, d AS (SELECT * FROM (VALUES {", ".join(f"({f[0]}, '{f[1]}', '{f[2]}', '{n[0]}', '{n[1]}')" for f, n in zip(runs.PHASE_FILES, runs.PHASE_NOTES))}) v(phase, name, files, changes, compare)),
+x AS (SELECT ph.*, name, files, changes, compare FROM ph JOIN d USING (phase)), b AS (SELECT user_id AS doc_id, min(ts) AS began FROM events GROUP BY user_id),
+g AS (SELECT doc_id, string_agg(CAST(phase AS VARCHAR), ', ' ORDER BY phase) FILTER (s < 2) AS phases,
+  string_agg('| ' || phase || ' | ' || name || ' | ' || files || ' |', chr(10) ORDER BY phase) FILTER (s < 2) AS rows,
+  string_agg('### Phase ' || phase || ': ' || name || e'\\n\\n**Output Files:** ' || files || e'\\n\\n**Changes Made:**\\n' || changes || e'\\n\\n**What to Compare:**\\n' || compare || chr(10), chr(10) ORDER BY phase) FILTER (s < 2) AS details,
+  string_agg('- slow ' || phase || e'\\n- twice', chr(10) ORDER BY phase) FILTER (s = 1) AS warned, string_agg('- broken ' || phase, chr(10) ORDER BY phase) FILTER (s = 2) AS failed, CAST(sum(n_steps) AS BIGINT) AS sec FROM x GROUP BY doc_id)
+SELECT doc_id, md5(e'# PDF Conversion Report\\n\\n**Source:** Book ' || doc_id || e'\\n**Author:** Unknown\\n**Pages:** 7\\n**Converted:** ' || strftime(began + sec * INTERVAL 1 SECOND, '%Y-%m-%d') || e'\\n\\n## Pipeline Summary\\n\\nCompleted Phases: ' || coalesce(phases, '')
+  || e'\\n\\n## Phase Summary\\n\\n| Phase | Name | Output Files |\\n|-------|------|--------------|\\n' || coalesce(rows, '') || e'\\n\\n## Phase Details\\n\\n' || coalesce(details, '')
+  || e'\\n## Performance\\n\\n**Conversion Started:** ' || strftime(began, '%Y-%m-%dT%H:%M:%S') || e'\\n**Conversion Completed:** ' || strftime(began + sec * INTERVAL 1 SECOND, '%Y-%m-%dT%H:%M:%S') || e'\\n**Total Duration:** '
+  || CASE WHEN sec >= 3600 THEN sec // 3600 || 'h ' || sec % 3600 // 60 || 'm ' WHEN sec >= 60 THEN sec // 60 || 'm ' ELSE '' END || sec % 60 || 's' || chr(10)
+  || coalesce(e'\\n## Warnings\\n\\n' || warned || chr(10), '') || coalesce(e'\\n## Errors\\n\\n' || failed || chr(10), '')
+  || e'\\n## Output Files\\n\\n- `b' || doc_id || '-final.md` - Final converted markdown' || e'\\n- `font-family-mapping.json` - Font signature mapping\\n- `toc-extracted.txt` - Extracted table of contents\\n- `images/image-manifest.json` - Image positions' || e'{REPORT_TAIL}') AS text_md5 FROM g JOIN b USING (doc_id)""")
 def snk09_report(spark, sf_dir):
-    r = runs.phase_status(steps_of(spark, sf_dir)).withColumn("seconds", F.col("n_steps"))
-    return runs.report(r).select("doc_id", F.md5("text").alias("text_md5"))
+    """Every section of the report: runs are users, and steps with errors or warnings are events."""
+    r = runs.phase_status(steps_of(spark, sf_dir))
+    none = F.array().cast("array<string>")
+    p = F.col("phase").cast("string")
+    began = tables.parquet(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.min("ts").alias("started"))
+    r = r.join(began, "doc_id").withColumn("seconds", F.col("n_steps"))
+    r = r.withColumn("warnings", F.when(F.col("status") == "warning", F.array(F.concat(F.lit("slow "), p), F.lit("twice"))).otherwise(none)).withColumn("errors", F.when(F.col("status") == "error", F.array(F.concat(F.lit("broken "), p))).otherwise(none))
+    meta = r.select("doc_id").distinct().select("doc_id", F.concat(F.lit("b"), F.col("doc_id").cast("string")).alias("name"), F.concat(F.lit("Book "), F.col("doc_id").cast("string")).alias("title"), F.lit(None).cast("string").alias("author"), F.lit(7).alias("page_count"))
+    return runs.report(r, meta, runs.phase_table(spark)).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 # -- more of the same kinds ----------------------------------------------------------------------------
@@ -681,7 +701,7 @@ def tb04_table_markdown(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", layout.table_markdown(raw).alias("markdown"))
 
 
-@register("SELECT event_id, CASE WHEN event_id % 11 > 9 THEN 1 ELSE 0 END + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS n FROM events")
+@register("SELECT event_id, CASE WHEN event_id % 11 >= 9 THEN 1 ELSE 0 END + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS n FROM events")
 def ck06_state_rules(spark, sf_dir):
     e = tables.parquet(spark, sf_dir, "events")
     n = (F.col("event_id") % 11).cast("int")
@@ -756,3 +776,6 @@ def convert_documents(spark, sf_dir):
     from corpusloom.plans.convert import convert
 
     return convert(spans_of(spark, sf_dir)).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+from corpusloom.plans import control  # noqa: E402,F401  registers more queries
