@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.operators.cleaning import MARKER
 
+#: A page comment; those within callouts are quoted.
+PAGE_COMMENT = r"^(?:> )?<!-- Page (\d+) -->$"
+
 
 def literal(text: Column) -> Column:
     """Safe as a regular-expression replacement."""
@@ -74,7 +77,7 @@ def counts(stated: DataFrame) -> DataFrame:
 
 def table_text(lines: DataFrame, limit: int = 21) -> DataFrame:
     """doc_id, page, text: the lines of a page that look like a table's (two spaces, a tab, more than three spaces), the first ``limit``."""
-    page = F.regexp_extract("line", r"^<!-- Page (\d+) -->$", 1)
+    page = F.regexp_extract("line", PAGE_COMMENT, 1)
     w = Window.partitionBy("doc_id").orderBy("line_no")
     t = lines.withColumn("page", F.last(F.when(page != "", page.cast("int")), ignorenulls=True).over(w)).where((page == "") & F.col("page").isNotNull())
     rowlike = F.contains("line", F.lit("  ")) | F.contains("line", F.lit("\t")) | (F.regexp_count(X.strip(F.col("line")), F.lit(" ")) > 3)
@@ -84,7 +87,7 @@ def table_text(lines: DataFrame, limit: int = 21) -> DataFrame:
 
 def place_images(lines: DataFrame, images: DataFrame) -> DataFrame:
     """A figure placeholder and a commented link after the comment of the image's page; later images of a page come first."""
-    page = F.regexp_extract("line", r"^<!-- Page (\d+) -->$", 1)
+    page = F.regexp_extract("line", PAGE_COMMENT, 1)
     marks = lines.withColumn("page", F.when(page != "", page.cast("int"))).where("page is not null").select("doc_id", "page", "line_no")
     put = images.join(marks, ["doc_id", "page"]).select("doc_id", "line_no", (-F.col("img_index")).alias("sub"), F.concat(F.lit("[FIGURE: "), F.coalesce("alt_text", F.lit("")), F.lit("]\n<!-- ![]("), "filename", F.lit(") -->")).alias("line"))
     t = lines.select("doc_id", "line_no", F.lit(-(1 << 31)).cast("long").alias("sub"), "line").union(put.select("doc_id", "line_no", F.col("sub").cast("long"), "line"))
@@ -95,7 +98,7 @@ def place_images(lines: DataFrame, images: DataFrame) -> DataFrame:
 def place_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
     """A table's Markdown after the first line of its page that is followed by a blank one (else after the page comment)."""
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    page = F.regexp_extract("line", r"^<!-- Page (\d+) -->$", 1)
+    page = F.regexp_extract("line", PAGE_COMMENT, 1)
     own = F.when(page != "", page.cast("int"))
     t = lines.withColumn("page", F.last(own, ignorenulls=True).over(w)).withColumn("gap", F.coalesce(F.trim(F.lead("line").over(w)) == "", F.lit(False)))
     slot = t.where("page is not null").groupBy("doc_id", "page").agg(F.coalesce(F.min(F.when(F.col("gap"), F.col("line_no"))), F.min("line_no")).alias("line_no"))
