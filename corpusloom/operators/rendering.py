@@ -35,16 +35,18 @@ def last_ends(rules: DataFrame) -> DataFrame:
     return rules.where("end_text <> ''").groupBy("label").agg(F.max_by("end_text", "ord").alias("end_text"))
 
 
-def callout_state(lines: DataFrame, ends: DataFrame) -> DataFrame:
+def callout_state(lines: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """Lines with ``callout``: the callout they stand in, else null.
 
     A callout label opens one (or another); a heading or other marker closes it; a line with the callout's marker that
     holds its end text is its last. Lines without a marker, blank ones and page comments too, stay in it.
-    ``ends`` has one row for each label (see ``last_ends``), and an ord where it has more.
+    ``ends`` (label, end_text, and an ord where a label has more) are the few rules of callouts, sent to every task.
     """
-    ends = last_ends(ends if "ord" in ends.columns else ends.withColumn("ord", F.lit(0)))
+    if ends is None:
+        t = lines.withColumn("end_text", F.lit(None).cast("string"))
+    else:
+        t = lines.join(F.broadcast(last_ends(ends if "ord" in ends.columns else ends.withColumn("ord", F.lit(0)))), "label", "left")
     opens = F.coalesce(F.col("label").startswith("callout"), F.lit(False))
-    t = lines.join(ends, "label", "left")
     ended = opens & F.coalesce(F.contains("line", "end_text"), F.lit(False))
     # What holds after the line; the line itself stands in the callout that it opens.
     after = F.when(ended, "").when(opens, F.col("label")).when(F.col("sig").isNotNull(), "")

@@ -36,10 +36,17 @@ def toc_levels(markers: DataFrame, toc: DataFrame) -> DataFrame:
     return m.join(titles, ["doc_id", "key"]).groupBy("doc_id", "sig").agg(F.min("level").alias("toc_level"))
 
 
+def note_label(text: Column, keywords: tuple[str, ...], own: Column | None = None) -> Column:
+    """The label of a marker as a note: that of the captured callout that holds it, else callout_gm for a keyword."""
+    word = F.when(contains_any(text, keywords), "callout_gm")
+    return word if own is None else F.coalesce(own, word)
+
+
 def evidence(markers: DataFrame, keywords: tuple[str, ...] = NOTE_KEYWORDS) -> DataFrame:
-    """doc_id, sig with what its markers show: upper case, title case, the last note keyword, read-aloud text."""
+    """doc_id, sig with what its markers show: upper case, title case, the label of the last note, read-aloud text.
+    Markers may have a column ``own``, the label of the captured callout that holds them."""
     at = F.struct("line_no", "pos")
-    note = first_keyword(F.col("text"), keywords)
+    note = note_label(F.col("text"), keywords, F.col("own") if "own" in markers.columns else None)
     return markers.groupBy("doc_id", "sig").agg(
         F.bool_or(X.is_all_caps(F.col("text"))).alias("caps"),
         F.bool_or(X.is_title_case(F.col("text"))).alias("title"),
@@ -48,11 +55,16 @@ def evidence(markers: DataFrame, keywords: tuple[str, ...] = NOTE_KEYWORDS) -> D
     )
 
 
+def captured_lines(captured: DataFrame) -> DataFrame:
+    """doc_id, key, label: the lines of captured callouts, each with the label of the first rule that holds it."""
+    order = "rule" if "rule" in captured.columns else "ord"
+    line = captured.select("doc_id", F.col(order).alias("o"), "label", F.explode(F.split("text", "\n")).alias("key")).withColumn("key", X.strip(F.col("key"))).where("key <> ''")
+    return line.groupBy("doc_id", "key").agg(F.min_by("label", "o").alias("label"))
+
+
 def callout_members(markers: DataFrame, captured: DataFrame) -> DataFrame:
-    """Markers whose stripped text is a line of a callout captured in their document, with the label of the first one (ord) that holds it."""
-    line = captured.select("doc_id", "ord", "label", F.explode(F.split("text", "\n")).alias("key")).withColumn("key", X.strip(F.col("key"))).where("key <> ''")
-    line = line.groupBy("doc_id", "key").agg(F.min_by("label", "ord").alias("label"))
-    return markers.withColumn("key", X.strip(F.col("text"))).join(line, ["doc_id", "key"]).drop("key")
+    """Markers whose stripped text is a line of a callout captured in their document, with the label of the first rule that holds it."""
+    return markers.withColumn("key", X.strip(F.col("text"))).join(captured_lines(captured), ["doc_id", "key"]).drop("key")
 
 
 def unmatched_markers(markers: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -66,26 +78,29 @@ def read_aloud(markers: DataFrame) -> DataFrame:
 
 
 def labels(sigs: DataFrame, body: DataFrame, toc: DataFrame, seen: DataFrame) -> DataFrame:
-    """doc_id, sig, label: heading levels from outline, case and size, then callouts, then a single top heading.
+    """doc_id, sig, label: heading levels from outline, case and size, then callouts.
 
-    With an outline, signatures that are neither candidates nor in it are left alone. Callout overrides look
-    at the label that the signature had before.
+    Where the outline matches some signature of a document, those with headings by case alone that are no candidates are
+    left as they are, without a callout too. Callouts look at the label that the signature had before.
     """
     known = toc.select("doc_id").distinct().withColumn("has_toc", F.lit(True))
     t = sigs.join(body, "doc_id", "left").join(toc, ["doc_id", "sig"], "left").join(seen, ["doc_id", "sig"], "left").join(known, "doc_id", "left")
     old = F.col("label") if "label" in sigs.columns else F.lit(None).cast("string")
-    skip = F.coalesce("has_toc", F.lit(False)) & ~F.col("candidate_heading") & F.col("toc_level").isNull()
-    cased = F.coalesce(F.col("caps") | F.col("title"), F.lit(False)) & ((F.col("size") > F.col("body_size")) | F.coalesce(old.startswith("H"), F.lit(False)))
-    by_size = F.when(F.col("size") > 1.5 * F.col("body_size"), "H2").when(F.col("size") > F.col("body_size"), "H3").otherwise("H4")
-    new = F.when(F.col("toc_level").isNotNull(), X.level_label(F.col("toc_level"))).when(cased, F.when(F.col("suggested_level").isNotNull(), X.level_label(F.col("suggested_level"))).otherwise(by_size))
-    heading = F.coalesce(new, old)
-    keep = F.coalesce(old, F.lit("")) == "H1"
-    noted = F.when(F.col("note").isNotNull() & ~keep & (F.coalesce(old, F.lit("")) != "callout_read_aloud"), "callout_gm")
-    aloud = F.when(F.coalesce("aloud", F.lit(False)) & ~keep & ~F.coalesce(old, F.lit("")).isin("callout_gm", "callout_read_aloud"), "callout_read_aloud")
-    label = F.when(skip, old).otherwise(F.coalesce(noted, aloud, heading))
+    label = label_of(old, F.col("toc_level"), F.coalesce(F.col("caps") | F.col("title"), F.lit(False)), F.col("size"), F.col("body_size"), F.col("candidate_heading"), F.col("suggested_level"), F.coalesce("has_toc", F.lit(False)), F.col("note"), F.coalesce("aloud", F.lit(False)))
     return t.select("doc_id", "sig", "ord", "size", label.alias("label"))
 
 
+def label_of(old: Column, toc_level: Column, cased: Column, size: Column, body: Column, candidate: Column, level: Column, has_toc: Column, note: Column, aloud: Column) -> Column:
+    """The rule of ``labels`` on columns."""
+    cased = old.isNull() & toc_level.isNull() & cased & (size > body)
+    by_size = F.when(size > 1.5 * body, "H2").when(size > body, "H3").otherwise("H4")
+    heading = F.when(old.isNotNull(), old).when(toc_level.isNotNull(), X.level_label(toc_level)).when(cased, F.coalesce(F.when(level.isNotNull(), X.level_label(level)), by_size))
+    was = F.coalesce(old, F.lit(""))
+    noted = F.when(note.isNotNull(), F.when(~was.isin("H1", "callout_read_aloud"), note).otherwise(heading))
+    read = F.when(aloud, F.when(~was.isin("H1", "callout_gm"), "callout_read_aloud").otherwise(heading))
+    return F.when(cased & has_toc & ~candidate, old).otherwise(F.coalesce(noted, read, heading))
+
+
 def single_top(labelled: DataFrame) -> DataFrame:
     """Without any H1 the largest heading (the first of equals) becomes H1; others of its former label become H2."""
     w = Window.partitionBy("doc_id")
@@ -97,22 +112,22 @@ def single_top(labelled: DataFrame) -> DataFrame:
 
 
 def boundary_capture(blocks: DataFrame, rules: DataFrame) -> DataFrame:
-    """Blocks that lie from a rule's start text to its end text: rule, doc_id, ord, text cut at both.
+    """Blocks that lie from a rule's start text to its end text: label, doc_id, ord, rule (its place), text cut at both.
 
     A block that holds the start opens (even if an end comes earlier in it); the end closes; a start
     without an end captures to the document's end. ``rules`` is a small table, sent to every task.
     """
     if (n := rules.count()) > MAX_RULES:
         raise ValueError(f"{n} rules; at most {MAX_RULES} can be sent to every task")
-    order = F.monotonically_increasing_id() if "rule" not in rules.columns else F.col("rule")
-    t = blocks.join(F.broadcast(rules.withColumn("rule", order)), F.lit(True))
+    order = F.col("rule") if "rule" in rules.columns else F.col("ord") if "ord" in rules.columns else F.monotonically_increasing_id()
+    t = blocks.join(F.broadcast(rules.select("label", "start_text", "end_text", order.alias("rule"))), F.lit(True))
     t = t.withColumn("s", F.expr("locate(start_text, text)")).withColumn("e", F.expr("locate(end_text, text, greatest(locate(start_text, text), 1))"))
     event = F.when(F.col("s") > 0, F.when(F.col("e") > 0, "both").otherwise("open")).when(F.col("e") > 0, "close")
     w = Window.partitionBy("rule", "doc_id").orderBy("ord")
     was = F.last(F.when(event.isin("both", "close"), "close").when(event == "open", "open"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     t = t.withColumn("event", event).withColumn("inside", F.coalesce(was == "open", F.lit(False)))
     text = F.when(F.col("event") == "both", F.expr("substring(text, s, e + length(end_text) - s)")).when(F.col("event") == "open", F.expr("substring(text, s)")).when(F.col("inside") & (F.col("event") == "close"), F.expr("substring(text, 1, e + length(end_text) - 1)")).when(F.col("inside"), F.col("text"))
-    return t.withColumn("captured", text).where("captured is not null").select("label", "doc_id", "ord", F.col("captured").alias("text"))
+    return t.withColumn("captured", text).where("captured is not null").select("label", "doc_id", "ord", "rule", F.col("captured").alias("text"))
 
 
 def visual_toc_page(pages: DataFrame) -> DataFrame:

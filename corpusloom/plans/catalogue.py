@@ -427,14 +427,25 @@ def wn09_single_top(spark, sf_dir):
     return structure.single_top(t).select("doc_id", "sig", "label")
 
 
-@register()
+UNESCAPED = "replace(replace(replace(text, '&raquo;', '»'), '&laquo;', '«'), '&amp;', '&')"
+
+
+@register(f"""
+WITH {MARKED}, {TOC}, mk AS (SELECT doc_id, page_no, line_no, sig, {UNESCAPED} AS text, pos FROM (SELECT doc_id, page_no, line_no, unnest(regexp_extract_all(line, '«(sig[a-z0-9]+):([^»]*)»', 1)) AS sig, unnest(regexp_extract_all(line, '«(sig[a-z0-9]+):([^»]*)»', 2)) AS text, generate_subscripts(regexp_extract_all(line, '«(sig[a-z0-9]+):([^»]*)»', 1), 1) AS pos FROM marked)),
+b AS (SELECT s.doc_id, coalesce(q.size, 10.0) AS body FROM (SELECT DISTINCT doc_id FROM sigs) s LEFT JOIN (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(ord)) AS k FROM sigs WHERE size BETWEEN 8 AND 12 GROUP BY doc_id, size) q ON q.doc_id = s.doc_id AND k = 1),
+tl AS (SELECT doc_id, sig, min(level) AS toc_level FROM (SELECT doc_id, sig, {NORM.format("text")} AS key FROM mk) JOIN (SELECT doc_id, {NORM.format("title")} AS key, min(level) AS level FROM toc GROUP BY ALL) USING (doc_id, key) WHERE key <> '' GROUP BY ALL),
+ev AS (SELECT doc_id, sig, bool_or({UPPER.format("text")} AND length(text) > 3) AS caps, bool_or({TITLE.format(STRIP.format("text"))}) AS title,
+  bool_or(len(list_filter({list(structure.NOTE_KEYWORDS)}, lambda w: contains(lower(text), w))) > 0) AS note, bool_or(len(list_filter({list(structure.READ_ALOUD)}, lambda w: contains(lower(text), w))) > 0) AS aloud FROM mk GROUP BY ALL),
+l AS (SELECT s.doc_id, s.sig, s.ord, s.size, CASE WHEN EXISTS (SELECT 1 FROM tl x WHERE x.doc_id = s.doc_id) AND NOT candidate_heading AND toc_level IS NULL AND (caps OR title) AND s.size > body THEN NULL WHEN note THEN 'callout_gm' WHEN aloud THEN 'callout_read_aloud'
+  WHEN toc_level IS NOT NULL THEN 'H' || least(toc_level, 4) WHEN (caps OR title) AND s.size > body THEN CASE WHEN suggested_level IS NOT NULL THEN 'H' || suggested_level WHEN s.size > 1.5 * body THEN 'H2' ELSE 'H3' END END AS label
+  FROM sigs s JOIN b USING (doc_id) LEFT JOIN tl ON tl.doc_id = s.doc_id AND tl.sig = s.sig LEFT JOIN ev ON ev.doc_id = s.doc_id AND ev.sig = s.sig),
+t AS (SELECT doc_id, sig, label, row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, ord) AS k, bool_or(label = 'H1') OVER (PARTITION BY doc_id) AS has FROM l WHERE starts_with(label, 'H'))
+SELECT l.doc_id, l.sig, CASE WHEN t.sig IS NULL OR has THEN l.label WHEN l.sig = t.sig THEN 'H1' WHEN l.label = t.label THEN 'H2' ELSE l.label END AS label FROM l LEFT JOIN t ON t.doc_id = l.doc_id AND k = 1""")
 def hd05_labels(spark, sf_dir):
     """The whole chain from spans to labels."""
-    spans = spans_of(spark, sf_dir)
-    sigs = fonts.signatures(spans)
-    found = marking.markers(marking.marked_lines(marking.runs(fonts.with_signature(spans, sigs))))
-    out = structure.labels(sigs, fonts.body_size(sigs), structure.toc_levels(found, toc_of(spark, sf_dir)), structure.evidence(found))
-    return structure.single_top(out).select("doc_id", "sig", "label")
+    from corpusloom.plans.convert import labels
+
+    return labels(spans_of(spark, sf_dir), toc_of(spark, sf_dir))
 
 
 @register(f"""
@@ -772,10 +783,10 @@ def wn11_latest(spark, sf_dir):
 
 @register()
 def convert_documents(spark, sf_dir):
-    """Every phase in one plan: spans to clean Markdown of each document."""
+    """Every phase in one plan: spans to clean Markdown of each document. Its tests compare it with the operators in a row."""
     from corpusloom.plans.convert import convert
 
-    return convert(spans_of(spark, sf_dir)).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+    return convert(spans_of(spark, sf_dir), toc_of(spark, sf_dir)).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 from corpusloom.plans import control  # noqa: E402,F401  registers more queries

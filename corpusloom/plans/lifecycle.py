@@ -217,13 +217,12 @@ def _structure(run: Run) -> Tables:
 
 def _labels(run: Run) -> Tables:
     sigs, marks = run.table("signatures", 3), marking.markers(run.table("text", 6))
-    seen = structure.evidence(marks, tuple(run.keywords) + structure.NOTE_KEYWORDS)
-    out = structure.labels(sigs, fonts.body_size(sigs), structure.toc_levels(marks, run.table("outline", 3)), seen)
     if run.rules is not None:
         blocks = marks.groupBy("doc_id", F.col("line_no").alias("ord")).agg(F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY pos)").alias("text"))
-        captured = structure.boundary_capture(blocks, run.rules)
-        inside = structure.callout_members(marks, captured).groupBy("doc_id", "sig").agg(F.min("label").alias("own"))
-        out = out.join(inside, ["doc_id", "sig"], "left").withColumn("label", F.when(F.coalesce(F.col("label") != "H1", F.lit(True)), F.coalesce("own", "label")).otherwise(F.col("label"))).drop("own")
+        held = structure.captured_lines(structure.boundary_capture(blocks, run.rules)).withColumnRenamed("label", "own")
+        marks = marks.withColumn("key", X.strip(F.col("text"))).join(held, ["doc_id", "key"], "left").drop("key")
+    seen = structure.evidence(marks, structure.NOTE_KEYWORDS + tuple(run.keywords))
+    out = structure.labels(sigs, fonts.body_size(sigs), structure.toc_levels(marks, run.table("outline", 3)), seen)
     return {"labels": structure.single_top(out)}
 
 

@@ -135,3 +135,68 @@ def test_answers_arrive_once(spark, tmp_path):
     q.awaitTermination()
     assert spark.read.schema(handoff.OUTPUTS).parquet(str(tmp_path / "out")).count() == 1
     assert F is not None
+
+
+def in_a_row(spans, toc):
+    """The conversion as the operators give it, one after another."""
+    from corpusloom.functions import text as X
+
+    sigs = fonts.signatures(spans)
+    found = marking.runs(fonts.with_signature(spans, sigs))
+    matched = fonts.tolerant(spans, sigs)
+    gone = fonts.footer_ids(fonts.footer_classes(matched, fonts.page_counts(spans))).union(fonts.icon_signatures(matched, sigs).select("doc_id", "sig"))
+    kept = cleaning.drop_signatures(found.where("sig is not null"), gone).select(*found.columns).unionByName(found.where("sig is null"))
+    lines = marking.with_page_markers(marking.marked_lines(kept))
+    lines = cleaning.squeeze_lines(cleaning.drop_blank_markers(lines.withColumn("line", cleaning.wrap_marked(F.col("line")))))
+    lines = cleaning.merge_paragraphs(lines)
+    every = spans.where(X.strip(F.col("text")) != "").groupBy("doc_id", F.col("font").alias("family"), "size", X.weight_of(F.col("flags")).alias("weight"), X.style_of(F.col("flags")).alias("style")).agg(F.min(X.strip(F.col("text"))).alias("a"), F.max(X.strip(F.col("text"))).alias("b"))
+    numbers = sigs.join(every, ["doc_id", *fonts.KEY]).where("ord > 5 and a = b").where(F.col("a").rlike(r"^\d+$"))
+    lines = cleaning.drop_page_numbers(lines, numbers)
+    lines = lines.withColumn("line", X.normalise_bullet(X.join_hyphens(X.fix_typography(X.fix_spacing(F.col("line"))))))
+    marks = marking.markers(lines)
+    labels = structure.single_top(structure.labels(sigs, fonts.body_size(sigs), structure.toc_levels(marks, toc), structure.evidence(marks)))
+    return rendering.documents(rendering.render(rendering.callout_state(rendering.first_label(lines, labels))))
+
+
+def test_conversion_is_the_operators_in_a_row(spark):
+    rng = random.Random(4)
+    words = ["GM note", "read aloud", "owl", "THE KEEP", "Of Owls", "-", "3", "«x»", "a&b", "—", "", " ", "<b>", "•"]
+    rows, toc = [], []
+    for d in range(40):
+        for p in range(1, rng.choice([2, 7, 9])):
+            for i in range(rng.randint(1, 6)):
+                for s in range(rng.randint(1, 3)):
+                    rows.append((d, p, 0, i, s, " ".join(rng.choices(words, k=rng.randint(0, 4))), rng.choice("fg"), rng.choice([8.0, 10.0, 10.3, 14.0, 20.0]), rng.choice([0, 1]), float(rng.choice([40, 300]))))
+            if d % 3 == 0:
+                rows.append((d, p, 0, 90, 0, str(p), "n", 7.0, 0, 790.0))
+            if d % 4 == 0:
+                rows.append((d, p, 0, 91, 0, "DRAFT", "w", 30.0, 2, 300.0))
+            if d % 5 == 0:
+                rows.append((d, p, 0, 92, 0, "Owl press", "o", 6.0, 2, 770.0))
+            if d % 6 == 0:
+                rows.append((d, p, 0, 93, 0, "", "FontAwesome6Free-Solid", 6.5, 2, 300.0))
+        if d % 2:
+            toc += [(d, "the keep", 2), (d, "Of  owls", 1), (d, "", 1)]
+    df, outline = spark.createDataFrame(rows, tables.SPANS), spark.createDataFrame(toc, "doc_id long, title string, level int")
+    want = {r.doc_id: r.text for r in in_a_row(df, outline).collect()}
+    got = {r.doc_id: r.text for r in convert(df, outline).collect()}
+    assert {d: t for d, t in got.items() if t} == {d: t for d, t in want.items() if t} and len(got) == len({r[0] for r in rows})
+    assert any("DRAFT" in r[5] for r in rows) and not any("DRAFT" in t or "Owl press" in t for t in got.values())
+
+
+def test_conversion_scans_few_times(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"TITLE OF IT\nsome text {i}, here\n\nmore — text", "s") for i in range(50)], "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "d.parquet"))
+    out = convert(tables.spans_of_text(spark.read.parquet(str(tmp_path / "d.parquet"))))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Scan parquet") <= 2 and plan.count("Exchange hashpartitioning") <= 5
+
+
+def test_conversion_with_rules_images_and_tables(spark):
+    rows = [(1, 1, 0, 0, 0, "THE KEEP OF OWLS", "f", 20.0, 0, 100.0), (1, 1, 0, 1, 0, "Beware of it", "f", 9.0, 1, 120.0), (1, 1, 0, 2, 0, "and flee now.", "f", 9.0, 1, 140.0), (1, 2, 0, 0, 0, "plain text that goes on, and on", "f", 10.0, 0, 120.0)]
+    rules = spark.createDataFrame([("callout_gm", "Beware", "flee now.", 1)], "label string, start_text string, end_text string, ord int")
+    images = spark.createDataFrame([(1, 2, 1, "a.png", "x")], "doc_id long, page int, img_index int, filename string, alt_text string")
+    grid = spark.createDataFrame([(1, 2, "t1", "| a |")], "doc_id long, page int, table_id string, markdown string")
+    (r,) = convert(spark.createDataFrame(rows, tables.SPANS), rules=rules, images=images, tables=grid).collect()
+    assert "# THE KEEP OF OWLS" in r.text and "> Beware of it" in r.text and "> and flee now." in r.text and "\nplain text" in r.text and "![](a.png)" in r.text and "| a |" in r.text
