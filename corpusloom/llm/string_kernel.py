@@ -19,6 +19,8 @@ from corpusloom.llm._text import ddl, renamed, slices, text_buffer
 
 UNKNOWN = "und"
 SLOTS = 1 << 14
+#: Rates of at most so many labels are sent to every task.
+SENT = 50_000
 ORDERS = (1, 2, 3, 4)
 
 
@@ -103,6 +105,8 @@ class StringKernelLanguageId:
         each = max(1, min(self.per_language, self.texts // len(learned)))
         # A rate above what is wanted, since a draw may give fewer; a language of few texts gives all.
         rates = spark.createDataFrame([(r.l, 1.0 if r.n < 3 * each + 40 else (1.2 * each + 12) / r.n) for r in learned], "l string, rate double")
+        if len(learned) <= SENT:  # a small row for each label; only beyond that are texts dealt out by their label
+            rates = F.broadcast(rates)
         dice = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
         chosen = known.withColumn("dice", dice).join(rates, "l").where("dice < rate").where(has_letter(F.col("text")))
         chosen = chosen.groupBy("l", "id", "dice").agg(F.min("text").alias("text")).select("l", "dice", "text")
