@@ -40,7 +40,8 @@ def marked_lines(found: DataFrame) -> DataFrame:
 
 
 def merged(lines: DataFrame) -> DataFrame:
-    """doc_id, text: pages in order, each after a marker comment."""
+    """doc_id, text: pages in order, each after a marker comment. Lines of a block and blocks of a page are both joined by a line
+    feed; lines without text are not there, so blocks without any leave nothing."""
     page = lines.groupBy("doc_id", "page_no").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY line_no)").alias("body"))
     page = page.withColumn("body", F.concat(F.lit("\n<!-- Page "), F.col("page_no").cast("string"), F.lit(" -->\n\n"), "body", F.lit("\n")))
     return page.groupBy("doc_id").agg(F.expr("listagg(body, '') WITHIN GROUP (ORDER BY page_no)").alias("text"))

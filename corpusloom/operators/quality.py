@@ -24,6 +24,7 @@ RUBRICS = {
     "10.2": ("rating_justification", "dimension_coverage", "score_consistency"),
     "10.3": ("issue_clarity", "example_quality", "actionable_guidance"),
 }
+#: How much a run depends on each step.
 CRITICALITY = {"3.2": "medium", "4.5": "low", "6.4": "low", "7.7": "medium", "8.7": "medium", "9.2": "high", "9.3": "high", "9.4": "high", "9.5": "high", "9.7": "medium", "9.8": "medium", "10.2": "low", "10.3": "low"}
 
 

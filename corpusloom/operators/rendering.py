@@ -115,7 +115,34 @@ def documents(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY line_no)").alias("text"))
 
 
-def copyright_notice(meta: DataFrame) -> DataFrame:
-    who = F.coalesce(F.nullif("author", F.lit("")), F.nullif("creator", F.lit("")), F.lit("Unknown"))
-    text = F.concat(F.lit("<!-- "), F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")), F.lit(" | "), who, F.coalesce(F.concat(F.lit(" | "), F.nullif("copyright", F.lit(""))), F.lit("")), F.lit(" -->"))
+NOTICE = """<!--
+COPYRIGHT NOTICE
+================
+This text was made from a published document, for personal use only. Its content remains
+the property of the publisher; do not pass it on or publish it.
+
+Title: {title}
+Author/Publisher: {author}
+Copyright: {copyright}
+Source file: {title}
+Converted: {date}
+Tool: corpusloom
+-->
+
+"""
+
+
+def copyright_notice(meta: DataFrame, date: str) -> DataFrame:
+    """doc_id, notice: a comment with title, author (else creator) and copyright; the last part of the copyright stands in for a title."""
+    given = lambda c: F.nullif(F.col(c), F.lit(""))
+    title = F.coalesce(given("title"), F.element_at(F.split(F.coalesce(given("copyright"), F.lit("Unknown")), "/"), -1))
+    values = {"{title}": title, "{author}": F.coalesce(given("author"), given("creator"), F.lit("Unknown")), "{copyright}": F.coalesce(given("copyright"), F.lit("See original publication")), "{date}": F.lit(date)}
+    text = F.lit(NOTICE)
+    for name, value in values.items():
+        text = F.replace(text, F.lit(name), value)
     return meta.select("doc_id", text.alias("notice"))
+
+
+def with_notice(texts: DataFrame, notices: DataFrame) -> DataFrame:
+    """doc_id, text with the notice of the document before it."""
+    return texts.join(notices, "doc_id", "left").select("doc_id", F.concat(F.coalesce("notice", F.lit("")), "text").alias("text"))

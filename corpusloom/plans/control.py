@@ -136,6 +136,13 @@ def prj25_errors(spark, sf_dir):
     return runs.explained(t).select("event_id", "text", "exit_code")
 
 
+@register("SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN source WHEN doc_id % 5 = 0 THEN '(c)' ELSE 'Unknown' END AS title, lang AS author, CASE WHEN doc_id % 5 = 0 THEN '(c)' ELSE 'See original publication' END AS copyright FROM documents")
+def prj23_notice(spark, sf_dir):
+    n = rendering.copyright_notice(intake.metadata(decoded_of(spark, sf_dir)), "2024-01-02")
+    field = lambda name: F.regexp_extract("notice", f"(?m)^{name}: (.*)$", 1)
+    return n.select("doc_id", field("Title").alias("title"), field("Author/Publisher").alias("author"), field("Copyright").alias("copyright"))
+
+
 # -- signatures and text --------------------------------------------------------------------------------------
 
 

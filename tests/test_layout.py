@@ -33,8 +33,12 @@ def test_page_numbers(spark):
 
 def test_rating_and_notice(spark):
     meta = spark.createDataFrame([(1, "T", "", "C", None), (2, None, None, None, "(c) me")], "doc_id long, title string, author string, creator string, copyright string")
-    got = {r.doc_id: r.notice for r in rendering.copyright_notice(meta).collect()}
-    assert got == {1: "<!-- T | C -->", 2: "<!-- Untitled | Unknown | (c) me -->"}
+    notices = rendering.copyright_notice(meta, "2024-01-02")
+    got = {r.doc_id: r.notice for r in notices.collect()}
+    assert "Title: T\nAuthor/Publisher: C\nCopyright: See original publication\nSource file: T\nConverted: 2024-01-02" in got[1]
+    assert "Title: (c) me\nAuthor/Publisher: Unknown\nCopyright: (c) me\n" in got[2]
+    texts = spark.createDataFrame([(1, "x"), (3, "y")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in rendering.with_notice(texts, notices).collect()} == {1: got[1] + "x", 3: "y"}
 
 
 def test_gate_of_paged_steps_and_critical_failures(spark):
