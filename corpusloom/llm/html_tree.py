@@ -353,7 +353,8 @@ def texts(pages: list[str | None], w: Potentials) -> list[str]:
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text", potentials: Potentials | None = None) -> DataFrame:
-    """pages with the main text as one column more: blocks in page order, joined by an empty line.
+    """pages with the main text as one column more: blocks in page order, joined by an empty line. No column may have its name
+    already (ValueError); ``out`` takes another.
 
     Null and empty pages, and pages without content, give the empty text. A leaf is the text between two
     block tags with references decoded and white space collapsed.

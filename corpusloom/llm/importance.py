@@ -174,7 +174,8 @@ class ImportanceResampler:
         return self
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: str = "log_weight", draw: str = "draw") -> DataFrame:
-        """docs with two columns more: the log weight and the draw (the weight at the temperature, with Gumbel noise)."""
+        """docs with two columns more: the log weight and the draw (the weight at the temperature, with Gumbel noise). No column may
+        have their names already (ValueError); ``weight`` and ``draw`` take others. ``sample`` and ``judged`` take any columns."""
         small_batches(docs.sparkSession)
         src, back = renamed(docs)
         if {weight.lower(), draw.lower()} & {c.lower() for c in back}:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm.importance import ImportanceResampler, distinct, grams, log_ratios
@@ -194,3 +195,25 @@ def test_labels_are_bounded_by_distinct_ids(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(7, 1, 0)] * 5000, "doc_id long, quality int, toxic int")
     model = ImportanceResampler(max_labels=200).fit(docs, labels)
     assert model.counts[0].max() == 200
+
+
+def test_quality_ties_and_clashing_names(spark):
+    """Equal rows are drawn alike, also at the cut; columns named like the results come back as they were."""
+    rows = [(1, "clean words here", 5.0, "a")] * 4 + [(i, "clean words here", 5.0, "b") for i in range(2, 9)] + [(20, "an idiot", 5.0, "c")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, log_weight double, draw string")
+    labels = spark.createDataFrame([(i, 1, int(i == 20)) for i in (1, 2, 3, 4, 5, 6, 7, 8, 20)], "doc_id long, quality int, toxic int")
+    model = ImportanceResampler().fit(docs, labels)
+    kept = model.sample(docs)
+    assert kept.columns == docs.columns
+    got = Counter(r.doc_id for r in kept.collect())
+    assert got[1] in (0, 4) and got[20] in (0, 3) and all(r.log_weight == 5.0 for r in kept.collect())
+    with pytest.raises(ValueError):
+        model.score(docs)
+
+
+def test_prediction_refuses_clashing_names(spark):
+    docs = languages(spark, 3)
+    model = StringKernelLanguageId().fit(docs)
+    with pytest.raises(ValueError):
+        model.predict(docs.withColumn("SCORE", F.lit(1)))
+    assert model.predict(docs.withColumn("score", F.lit(1)), score_out="how").count() == docs.count()
