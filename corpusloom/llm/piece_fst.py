@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by weighted finite-state transduction.
 
 A model file is compiled into a normaliser (a byte transducer of the longest-match rewrite rules, then the
-white-space rules), a piece transducer (a trie read from the last character, whose final states put out a piece with
-its negated score as weight) and a byte-fallback transducer (of the characters that no piece is). An input, composed
+white-space rules), a piece transducer (a trie, whose final states put out a piece with its negated score
+as weight) and a byte-fallback transducer (of the characters that no piece is). An input, composed
 with them, is a graph of arcs between its places; the encoding is its shortest path in the tropical semiring.
 
 For a unigram model any arc may follow any other. A BPE model has a fourth machine in the composition, whose
@@ -11,7 +11,7 @@ just these two, and a path may begin with a piece only if merging its characters
 is the BPE encoding of its text if and only if each piece and each neighbouring pair in it passes: merges that
 cross no border never depend on what lies beyond it, so the first wrong merge of the whole would be a wrong merge of
 two neighbours. Every beginning of the text has one encoding, so just one arc into each place is left, and the shortest path
-is the BPE encoding, whatever the weights. The search takes its arcs longest first and may stop at the first that passes.
+is the BPE encoding, whatever the weights. Arcs into a place come longest first, and the first that passes is the only one.
 """
 
 from __future__ import annotations
@@ -163,7 +163,7 @@ class PieceFst:
         self.code = {p: np.array([k], self.width).tobytes() for p, k in self.ids.items()}
         self.normaliser = Transducer(self.rules.items())
         weight = {p: 0.1 - len(p) * self.least if self.pieces[k][2] == USER else -self.scores[k] for p, k in self.ids.items()}
-        self.machine = Transducer((p[::-1], (p, w)) for p, w in weight.items())
+        self.machine = Transducer((p, (p, w)) for p, w in weight.items())
         #: Weight of a character that is no piece and falls back to its bytes (or the unknown piece).
         self.fallback = UNK_PENALTY - self.least
         self._pairs: dict[tuple[str, str], bool] = {}
@@ -221,42 +221,41 @@ class PieceFst:
         return ok
 
     def _path(self, text: str) -> list[str]:
-        """The shortest path through the composition of the text with the machines, place by place."""
-        start, fallback, bpe, pairs, follows, whole = self.machine.start, self.fallback, self.bpe, self._pairs.get, self._follows, self._whole
+        """The shortest path through the composition of the text with the machines: arcs are relaxed place by place."""
+        step, fallback, bpe, pairs, follows = self.machine.start.get, self.fallback, self.bpe, self._pairs.get, self._follows
         n = len(text)
-        cost: list[float] = [0.0]
-        last: list[str | None] = [None]  # the piece of the best arc into each place
-        for end in range(1, n + 1):
-            arcs = []
-            state, at = start, end
-            while at:
-                state = state.get(text[at - 1])
-                if state is None:
-                    break
-                at -= 1
-                if FINAL in state:
-                    arcs.append((at, *state[FINAL]))
-            if not arcs or arcs[0][0] != end - 1:
-                arcs.insert(0, (end - 1, text[end - 1], fallback))
-            best, by = INFINITE, None
-            for at, piece, weight in reversed(arcs):
-                before = last[at]
-                if bpe:
-                    if at:
+        cost: list[float] = [0.0] + [INFINITE] * n
+        last: list[str | None] = [None] * (n + 1)  # the piece of the best arc into each place
+        for at in range(n):
+            before, so_far, end = last[at], cost[at], at + 1
+            state = step(text[at])
+            if state is None:
+                state, arc = {}, (text[at], fallback)
+            else:
+                arc = state.get(FINAL) or (text[at], fallback)
+            while True:
+                # Of a BPE model the first arc into a place that passes is the longest, and no other does.
+                if arc is not None and so_far + arc[1] < cost[end] and (not bpe or last[end] is None):
+                    piece = arc[0]
+                    if not bpe:
+                        ok = True
+                    elif at:
                         ok = pairs((before, piece))
                         if ok is None:
                             ok = follows(before, piece)
                     else:
-                        ok = len(piece) == 1 or whole(piece)
+                        ok = end == 1 or self._whole(piece)
                     if ok:
-                        best, by = cost[at] + weight, piece
-                        break  # no other arc into this place passes
-                elif cost[at] + weight < best:
-                    best, by = cost[at] + weight, piece
-            if by is None:
-                raise AssertionError("a BPE encoding exists for every text")
-            cost.append(best)
-            last.append(by)
+                        cost[end], last[end] = so_far + arc[1], piece
+                if end == n:
+                    break
+                state = state.get(text[end])
+                if state is None:
+                    break
+                end += 1
+                arc = state.get(FINAL)
+            if last[at + 1] is None:
+                raise AssertionError("an encoding exists for every text")
         out, at = [], n
         while at:
             out.append(last[at])
@@ -375,7 +374,7 @@ def load(path: str) -> PieceFst:
 
 def tokenise(docs: DataFrame, fst: PieceFst, text_col: str = "text", out: str = "tokens", decoded: str | None = None) -> DataFrame:
     """docs with a binary column of token ids (little-endian, 2 bytes for vocabularies up to 65,536, else 4)
-    and, if ``decoded`` names a column, the text read back from them. Null and empty texts have no token."""
+    and, if ``decoded`` names a column, the text read back from them. Null and empty texts have no token. No column may have these names already (ValueError)."""
     small_batches(docs.sparkSession)
     if {x.lower() for x in (out, decoded) if x} & {c.lower() for c in docs.columns}:
         raise ValueError("docs already has a column of that name")
