@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._store import Scratch
+from corpusloom.llm._store import Scratch, released
 from corpusloom.llm.importance import ImportanceResampler
 from corpusloom.llm.ngram_jaccard import NgramJaccard
 from corpusloom.llm.piece_fst import load, token_count, tokenise
@@ -67,7 +67,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        was, docs = docs, scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        was = docs
+        with released(spark):
+            docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         if hasattr(was, "_scratch_path"):
             scratch.drop(was)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,26 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_BASES: list[str] = []
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Frees all tables that operators wrote within: for use once a result is written elsewhere."""
+    first = len(_BASES)
+    try:
+        yield
+    finally:
+        for base in _BASES[first:]:
+            _delete(spark, base)
+        del _BASES[first:]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Written tables of one operator run; ``drop`` frees those that nothing reads any more."""
 
@@ -26,6 +48,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _BASES.append(self.base)
 
     def path(self, name: str = "t") -> str:
         self.n += 1
@@ -39,11 +62,8 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame | str) -> None:
-        jvm = self.spark._jvm
         for t in tables:
-            at = t if isinstance(t, str) else t._scratch_path
-            p = jvm.org.apache.hadoop.fs.Path(at)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, t if isinstance(t, str) else t._scratch_path)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
