@@ -55,13 +55,14 @@ def is_plain(line: Column) -> Column:
     return (s != "") & ~s.startswith("<!--") & ~s.startswith("#") & ~s.startswith("«") & ~X.is_upper(s)
 
 
-def merge_paragraphs(lines: DataFrame) -> DataFrame:
-    """doc_id, line_no (of the first line), line: runs of plain lines joined by a space, other lines as they are."""
+def merge_paragraphs(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, line_no (of the first line), line: runs of plain lines joined by a space, other lines as they are.
+    ``keep`` are columns of the document that stay."""
     w = by_line()
     t = lines.withColumn("plain", is_plain(F.col("line")))
     t = t.withColumn("island", F.sum(F.when(F.col("plain") & F.lag("plain", 1, False).over(w), 0).otherwise(1)).over(w))
     t = t.withColumn("part", F.when(F.col("plain"), X.strip(F.col("line"))).otherwise(F.col("line")))
-    return t.groupBy("doc_id", "island").agg(F.min("line_no").alias("line_no"), F.expr("listagg(part, ' ') WITHIN GROUP (ORDER BY line_no)").alias("line"), F.max("plain").alias("plain")).drop("island")
+    return t.groupBy("doc_id", "island").agg(F.min("line_no").alias("line_no"), F.expr("listagg(part, ' ') WITHIN GROUP (ORDER BY line_no)").alias("line"), F.max("plain").alias("plain"), *[F.any_value(c).alias(c) for c in keep]).drop("island")
 
 
 def repeated_edges(lines: DataFrame, share: float = 0.5) -> DataFrame:

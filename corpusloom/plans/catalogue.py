@@ -105,16 +105,17 @@ SELECT lang, count(*) FILTER (s <> '') AS n_parts,
   count(*) FILTER (length(s) <= 80 AND NOT regexp_matches(s, '[.,;:!?]$') AND (({UPPER.format("s")} AND length(s) > 3) OR {TITLE.format("s")})) AS n_headings
 FROM k JOIN documents d USING (doc_id) GROUP BY lang""")
 def flagship_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = docs_of(spark, sf_dir)
-    merged = cleaning.merge_paragraphs(tables.lines_of(docs.select("doc_id", "text", "lang")).select("doc_id", "line_no", "line"))
-    kinds = structure.heading_candidates(merged).join(docs.select("doc_id", "lang"), "doc_id")
+    # Texts are dealt out by document before they are taken apart, and the language rides along.
+    docs = docs_of(spark, sf_dir).select("doc_id", "text", "lang").repartition("doc_id")
+    kinds = structure.heading_candidates(cleaning.merge_paragraphs(tables.lines_of(docs), ("lang",)))
     return kinds.groupBy("lang").agg(F.count_if(F.col("kind") != "blank").alias("n_parts"), F.count_if(F.col("kind") == "heading").alias("n_headings"))
 
 
 @register(f"WITH {PARAGRAPHS} SELECT doc_id, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY line_no)) AS text_md5 FROM merged GROUP BY doc_id")
 def rw07_paragraph_merge(spark, sf_dir):
-    merged = cleaning.merge_paragraphs(lines_of(spark, sf_dir))
-    return rendering.documents(merged).join(merged.groupBy("doc_id").agg(F.count("*").alias("n_lines")), "doc_id").select("doc_id", "n_lines", F.md5("text").alias("text_md5"))
+    docs = docs_of(spark, sf_dir).select("doc_id", "text").repartition("doc_id")
+    merged = cleaning.merge_paragraphs(tables.lines_of(docs))
+    return merged.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.md5(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY line_no)")).alias("text_md5"))
 
 
 # -- sources ------------------------------------------------------------------------------------------

@@ -66,8 +66,10 @@ class Run:
         return artifacts.read_phase(self.spark, f"{self.root}/{name}", phase)
 
     def done(self) -> list[int]:
-        """Phases whose results are all written; what a phase left half written is not among them."""
-        return artifacts.phases_written(self.spark, f"{self.root}/results")
+        """Phases whose results, and texts if they make them, are all written; what a phase left half written is not among them."""
+        texts = set(artifacts.phases_written(self.spark, f"{self.root}/text"))
+        made = {n for n in artifacts.PHASE_TEXTS if n in self.registry.phases and self.registry.phases[n].run in TEXT_MAKERS}
+        return [n for n in artifacts.phases_written(self.spark, f"{self.root}/results") if n not in made or n in texts]
 
     def results(self) -> DataFrame:
         out = self.spark.createDataFrame([], RESULTS)
@@ -254,6 +256,9 @@ def _report(run: Run) -> Tables:
     return {"report": R.report(t, meta, R.phase_table(run.spark)), "final": rendering.documents(run.table("text", 8))}
 
 
+TEXT_MAKERS = (_marked, _characters, _structure, _rendered)
+
+
 def default_phases() -> Registry:
     work = (_intake, _images, _cover, _signatures, _marked, _characters, _structure, _labels, _rendered, _linted, _report)
     return Registry([Phase(n, name, f) for (n, name, _), f in zip(R.PHASE_FILES, work)])

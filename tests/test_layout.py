@@ -52,3 +52,29 @@ def test_retry_policy(spark):
     rows = [("9.2", 3, False), ("7.7_p1", 3, False), ("4.5", 3, False), ("4.5", 1, False), ("4.5", 1, True)]
     out = runs.retry_policy(spark.createDataFrame(rows, "step_id string, attempt int, passed boolean"), quality.step_table(spark)).collect()
     assert [r.action for r in out] == ["failed", "flagged", "skipped", "retry", "done"]
+
+
+def test_wrapping_against_plain_python(spark):
+    """The same seven rules, in order, by another engine of regular expressions."""
+    import random
+    import re
+
+    rules = [re.compile(f"(?<!`)({p.replace('(?U)', '')})(?!`)") for p in X.WRAPPED]
+
+    def wrap(text):
+        for r in rules:
+            text = r.sub(r"`\1`", text)
+        return text
+
+    def marked(line):
+        out = []
+        for part in re.findall(r"(?s)«sig[a-z0-9]+:[^»]*»|<!--.*?-->|(?:(?!«sig|<!--).)+", line):
+            m = re.fullmatch(r"(?s)«(sig[a-z0-9]+):([^»]*)»", part)
+            out.append(part if part.startswith("<!--") else f"«{m[1]}:{wrap(m[2])}»" if m else wrap(part))
+        return "".join(out)
+
+    rng = random.Random(8)
+    tokens = ["<b>", "</i>", "<a href='x'>", "{{x y}}", "{", "}", "\\|", "\\note", ":", "é:", "w:", "`", " ", "word", "ß", "«sig001:", "»", "<!-- a:b -->", "3"]
+    texts = ["".join(rng.choices(tokens, k=rng.randint(1, 12))) for _ in range(400)]
+    got = values(spark, cleaning.wrap_marked, texts)
+    assert [(t, g) for t, g in zip(texts, got) if g != marked(t)] == []

@@ -106,6 +106,8 @@ def test_phases_from_begin_to_end_and_again(spark, decoded, tmp_path):
         again.single(10)
     assert again.resume() and again.done() == list(range(11))
     assert again.single(5) and again.from_step("9.1")
+    shutil.rmtree(tmp_path / "run" / "text" / "phase=8")
+    assert 8 not in again.done() and again.resume() and again.done() == list(range(11))
     with pytest.raises(ValueError):
         again.from_step("nine")
 
