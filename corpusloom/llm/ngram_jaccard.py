@@ -6,8 +6,8 @@ probability (uniform prior) that its Jaccard similarity reaches the threshold fa
 tolerance; what is left is verified on the full n-gram sets.
 
 Texts with equal word sequences are one node with a weight, so copies never make pairs. A bucket or
-class above ``block`` texts is dealt out as pairs of blocks, every pair of blocks in its own group,
-so no group of rows is unbounded and none is cut short. Tasks return degrees and spanning edges, a
+class above ``block`` texts is dealt out as pairs of blocks (larger ones in very large classes), every pair of blocks
+in its own group, so no group of rows is unbounded and none is cut short. Tasks return degrees and spanning edges, a
 number of rows that is linear in what they read, not the pairs.
 """
 
@@ -196,8 +196,10 @@ def _candidates(t: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(df: DataFrame, group: list[str], count: str, block: int, id_col: str) -> DataFrame:
-    """Rows for each pair of blocks (x <= y) that a row's block belongs to; one pair (0, 0) for small groups."""
-    parts = F.ceil(F.col(count) / block).cast("int")
+    """Rows for each pair of blocks (x <= y) that a row's block belongs to; one pair (0, 0) for small groups. A row goes to as many
+    places as its group has blocks, so groups beyond 32 blocks have blocks of up to eight times the size."""
+    n = F.col(count)
+    parts = F.when(n <= 32 * block, F.ceil(n / block)).otherwise(F.greatest(F.lit(32), F.ceil(n / (8 * block)))).cast("int")
     own = F.pmod(F.xxhash64(F.col(id_col)), parts).cast("int")
     df = df.withColumn("parts", parts).withColumn("own", own)
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

@@ -46,14 +46,14 @@ def test_empty_table(spark):
     assert classes(empty(odd_documents(spark))) == []
 
 
-@pytest.mark.parametrize("block", [4, 256])
+@pytest.mark.parametrize("block", [1, 4, 256])
 def test_near_copies_in_small_and_large_blocks(spark, block):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(400)]
     rows = []
     for group in range(6):
         text = rng.choices(vocabulary, k=150)
-        for _ in range(rng.choice([1, 3, 25])):
+        for _ in range(rng.choice([1, 3, 45])):
             t = list(text)
             for _ in range(rng.randint(0, 6)):
                 t[rng.randrange(len(t))] = rng.choice(vocabulary)

@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusloom.llm.piece_fst import load
@@ -80,3 +81,19 @@ def test_rows_not_ids_are_told_apart(spark):
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(r._row for r in kept.collect()) == [0, 1, 3, 6, 7, 8]
+
+
+def test_stages_that_reject(spark, tmp_path):
+    """Language: texts in no language go. Quality: texts with words that rejected labels have go, labelled or not."""
+    text = lambda i: f"some {i} clean words about gardens and rivers" + (" you awful idiot!!" if i % 5 == 0 else "") + (" | x | y | z" if i % 7 == 0 else "")
+    rows = [(i, text(i), "en", "web", 1) for i in range(400)] + [(500, "... 12 !!", "en", "web", 1), (501, None, "en", "web", 1), (502, "", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, int(i % 7 > 0), int(i % 5 == 0)) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    said = corpus_pipeline.language_id(spark, docs, str(tmp_path))
+    assert said.columns == docs.columns and {r.doc_id for r in said.collect()} == set(range(400))
+    nothing = corpus_pipeline.language_id(spark, docs.withColumn("lang", docs.lang.substr(9, 1)).withColumn("lang", F.lit(None).cast("string")), str(tmp_path))
+    assert {r.doc_id for r in nothing.collect()} == set(range(400))
+    kept = corpus_pipeline.quality(spark, said, str(tmp_path))
+    clean, got = {i for i in range(400) if i % 5 and i % 7}, {r.doc_id for r in kept.collect()}
+    # A draw in proportion to weights, so a clean text may go and another stay, but few.
+    assert kept.columns == docs.columns and len(got) == len(clean) and len(got & clean) >= 0.98 * len(clean)
