@@ -91,6 +91,12 @@ def prj08_preflight(spark, sf_dir):
     return t.select("doc_id", "page_count", "image_count", "text_extractable", "toc_approach", "font_complexity", "overall_complexity", "complexity", F.size("warnings").alias("n_warnings"))
 
 
+@register(r"""WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<(?:title|h1|p|nav|footer)>.*?</(?:title|h1|p|nav|footer)>')) AS m, generate_subscripts(regexp_extract_all(html, '(?s)<(?:title|h1|p|nav|footer)>.*?</(?:title|h1|p|nav|footer)>'), 1) - 1 AS ord FROM pages)
+SELECT page_id, CAST(ord AS INT) AS ord, regexp_extract(m, '^<(\w+)>', 1) AS tag, trim(regexp_replace(regexp_replace(m, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM m""".replace("\\\\", "\\"))
+def src06_html_blocks(spark, sf_dir):
+    return tables.html_blocks(tables.parquet(spark, sf_dir, "pages"))
+
+
 # -- artefacts -------------------------------------------------------------------------------------------
 
 

@@ -90,17 +90,3 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     t = pages.select("page_id", F.posexplode(found).alias("ord", "m"))
     text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("m", "<[^>]*>", " "), "\\s+", " "), "^ +| +$", ""))
     return t.select("page_id", "ord", F.regexp_extract("m", "^<(\\w+)>", 1).alias("tag"), text.alias("text"))
-
-
-def decode_pdf(binary: DataFrame, decoder=None) -> DataFrame:
-    """Spans of binaryFile rows by a decoder: bytes -> iterable of span tuples after doc_id. Needs a PDF library as a plug-in."""
-    if decoder is None:
-        raise NotImplementedError("no PDF decoder is installed; give one, or read decoded spans")
-
-    def work(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            yield pd.DataFrame([(d, *s) for d, c in zip(pdf.doc_id, pdf.content) for s in decoder(c)], columns=SPANS.names)
-
-    return binary.select("doc_id", "content").mapInPandas(work, SPANS)

@@ -134,7 +134,6 @@ def test_answers_arrive_once(spark, tmp_path):
     q = handoff.append_available(handoff.answers(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert spark.read.schema(handoff.OUTPUTS).parquet(str(tmp_path / "out")).count() == 1
-    assert F is not None
 
 
 def in_a_row(spans, toc):
@@ -200,3 +199,14 @@ def test_conversion_with_rules_images_and_tables(spark):
     grid = spark.createDataFrame([(1, 2, "t1", "| a |")], "doc_id long, page int, table_id string, markdown string")
     (r,) = convert(spark.createDataFrame(rows, tables.SPANS), rules=rules, images=images, tables=grid).collect()
     assert "# THE KEEP OF OWLS" in r.text and "> Beware of it" in r.text and "> and flee now." in r.text and "\nplain text" in r.text and "![](a.png)" in r.text and "| a |" in r.text
+
+
+def test_rates_of_arriving_answers(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    row = lambda step, status, at: f'{{"doc_id": 1, "step_id": "{step}", "attempt": 1, "input_hash": "x", "status": "{status}", "arrived": "2024-01-01T{at}:00"}}\n'
+    (src / "a.json").write_text(row("9.2", "success", "00:01") + row("9.3", "success", "00:02") + row("9.4", "failed", "00:03") + row("9.5", "success", "00:15") + row("9.7", "success", "05:00"))
+    q = handoff.answer_rates(handoff.answers(spark, "file://" + str(src))).writeStream.format("memory").queryName("rates").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(str(r.window.start), r.status): r["count"] for r in spark.table("rates").collect()}
+    assert got == {("2024-01-01 00:00:00", "success"): 2, ("2024-01-01 00:00:00", "failed"): 1, ("2024-01-01 00:10:00", "success"): 1}
