@@ -157,7 +157,8 @@ class Winnowing:
         """The kept columns, n_words, rid, prints array<struct<key, ps>> of what may be shared, and the text where there is any."""
         kinds = sorted(r.kind for r in prints.select("kind").distinct().collect())  # at most one for each length up to the window
         total = prints.count()
-        bits = 1 << min(self.most_bits.bit_length() - 1, max(16, (32 * total).bit_length()))
+        # Some thousand bits for each fingerprint, as a text has hundreds, any of which may hit a bit by chance.
+        bits = 1 << min(self.most_bits.bit_length() - 1, max(24, (4096 * total).bit_length()))
         filled = prints.select(F.pmod("key", F.lit(bits)).alias("s")).groupBy((F.col("s") / 64).cast("int").alias("w"))
         filled = filled.agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("v"))
         table = np.zeros(bits // 64, np.int64)
@@ -191,9 +192,11 @@ class Winnowing:
                     at, keys = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, U64))
                     row = np.searchsorted(w.rows, at, "right") - 1
                     lists: list = [None] * (e - s)
-                    for r in np.unique(row):
-                        mine = row == r
-                        lists[r] = _lists(keys[mine], at[mine] - w.rows[r])
+                    order = np.argsort(row, kind="stable")
+                    at, keys, row = at[order], keys[order], row[order]
+                    cuts = np.searchsorted(row, np.arange(e - s + 1))
+                    for r in np.flatnonzero(np.diff(cuts)):
+                        lists[r] = _lists(keys[cuts[r] : cuts[r + 1]], at[cuts[r] : cuts[r + 1]] - w.rows[r])
                     shown = pc.if_else(pa.array([x is not None for x in lists]), texts, pa.scalar(None, texts.type))
                     more = [pa.array(w.counts, pa.int64()), b.column(n_keep).slice(s, e - s), pa.array(lists, pa.list_(pa.struct([("key", pa.int64()), ("ps", pa.list_(pa.int64()))]))), shown]
                     yield pa.RecordBatch.from_arrays([c.slice(s, e - s) for c in b.columns[:n_keep]] + more, [*keep, "n_words", "_rid", "_prints", "_text"])
