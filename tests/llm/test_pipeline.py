@@ -96,4 +96,4 @@ def test_stages_that_reject(spark, tmp_path):
     kept = corpus_pipeline.quality(spark, said, str(tmp_path))
     clean, got = {i for i in range(400) if i % 5 and i % 7}, {r.doc_id for r in kept.collect()}
     # A draw in proportion to weights, so a clean text may go and another stay, but few.
-    assert kept.columns == docs.columns and len(got) == len(clean) and len(got & clean) >= 0.98 * len(clean)
+    assert kept.columns == docs.columns and len(got & clean) >= 0.98 * len(clean) and len(got - clean) <= 0.02 * len(clean)
