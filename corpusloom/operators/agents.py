@@ -1,11 +1,14 @@
 """Work for external agents: payloads, instructions, contracts, gates, and what can be repaired without one.
 
 A step's payload is a JSON text made by one expression, so requests for a whole corpus are one projection.
-Answers come back as rows (see ``runs.matched_outputs``); nothing here waits for or calls an agent.
+Answers come back as rows (see ``runs.matched_outputs``); an agent itself is a plug-in (``dispatch``).
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from corpusloom.functions import text as X
 from corpusloom.operators import layout
 from corpusloom.operators.quality import RUBRICS, base_step
 from corpusloom.operators.structure import DOMAIN_TERMS
+from corpusloom.sources.decoding import by_plugin
 
 #: The task that each step's payload names, and the context fields that it takes from its inputs.
 TASKS = {
@@ -179,6 +183,21 @@ def command(prompt: str, agent: str = "codex") -> list[str]:
     return [c["cli"], *c["args"], "-" if c.get("stdin") else prompt]
 
 
+def dispatch(asked: DataFrame, invoke: Callable[[str], str]) -> DataFrame:
+    """doc_id, step_id, attempt, input_hash, status, json: what an agent, a function from instructions to the text of an answer, gives for
+    each request (doc_id, step_id, payload, instructions); what it raises is a failed answer with the reason as its notes."""
+
+    def work(r):
+        out = {"doc_id": r["doc_id"], "step_id": r["step_id"], "attempt": 1, "input_hash": r["input_hash"]}
+        try:
+            return [out | {"status": "answered", "json": invoke(r["instructions"] + "\n" + r["payload"])}]
+        except Exception as e:  # an agent that fails is an answer too
+            return [out | {"status": "failed", "json": json.dumps({"step_id": r["step_id"], "status": "failed", "notes": str(e)})}]
+
+    rows = asked.select("doc_id", "step_id", "payload", "instructions", F.sha2("payload", 256).alias("input_hash"))
+    return by_plugin(rows, work, "doc_id long, step_id string, attempt int, input_hash string, status string, json string")
+
+
 # -- contracts and gates -----------------------------------------------------------------------------------
 
 ANSWER = "step_id string, status string, data string, warnings array<string>, notes string, rubric_scores map<string,double>, critical_failures array<string>"

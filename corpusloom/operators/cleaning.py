@@ -35,11 +35,18 @@ def drop_blank_markers(lines: DataFrame) -> DataFrame:
     return lines.where(~(F.col("line").rlike(f"^{MARKER}$") & (X.strip(F.regexp_extract("line", MARKER, 2)) == "")))
 
 
+def without_numbers(line: Column, ids: Column) -> Column:
+    """The line without its markers of these signatures around digits."""
+    pattern = F.concat(F.lit("«(?:"), F.array_join(ids, "|"), F.lit(r"):\d+»"))
+    return F.when(F.coalesce(F.size(ids) > 0, F.lit(False)) & F.contains(line, F.lit("«")), F.regexp_replace(line, pattern, F.lit(""))).otherwise(line)
+
+
 def drop_page_numbers(lines: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Lines that are one marker of a page-number signature around digits go."""
-    t = lines.withColumn("_s", F.when(F.col("line").rlike(r"^«sig[a-z0-9]+:\s*\d+\s*»$"), F.regexp_extract("line", MARKER, 1)))
-    hit = signatures.select("doc_id", F.col("sig").alias("_s")).distinct()
-    return t.join(hit, ["doc_id", "_s"], "left_anti").drop("_s")
+    """Lines without markers of page-number signatures around digits; lines of which nothing else is left go."""
+    ids = signatures.groupBy("doc_id").agg(F.array_sort(F.collect_set("sig")).alias("_ids"))
+    t = lines.join(ids, "doc_id", "left").withColumn("_line", without_numbers(F.col("line"), F.col("_ids")))
+    t = t.where((F.col("_line") == F.col("line")) | (X.strip(F.col("_line")) != ""))
+    return t.withColumn("line", F.col("_line")).select(*lines.columns)
 
 
 def squeeze_lines(lines: DataFrame) -> DataFrame:

@@ -334,10 +334,12 @@ def rw03_remove_signatures(spark, sf_dir):
     return cleaning.drop_signatures(found, sigs.where("ord % 3 = 0")).groupBy("doc_id").agg(F.count("*").alias("n_runs"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@register(f"WITH {LINES}, m AS (SELECT doc_id, line_no, CASE line_no % 4 WHEN 1 THEN '«sig001:  »' WHEN 2 THEN '«sig002:' || line_no || '»' ELSE line END AS line FROM lines) SELECT doc_id, count(*) AS n, md5(string_agg(line, '|' ORDER BY line_no)) AS lines_md5 FROM m WHERE line <> '«sig001:  »' AND NOT (starts_with(line, '«sig002:') AND doc_id % 2 = 0) GROUP BY doc_id")
+@register(f"WITH {LINES}, m AS (SELECT doc_id, line_no, CASE line_no % 4 WHEN 1 THEN '«sig001:  »' WHEN 2 THEN CASE WHEN doc_id % 2 = 0 THEN '' ELSE '«sig002:' || line_no || '»' END WHEN 3 THEN 'page ' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '«sig002:' || line_no || '»' END || '«sig003:' || line_no || '»' ELSE line END AS line FROM lines) SELECT doc_id, count(*) AS n, md5(string_agg(line, '|' ORDER BY line_no)) AS lines_md5 FROM m WHERE line <> '«sig001:  »' AND NOT (line = '' AND line_no % 4 = 2) GROUP BY doc_id")
 def rw05_blank_markers(spark, sf_dir):
-    n = F.col("line_no") % 4
-    t = lines_of(spark, sf_dir).select("doc_id", "line_no", F.when(n == 1, "«sig001:  »").when(n == 2, F.concat(F.lit("«sig002:"), F.col("line_no").cast("string"), F.lit("»"))).otherwise(F.col("line")).alias("line"))
+    """Blank markers, and page numbers in half of the documents, in lines of their own and within others."""
+    n, number = F.col("line_no") % 4, F.concat(F.lit("«sig002:"), F.col("line_no").cast("string"), F.lit("»"))
+    inner = F.concat(F.lit("page "), number, F.lit("«sig003:"), F.col("line_no").cast("string"), F.lit("»"))
+    t = lines_of(spark, sf_dir).select("doc_id", "line_no", F.when(n == 1, "«sig001:  »").when(n == 2, number).when(n == 3, inner).otherwise(F.col("line")).alias("line"))
     pages = t.where("doc_id % 2 = 0").select("doc_id", F.lit("sig002").alias("sig")).distinct()
     return cleaning.drop_page_numbers(cleaning.drop_blank_markers(t), pages).groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(F.expr("listagg(line, '|') WITHIN GROUP (ORDER BY line_no)")).alias("lines_md5"))
 

@@ -173,9 +173,9 @@ def convert(spans: DataFrame, toc: DataFrame | None = None, ends: DataFrame | No
     """
     known = summaries(spans)
     lines = marked(spans, known).join(_by_sig(known), "doc_id")
-    # Lines that are one page number go.
-    number = F.coalesce(F.try_element_at("info", F.regexp_extract("line", cleaning.MARKER, 1))["number"], F.lit(False))
-    lines = lines.where(~(F.col("line").rlike(r"^«sig[a-z0-9]+:\s*\d+\s*»$") & number))
+    number = cleaning.without_numbers(F.col("line"), F.map_keys(F.map_filter("info", lambda k, v: v["number"])))
+    lines = lines.withColumn("_line", number).where((F.col("_line") == F.col("line")) | (X.strip(F.col("_line")) != ""))
+    lines = lines.withColumn("line", F.col("_line")).drop("_line")
     lines = lines.withColumn("line", X.normalise_bullet(X.join_hyphens(X.fix_typography(X.fix_spacing(F.col("line")), fold_quotes))))
     captured = None
     if rules is not None:

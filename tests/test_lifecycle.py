@@ -167,6 +167,21 @@ def test_requests_stubs_and_commands(spark, tmp_path):
         agents.command("go", "nobody")
 
 
+def test_agents_as_plugins(spark):
+    def agent(text):
+        if "bad" in text:
+            raise TimeoutError("too late")
+        return json.dumps({"step_id": "9.3", "status": "success", "data": {}, "warnings": [], "rubric_scores": {"reading_order": 5, "paragraph_integrity": 5, "flow_continuity": 4}})
+
+    asked = agents.instructions(spark.createDataFrame([(1, "9.3", '{"a": 1}'), (2, "9.3", '{"a": "bad"}')], "doc_id long, step_id string, payload string"))
+    got = agents.dispatch(asked, agent)
+    assert {r.doc_id: r.status for r in got.collect()} == {1: "answered", 2: "failed"}
+    broken = {r.doc_id: r.violations for r in agents.contract_violations(got).collect()}
+    assert broken[1] == [] and "missing: data" in broken[2]
+    read = {r.doc_id: (r.status, r.notes) for r in agents.read_answers(got).collect()}
+    assert read == {1: ("success", None), 2: ("failed", "too late")}
+
+
 def test_one_pass_styling(spark):
     lines = ["THE KEEP", "12", "", "It stands on a hill far from every road, and a conver-", "ted barn", "is near.", "", "", "• item", "last"]
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc_id long, line_no int, line string")
