@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm._store import Scratch, small_batches
-from corpusloom.llm._text import U64, mix, slices, split_words, text_buffer
+from corpusloom.llm._text import slices, split_words, text_buffer
 
 CLASSES = 64
 END = np.int64(0x0F1E2D3C4B5A6978)
