@@ -22,26 +22,27 @@ def _star(e: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
         out = j.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = j.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    out = scratch.save(out.where("a <> b").distinct(), "edges")
+    # The large star gives a row for each edge at most, so only the small one needs to drop repeats.
+    out = out.where("a <> b")
+    out = scratch.save(out if large else out.distinct(), "edges")
     scratch.drop(least, e)
     return out
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a lesser node, or is only a centre of such edges."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("b", F.lit(0), F.lit(1)))
+    odd = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0)))
+    return odd.isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges(a long, b long) -> (node, root): root is the least node of the component.
 
-    Each round is written to the shared folder, and what it was made from is freed. It ends when a round leaves the edges as they were,
-    compared by count and an order-free checksum, so no edge comes to the driver.
+    Each round is written to the shared folder, and what it was made from is freed. It ends when the edges are stars: as
+    rounds keep what is connected, each star is a component then, and its centre is the least node. No edge comes to the driver.
     """
-    def mark(t):
-        r = t.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        return r[0], int(r[1])
-
     now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = mark(now)
-    while seen[0]:
+    while not _is_stars(now):
         now = _star(_star(now, True, scratch), False, scratch)
-        was, seen = seen, mark(now)
-        if was == seen:
-            break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

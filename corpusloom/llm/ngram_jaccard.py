@@ -346,8 +346,8 @@ class NgramJaccard:
         filled = wanted.select(F.pmod("k1", F.lit(bits)).alias("s")).groupBy((F.col("s") / 64).cast("int").alias("w"))
         filled = filled.agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("v"))
         table = np.zeros(bits // 64, np.int64)
-        for w, v in filled.toLocalIterator():
-            table[w] = v
+        got = filled.toArrow()  # at most bits / 64 rows
+        table[got["w"].to_numpy()] = got["v"].to_numpy()
         shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
 
         def work(batches):

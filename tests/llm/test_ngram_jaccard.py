@@ -80,3 +80,18 @@ def test_a_text_that_every_partition_holds(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(23)
     got = NgramJaccard(spread=4).classes(docs).collect()
     assert {(r.class_id, r.n_links) for r in got} == {(0, 299)} and len(got) == 300
+
+
+def test_components_against_union_find(spark):
+    from corpusloom.llm._graph import components
+    from corpusloom.llm._store import Scratch
+
+    rng = random.Random(9)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000)] + [(3000 + i, 3000) for i in range(5)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "graph"))
+    assert sorted((r.node, r.root) for r in got.collect()) == sorted((x, r) for x, r in root.items() if x != r)
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "graph")).count() == 0
