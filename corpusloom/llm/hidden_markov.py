@@ -345,13 +345,15 @@ class HiddenMarkovModel:
         m = Hmm(np.full(k, 1 / k), 0.9 * np.eye(k) + 0.1 / k, emit / emit.sum(0))
         learnable = coded.where("train").select("ids")
         rate = min(1.0, self.burn_in / max(lex.tokens, 1))
-        cut = F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) < int(rate * (1 << 30))
-        some, held = [], 0
-        for r in coded.where("train").where(cut).select("ids").toLocalIterator():
-            some.append(bytes(r.ids))
-            held += len(some[-1]) // 2
-            if held >= self.burn_in:
-                break
+        dice = F.pmod(F.xxhash64("rid"), F.lit(1 << 30))
+        # Sizes first: of the texts drawn, those with the least numbers, up to burn_in tokens.
+        drawn = coded.where("train").where(dice < int(rate * (1 << 30))).select(dice.alias("dice"), "n").toArrow()
+        order = np.argsort(drawn["dice"].to_numpy(), kind="stable")
+        within = int(np.searchsorted(np.cumsum(drawn["n"].to_numpy()[order]), self.burn_in)) + 1
+        some = []
+        if len(order):
+            last = int(drawn["dice"].to_numpy()[order][:within][-1])
+            some = [bytes(r.ids) for r in coded.where("train").where(dice <= last).select("ids").collect()]
         if some:
             ids, off = np.frombuffer(b"".join(some), np.uint16).astype(np.int64), np.cumsum([0] + [len(x) // 2 for x in some])
             for _ in range(self.burn_rounds):
