@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by weighted finite-state transduction.
 
 A model file is compiled into a normaliser (a byte transducer of the longest-match rewrite rules, then the
-white-space rules), a piece transducer (a trie, whose final states put out a piece with its negated score
-as weight) and a byte-fallback transducer (of the characters that no piece is). An input, composed
+white-space rules), a piece transducer (a trie read from the last character, whose final states put out a
+piece with its negated score as weight) and a byte-fallback transducer (of the characters that no piece is). An input, composed
 with them, is a graph of arcs between its places; the encoding is its shortest path in the tropical semiring.
 
 For a unigram model any arc may follow any other. A BPE model has a fourth machine in the composition, whose
@@ -11,7 +11,7 @@ just these two, and a path may begin with a piece only if merging its characters
 is the BPE encoding of its text if and only if each piece and each neighbouring pair in it passes: merges that
 cross no border never depend on what lies beyond it, so the first wrong merge of the whole would be a wrong merge of
 two neighbours. Every beginning of the text has one encoding, so just one arc into each place is left, and the shortest path
-is the BPE encoding, whatever the weights. Arcs into a place come longest first, and the first that passes is the only one.
+is the BPE encoding, whatever the weights. The composition is made as far as the search asks for it.
 """
 
 from __future__ import annotations
@@ -163,7 +163,7 @@ class PieceFst:
         self.code = {p: np.array([k], self.width).tobytes() for p, k in self.ids.items()}
         self.normaliser = Transducer(self.rules.items())
         weight = {p: 0.1 - len(p) * self.least if self.pieces[k][2] == USER else -self.scores[k] for p, k in self.ids.items()}
-        self.machine = Transducer((p, (p, w)) for p, w in weight.items())
+        self.machine = Transducer((p[::-1], (p, w)) for p, w in weight.items())
         #: Weight of a character that is no piece and falls back to its bytes (or the unknown piece).
         self.fallback = UNK_PENALTY - self.least
         self._pairs: dict[tuple[str, str], bool] = {}
@@ -220,42 +220,61 @@ class PieceFst:
             ok = self._pairs[a, b] = self._merged(a + b) == [a, b]
         return ok
 
+    def _arcs(self, text: str, end: int) -> list[tuple[int, str, float]]:
+        """The arcs of the composition that end at a place: (begin, piece, weight), the longest last."""
+        state, at, out = self.machine.start, end, []
+        while at:
+            state = state.get(text[at - 1])
+            if state is None:
+                break
+            at -= 1
+            arc = state.get(FINAL)
+            if arc is not None:
+                out.append((at, *arc))
+        if not out or out[0][0] != end - 1:
+            out.insert(0, (end - 1, text[end - 1], self.fallback))
+        return out
+
     def _path(self, text: str) -> list[str]:
-        """The shortest path through the composition of the text with the machines: arcs are relaxed place by place."""
-        step, fallback, bpe, pairs, follows = self.machine.start.get, self.fallback, self.bpe, self._pairs.get, self._follows
+        """The shortest path through the composition of the text with the machines, from its end.
+
+        Places are worked when an arc begins at them. Of a BPE model only one arc into a place passes, so arcs are tried
+        longest first, and places that no such arc begins at are never looked at.
+        """
+        bpe, pairs, follows, arcs_to = self.bpe, self._pairs.get, self._follows, self._arcs
         n = len(text)
         cost: list[float] = [0.0] + [INFINITE] * n
-        last: list[str | None] = [None] * (n + 1)  # the piece of the best arc into each place
-        for at in range(n):
-            before, so_far, end = last[at], cost[at], at + 1
-            state = step(text[at])
-            if state is None:
-                state, arc = {}, (text[at], fallback)
-            else:
-                arc = state.get(FINAL) or (text[at], fallback)
-            while True:
-                # Of a BPE model the first arc into a place that passes is the longest, and no other does.
-                if arc is not None and so_far + arc[1] < cost[end] and (not bpe or last[end] is None):
-                    piece = arc[0]
-                    if not bpe:
-                        ok = True
-                    elif at:
-                        ok = pairs((before, piece))
-                        if ok is None:
-                            ok = follows(before, piece)
-                    else:
-                        ok = end == 1 or self._whole(piece)
-                    if ok:
-                        cost[end], last[end] = so_far + arc[1], piece
-                if end == n:
-                    break
-                state = state.get(text[end])
-                if state is None:
+        last: list[str | None] = [None] * (n + 1)  # the piece of the best arc into each place that is worked
+        open_ = [(n, arcs_to(text, n))]  # places that wait for the places where their arcs begin
+        while open_:
+            end, arcs = open_[-1]
+            while arcs:
+                at, piece, weight = arcs[-1]
+                if not bpe:
+                    ok = True
+                elif at:
+                    before = last[at]
+                    if before is None:
+                        break
+                    ok = pairs((before, piece))
+                    if ok is None:
+                        ok = follows(before, piece)
+                else:
+                    ok = end == 1 or self._whole(piece)
+                if at and last[at] is None:
                     break
-                end += 1
-                arc = state.get(FINAL)
-            if last[at + 1] is None:
-                raise AssertionError("an encoding exists for every text")
+                arcs.pop()
+                if ok and cost[at] + weight < cost[end]:
+                    cost[end], last[end] = cost[at] + weight, piece
+                    if bpe:
+                        break
+            else:
+                if last[end] is None:
+                    raise AssertionError("an encoding exists for every text")
+            if last[end] is not None and (bpe or not arcs):
+                open_.pop()
+            else:
+                open_.append((at, arcs_to(text, at)))
         out, at = [], n
         while at:
             out.append(last[at])
